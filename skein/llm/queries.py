@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, tune
+from skein.llm import quality
+from skein.llm.common import documents, id_crc32, tune
+from skein.llm.langid import identify, train
+from skein.llm.media import text_features
+from skein.llm.mixing import mix
 from skein.llm.topk import integer_vectors, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +49,69 @@ WITH e AS (
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 10
 """
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image of its bytes, read back, with digests and features."""
+    out = text_features(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, sources weighing 3, 1, 2 in turn."""
+    return mix(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op9_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source
+), w AS (
+  SELECT source, CAST(n AS BIGINT) AS n, CASE k % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS w FROM s
+), f AS (
+  SELECT a.source, a.n, a.w, 1.5 * (SELECT sum(n) FROM w) AS budget,
+         coalesce((SELECT sum(2 * b.n) FROM w b WHERE b.n * a.w <= a.n * b.w), 0) AS capped,
+         coalesce((SELECT sum(b.w) FROM w b WHERE b.n * a.w > a.n * b.w), 0) AS open_w
+  FROM w a
+), lim AS (
+  SELECT *, 2 * n * (open_w + w) <= (budget - capped + 2 * n) * w AS stops FROM f
+), g AS (
+  SELECT (SELECT max(budget) FROM f) - coalesce(sum(2 * n) FILTER (WHERE stops), 0) AS rest_n, sum(w) FILTER (WHERE NOT stops) AS rest_w FROM lim
+), t AS (
+  SELECT source, n, CAST(CASE WHEN stops THEN 2 * n ELSE w * rest_n / rest_w END AS DOUBLE) AS target,
+         CAST('0x' || substr(md5('0:' || coalesce('=' || source, '')), 1, 8) AS UBIGINT) / 4294967296.0 AS u
+  FROM lim, g
+), r AS (
+  SELECT d.*, t.n, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS rate, t.u,
+         row_number() OVER (PARTITION BY d.source ORDER BY length(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INTEGER), substr(o, 1, 1), size, o, doc_id) AS i
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+       CAST((floor(u + i * rate) - floor(u + (i - 1) * rate)) * size AS BIGINT) AS taken
+FROM r
+"""
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = id_crc32("doc_id") % 5 == 0
+    model = train(docs, ~held_out)
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from three quarters of the labels."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = id_crc32("doc_id") % 4 == 2
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
