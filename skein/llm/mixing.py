@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text_col: str) -> Column:
-    return F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD}')").cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
