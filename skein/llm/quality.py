@@ -157,10 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_i
     if not trusted:
         return None
     drawn = lambda seed, want, have: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, want / max(have, 1)) * (1 << 30))
-    # one row in `labelled` for each of about POSITIVES + LABELLED ids
+    # about POSITIVES + LABELLED ids at most, so they are sent to the texts and no text is moved
     labelled = marks.where((F.col("mark") == 1) & drawn(11, POSITIVES, trusted) | drawn(13, LABELLED, sum(counts.values())))
     use = docs.where(fold).select(id_col, text_col)
-    known = _features(use.join(labelled, id_col), text_col)
+    known = _features(use.join(F.broadcast(labelled), id_col), text_col)
     known = known.select("mark", "x", ((F.col("mark") == 1) & drawn(11, POSITIVES, trusted)).alias("trusted"), drawn(13, LABELLED, sum(counts.values())).alias("last")).collect()
     web = _features(use.where(drawn(17, UNLABELLED, total)), text_col).select("x").collect()
     known.sort(key=lambda r: (r["mark"], r["x"]))
