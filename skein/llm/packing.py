@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import checkpointed
 
-#: Tokens in a sequence; the id that ends a document; documents to a rank group.
-LENGTH, END, GROUP = 4096, 2, 100_000
+#: Tokens in a sequence; the id that ends a document; pieces of one length that are ranked together.
+LENGTH, END, GROUP = 4096, 2, 500
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 
@@ -194,7 +194,6 @@ def pack(pieces: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame
     is the histogram: one row for each length.
     """
     spark = pieces.sparkSession
-    key = F.pmod(F.xxhash64(*order), F.col("__groups"))
     total = pieces.groupBy("length").count().collect()
     counts = {r["length"]: r["count"] for r in total if r["length"]}
     full = counts.pop(length, 0)
@@ -203,8 +202,10 @@ def pack(pieces: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame
     rows = layout(patterns) + ([(length, 0, full, 1, first_full, 0)] if full else [])
     # at most a few rows for each length: bounded by the sequence length, not by the data
     table = spark.createDataFrame(rows, "__length long, __from long, __to long, __each long, __sequence long, __offset long")
-    groups = max(1, (sum(counts.values()) + full) // GROUP)
-    spread = pieces.withColumn("__groups", F.lit(groups)).withColumn("__group", key)
+    salts = spark.createDataFrame([(r["length"], -(-r["count"] // GROUP)) for r in total], "__salted long, __groups long")
+    # likewise one row for each length
+    spread = pieces.join(F.broadcast(salts), F.col("length") == F.col("__salted"))
+    spread = spread.withColumn("__group", F.pmod(F.xxhash64(*order), F.col("__groups"))).drop("__salted", "__groups")
     sizes = spread.groupBy("length", "__group").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("length").alias("__l"), F.col("__group").alias("__g"), F.coalesce(before, F.lit(0)).alias("__before"))

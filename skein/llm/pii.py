@@ -97,22 +97,27 @@ def running_sums(values: Column) -> Column:
 
 
 def spans_of(kind: Kind, text: Column) -> Column:
-    """Array of (kind, start, end, score) of the confirmed matches in a text that isn't null."""
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda p: F.length(p).cast("long"))
-    # (match, characters between it and the one before); the gap after the last match has no match
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
+    """Array of (kind, start, end, score) of the confirmed matches in a text that isn't null.
+
+    Context words are looked for in the WINDOW characters on either side, as far as
+    the next match of the kind.
+    """
+    found, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+
+    def aligned(gaps: Column) -> Column:
+        # (match, characters between it and the one before, what is near it); the last gap has no match
+        ends = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.size(gaps)), lambda a, b: F.struct(F.length(a).cast("long").alias("gap"), F.concat_ws(" ", F.substring(a, -WINDOW, WINDOW), F.substring(b, 1, WINDOW)).alias("near")))
+        pairs = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("match"), e["gap"].alias("gap"), e["near"].alias("near")))
+        return F.filter(pairs, lambda p: p["match"].isNotNull())
 
     def place(ps: Column) -> Column:
         before = running_sums(F.transform(ps, lambda p: p["gap"] + F.length(p["match"])))
-        return F.zip_with(ps, before, lambda p, b: F.struct(p["match"].alias("match"), (b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["match"])).alias("end")))
+        return F.zip_with(ps, before, lambda p, b: F.struct(p["match"].alias("match"), p["near"].alias("near"), (b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["match"])).alias("end")))
 
-    placed = F.filter(let(pairs, place), lambda m: confirmed(kind.name, m["match"]))
+    placed = F.filter(let(let(between, aligned), place), lambda m: confirmed(kind.name, m["match"]))
 
     def scored(m: Column) -> Column:
-        first = F.greatest(m["start"] - WINDOW, F.lit(0))
-        near = F.lower(F.substr(text, (first + 1).cast("int"), (m["end"] - first + WINDOW).cast("int")))
-        return F.least(F.lit(kind.base) + F.when(near.rlike(kind.context), CONTEXT_ADDS).otherwise(0.0), F.lit(1.0))
+        return F.least(F.lit(kind.base) + F.when(F.lower(m["near"]).rlike(kind.context), CONTEXT_ADDS).otherwise(0.0), F.lit(1.0))
 
     out = F.transform(placed, lambda m: F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), scored(m).alias("score")))
     out = out if kind.always else F.filter(out, lambda s: s["score"] >= KEPT_FROM)

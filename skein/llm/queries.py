@@ -14,6 +14,8 @@ from skein.llm.common import documents, id_crc32, tune
 from skein.llm.langid import identify, train
 from skein.llm.media import text_features
 from skein.llm.mixing import mix
+from skein.llm.packing import pack_documents
+from skein.llm.repeats import remove_repeats
 from skein.llm.topk import integer_vectors, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +151,16 @@ FROM c GROUP BY conv_id
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.digests(pii.find(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    out = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 200-byte strings."""
+    return remove_repeats(documents(spark, sf_dir))
