@@ -14,6 +14,7 @@ from skein.llm.common import documents, id_crc32, tune
 from skein.llm.langid import identify, train
 from skein.llm.media import text_features
 from skein.llm.mixing import mix
+from skein.llm.neardup import near_duplicates
 from skein.llm.packing import pack_documents
 from skein.llm.repeats import remove_repeats
 from skein.llm.topk import integer_vectors, topk
@@ -164,3 +165,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of repeated 200-byte strings."""
     return remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on two-word shingles."""
+    return near_duplicates(documents(spark, sf_dir), shingle=2)
