@@ -1,0 +1,36 @@
+"""Agent-session logs: repeated records, sequence parents and call pairing.
+
+rows: file, line, and the fields named by each operator.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def repeats(rows: DataFrame, key: str, content: Column) -> DataFrame:
+    """Adds role: canonical for a key's first record in (file, line) order; then pointer where the bytes are equal, else annotation."""
+    w = Window.partitionBy(key).orderBy("file", "line")
+    digest = F.sha2(content, 256)
+    first = F.first(digest).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("role", F.when(F.row_number().over(w) == 1, "canonical").when(first == digest, "pointer").otherwise("annotation"))
+
+
+def sequence_parents(rows: DataFrame, event: str = "id") -> DataFrame:
+    """Adds previous: the event before it in its file."""
+    return rows.withColumn("previous", F.lag(event).over(Window.partitionBy("file").orderBy("line")))
+
+
+def call_parents(rows: DataFrame, is_call: Column, is_output: Column, event: str = "id") -> DataFrame:
+    """Adds call: for an output, the latest earlier call of its file with the same call_id."""
+    before = Window.partitionBy("file", "call_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(is_call, F.col(event)), ignorenulls=True).over(before)
+    return rows.withColumn("call", F.when(is_output, latest))
+
+
+def session_ids(rows: DataFrame, declared: Column) -> DataFrame:
+    """Adds session: the first one that the file declares, else the UUID in its name."""
+    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.nullif(F.regexp_extract("file", "([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1), F.lit(""))
+    return rows.withColumn("session", F.coalesce(F.first(declared, ignorenulls=True).over(w), named))

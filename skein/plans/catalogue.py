@@ -4,7 +4,498 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions import ids, text, times
+from skein.operators import chains, closure, decisions, log, messages, pareto, search, sessions, training
+from skein.plans import views
+from skein.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+# ---- chains and messages
+
+_ITEMS = """items AS (
+  SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, text FROM conversations
+), runs AS (
+  SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS island FROM (
+    SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM items WHERE coalesce(text, '') <> '')
+), msgs AS (
+  SELECT conv_id, CAST(island AS BIGINT) AS message_no, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM runs GROUP BY conv_id, island, role
+)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chained = chains.longest_per_root(chains.chains(views.items_conv(spark, sf_dir)))
+    turns = chained.select(F.substring_index("root_id", ":", 1).cast("long").alias("conv_id"), "chain_id", "pos", "role", "text")
+    merged = messages.to_last_assistant(messages.merged(turns, ["conv_id", "chain_id"], ["pos"]), ["conv_id", "chain_id"])
+    return merged.select("conv_id", F.col("island").alias("message_no"), "role", "content")
+
+
+@query(f"WITH {_ITEMS} SELECT * FROM msgs m WHERE message_no <= (SELECT max(message_no) FROM msgs x WHERE x.conv_id = m.conv_id AND x.role = 'assistant')")
+def conv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains, the longest of each root, merged messages up to the last assistant one."""
+    return _messages(spark, sf_dir)
+
+
+@query(f"""WITH {_ITEMS}, k AS (SELECT * FROM msgs m WHERE message_no <= (SELECT max(message_no) FROM msgs x WHERE x.conv_id = m.conv_id AND x.role = 'assistant'))
+SELECT conv_id, message_no, CASE WHEN role = 'user' THEN 'human' ELSE 'gpt' END AS "from", content AS value FROM k""")
+def sharegpt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5."""
+    return messages.sharegpt(_messages(spark, sf_dir)).select("conv_id", "message_no", "from", "value")
+
+
+@query("SELECT conv_id || ':' || turn AS chain_id, conv_id || ':0' AS root_id, turn + 1 AS n, CASE WHEN bool_and(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) THEN 'thread' ELSE 'conversation' END AS kind FROM conversations")
+def conv_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain, with its kind."""
+    out = chains.chains(views.items_conv(spark, sf_dir)).groupBy("chain_id", "root_id", "kind").agg(F.count("*").alias("n"))
+    return out.select("chain_id", "root_id", "n", "kind")
+
+
+@query("SELECT conv_id || ':0' AS root_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id")
+def conv_dedup_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6."""
+    kept = chains.longest_per_root(chains.chains(views.items_conv(spark, sf_dir))).where("kind = 'conversation'")
+    return kept.groupBy("root_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT depth, count(*) AS nodes FROM (SELECT turn AS depth FROM conversations) GROUP BY depth")
+def chain_depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 by jumps: how many turns lie how deep."""
+    return closure.roots(views.items_conv(spark, sf_dir)).groupBy("depth").agg(F.count("*").alias("nodes"))
+
+
+@query("""WITH l AS (SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS id, conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations)
+SELECT id AS node, m - turn AS below FROM l""")
+def depth_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the deepest descendant lies."""
+    return chains.depth_below(views.items_conv(spark, sf_dir))
+
+
+@query("""SELECT c.conv_id || ':' || c.turn AS node, max(p.conv_id || ':' || p.turn) AS ancestor FROM conversations c
+LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.role = 'user' AND p.turn = (SELECT max(x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn < c.turn AND x.role = 'user')
+GROUP BY c.conv_id, c.turn""")
+def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest user turn above each turn."""
+    items = views.items_conv(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("said")), ["conv_id", "turn"])
+    return chains.nearest_kept_ancestor(items, F.col("said") == "user")
+
+
+_REPLIES = """replies AS (
+  SELECT event_id, user_id, ts, lag(event_id) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n, day
+  FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events)
+)"""
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of a day as a reply chain; the first replies to a post that isn't there in one of three users."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    up = F.coalesce(F.lag("event_id").over(w).cast("string"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("gone-"), F.col("user_id").cast("string"))))
+    return e.select(F.col("event_id").cast("string").alias("id"), up.alias("parent_id"), F.col("ts").alias("created_at"), "user_id", "event_type")
+
+
+@query(f"""WITH {_REPLIES}, k AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'g' || user_id ELSE user_id || '-' || day END AS comp FROM replies)
+SELECT CAST(event_id AS VARCHAR) AS id, CAST(first_value(event_id) OVER (PARTITION BY comp ORDER BY ts, CAST(event_id AS VARCHAR)) AS VARCHAR) AS component, n - 1 AS depth FROM k""")
+def thread_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply components, siblings under an absent post kept together; depth orders the replay."""
+    return chains.thread_components(_replies(spark, sf_dir)).select("id", "component", "depth")
+
+
+@query(f"""WITH {_REPLIES}, c AS (SELECT user_id, count(*) AS n FROM replies WHERE n = 1 GROUP BY user_id)
+SELECT user_id, CAST(CASE WHEN n > 1 THEN n ELSE 0 END AS BIGINT) AS branched FROM c""")
+def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G18."""
+    return chains.branched_turns(_replies(spark, sf_dir), "user_id")
+
+
+@query(f"WITH {_REPLIES} SELECT DISTINCT 'gone-' || user_id AS missing FROM replies WHERE n = 1 AND user_id % 3 = 0")
+def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents to fetch, by an anti join."""
+    r = _replies(spark, sf_dir)
+    have = r.select(F.col("id").alias("parent_id"))
+    return r.where("parent_id is not null").join(have, "parent_id", "left_anti").select(F.col("parent_id").alias("missing")).distinct()
+
+
+@query(f"""WITH {_ITEMS}, p AS (SELECT *, lag(content) OVER (PARTITION BY conv_id ORDER BY message_no) AS u FROM msgs)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY message_no) - 1 AS segment, u AS user_text, content AS assistant_text FROM p WHERE role = 'assistant' AND u IS NOT NULL""")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G11."""
+    return messages.segments(views.posts(spark, sf_dir), ["conv_id"], ["turn"])
+
+
+@query("SELECT role || '-' || conv_id % 5 AS key, count(*) AS posts, upper(substr(min(role), 1, 1)) || substr(min(role), 2) AS display, CAST(min(conv_id * 1000 + turn) AS BIGINT) AS first_ord FROM conversations GROUP BY 1")
+def unique_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G14."""
+    return messages.unique_characters(views.posts(spark, sf_dir)).select("key", "posts", "display", "first_ord")
+
+
+@query("""WITH cast_ AS (SELECT role || '-' || conv_id % 5 AS key FROM conversations GROUP BY 1 HAVING count(*) >= 10),
+t AS (SELECT k.key, c.conv_id, c.turn, c.text, CASE WHEN c.role || '-' || c.conv_id % 5 = k.key THEN 'assistant' ELSE 'user' END AS role
+  FROM (SELECT DISTINCT x.key, c.conv_id FROM cast_ x JOIN conversations c ON c.role || '-' || c.conv_id % 5 = x.key) k JOIN conversations c ON c.conv_id = k.conv_id WHERE coalesce(c.text, '') <> ''),
+r AS (SELECT *, sum(c) OVER (PARTITION BY key, conv_id ORDER BY turn) AS island FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY key, conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM t)),
+g AS (SELECT key, conv_id, island, role FROM r GROUP BY ALL),
+p AS (SELECT *, lag(island) OVER (PARTITION BY key, conv_id ORDER BY island) AS u FROM g)
+SELECT key, count(*) AS segments FROM p WHERE role = 'assistant' AND u IS NOT NULL GROUP BY key""")
+def character_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each character with ten posts or more."""
+    p = views.posts(spark, sf_dir)
+    return messages.character_expansion(p, messages.unique_characters(p), ["conv_id"], ["turn"], 10).groupBy("key").agg(F.count("*").alias("segments"))
+
+
+@query("SELECT DISTINCT regexp_replace(regexp_replace(lower(role || '-' || conv_id % 5), '[^a-z0-9_-]', '_', 'g'), '_+', '_', 'g') AS character_dir, 'You are ' || upper(substr(role, 1, 1)) || substr(role, 2) || ' (' || role || '-' || conv_id % 5 || ').' AS system_prompt FROM conversations")
+def char_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory and system prompt of each character."""
+    c = messages.unique_characters(views.posts(spark, sf_dir))
+    return c.select(text.character_id(F.col("key")).alias("character_dir"), text.system_prompt(F.col("display"), F.col("key"), F.col("key")).alias("system_prompt"))
+
+
+# ---- scalar functions and filters
+
+_CLEAN = r"""trim(regexp_replace(array_to_string(list_transform(string_split(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), 'https://t\.co/[A-Za-z0-9_]+', '', 'g'), '@[A-Za-z0-9_.-]+', '', 'g'), '#[A-Za-z0-9_]+', '', 'g'),
+  chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' ')"""
+
+
+@query(f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(substr(regexp_replace(trim(regexp_replace(array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 5), ' '), '[^A-Za-z0-9_ -]', '', 'g')), ' +', '_', 'g'), 1, 50), ''), 'untitled') AS slug FROM documents""")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10, F11."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, length(trim(text, chr(10) || chr(9) || ' ')) AS n FROM documents WHERE length(trim(text, chr(10) || chr(9) || ' ')) >= 500")
+def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3."""
+    d = table(spark, sf_dir, "documents").where(text.long_enough(F.col("text"), 500))
+    return d.select("doc_id", text.utf16_length(text.trim(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT e AS prefix, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(e || text, '^RT($|[^A-Za-z0-9_])') THEN 1 ELSE 0 END) AS BIGINT) AS retweets, CAST(sum(CASE WHEN regexp_matches(e || text, '^RT @[A-Za-z0-9_]+:') THEN 1 ELSE 0 END) AS BIGINT) AS quoted FROM documents, (VALUES (''), ('RT '), ('RT @me: '), ('RTé')) v(e) GROUP BY e")
+def retweet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, G19."""
+    d = table(spark, sf_dir, "documents").select("text", F.explode(F.array(*map(F.lit, ("", "RT ", "RT @me: ", "RTé")))).alias("prefix"))
+    t = F.concat("prefix", "text")
+    return d.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(text.is_retweet(t).cast("long")).alias("retweets"), F.sum(text.is_quoted_retweet(t).cast("long")).alias("quoted"))
+
+
+@query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:30:00'")
+def time_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bounds inclusive, a date is its first moment."""
+    e = table(spark, sf_dir, "events")
+    since, until = times.parse(F.lit("2024-01-05")), times.parse(F.lit("2024-01-12T12:30:00Z"))
+    return e.where(F.col("ts").between(since, until)).select("event_id")
+
+
+@query("SELECT source, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source")
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count("*").alias("items"), F.sum(F.length("text")).cast("long").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
+def topk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7's table of the largest groups."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
+
+
+@query("""SELECT event_id, CASE WHEN i >= 1099511627776 THEN CAST((i >> 22) + 1288834974657 AS BIGINT) ELSE -1 END AS ms FROM (SELECT event_id, event_id * 987654321987 AS i FROM events)""")
+def snowflake_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16."""
+    at = times.snowflake_time(F.col("event_id") * F.lit(987654321987).cast("long"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.unix_millis(at), F.lit(-1)).cast("long").alias("ms"))
+
+
+@query(r"""SELECT event_id, CASE k % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') WHEN 2 THEN strftime(ts, '%Y-%m-%dT00:00:00.000Z') ELSE '1970-01-01T00:00:00.000Z' END AS at,
+ CASE k % 4 WHEN 0 THEN 'verbatim' WHEN 1 THEN 'parsed' WHEN 2 THEN 'parsed' ELSE 'fallback' END AS rule FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)""")
+def normalised_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFC 3339 kept, other times read, else the fallback, with the rule."""
+    e = views.event_rows(spark, sf_dir)
+    form = lambda f: F.date_format("ts", f)
+    said = F.when(F.col("k") % 4 == 0, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("k") % 4 == 1, form("yyyy-MM-dd HH:mm:ss")).when(F.col("k") % 4 == 2, form("yyyy-MM-dd")).otherwise("some day")
+    return e.select("event_id", times.normalised(said, F.lit("1970-01-01T00:00:00.000Z")).alias("n")).select("event_id", "n.at", "n.rule")
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'https://twitter.com/' || CASE WHEN source = 'src1' THEN 'me' ELSE 'i' END || '/status/' || doc_id WHEN source = 'src3' THEN 'https://bsky.app/profile/did:x/post/' || doc_id END AS permalink FROM documents")
+def permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F33."""
+    s = F.col("source")
+    kind = F.when(s.isin("src1", "src2"), "twitter:tweet").when(s == "src3", "bluesky:post").otherwise("glowfic:post")
+    item = F.when(s == "src3", F.concat(F.lit("at://did:x/app.bsky.feed.post/"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.permalink(kind, item, F.when(s == "src1", "me")).alias("permalink"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) FILTER (WHERE m <> '') AS links, count(DISTINCT m) FILTER (WHERE m <> '') AS targets FROM (SELECT page_id, url, unnest(list_append(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), '')) AS m FROM pages) GROUP BY page_id, url")
+def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F17's anchors: links of each page."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    p = table(spark, sf_dir, "pages").withColumn("a", links)
+    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size("a").cast("long").alias("links"), F.size(F.array_distinct(F.filter("a", lambda x: x != ""))).cast("long").alias("targets"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<br[^>]*>', chr(10), 'g'), '(?i)</(p|div|h[1-6]|li|ul|ol|blockquote|tr)>', chr(10) || chr(10), 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(em|i)>', '*', 'g'), '(?i)</?(strong|b)>', '**', 'g') AS h FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '[\2](\1)', 'g'), '<[^>]*>', '', 'g') AS h FROM c),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h FROM d)
+SELECT page_id, trim(regexp_replace(regexp_replace(h, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*\n', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' ') AS markdown FROM e""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 by documented rules."""
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("WITH p AS (SELECT page_id FROM pages WHERE page_id % 7 <> 3) SELECT n AS gap FROM generate_series((SELECT min(page_id) FROM p), (SELECT max(page_id) FROM p)) t(n) WHERE n NOT IN (SELECT page_id FROM p)")
+def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers between the first and the last page that have none."""
+    p = table(spark, sf_dir, "pages").where("page_id % 7 != 3").select("page_id")
+    following = F.lead("page_id").over(Window.partitionBy("part").orderBy("page_id"))
+    # gaps lie between neighbours: numbered within ranges of ids, then between ranges
+    parts = p.withColumn("part", F.floor(F.col("page_id") / 65536)).withColumn("next", following)
+    ends = parts.groupBy("part").agg(F.min("page_id").alias("a"), F.max("page_id").alias("page_id")).withColumn("next", F.lead("a").over(Window.orderBy("part"))).select("page_id", "next")
+    pairs = parts.select("page_id", "next").where("next is not null").unionByName(ends.where("next is not null"))
+    return pairs.where("next > page_id + 1").select(F.explode(F.sequence(F.col("page_id") + 1, F.col("next") - 1)).alias("gap"))
+
+
+@query("SELECT d.doc_id, count(e.event_id) AS media, coalesce(min(e.event_id), -1) AS first_media FROM documents d LEFT JOIN (SELECT event_id, event_id // 3 AS owner FROM events WHERE event_type = 'view' AND value > 0) e ON e.owner = d.doc_id GROUP BY d.doc_id")
+def media_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media grouped by their item, then left-joined."""
+    m = table(spark, sf_dir, "events").where("event_type = 'view' and value > 0").groupBy(F.expr("event_id div 3").alias("doc_id")).agg(F.count("*").alias("media"), F.min("event_id").alias("first_media"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(m, "doc_id", "left").select("doc_id", F.coalesce("media", F.lit(0)).cast("long").alias("media"), F.coalesce("first_media", F.lit(-1)).cast("long").alias("first_media"))
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS BIGINT) AS matched, CAST(count(*) FILTER (WHERE l.doc_id IS NULL) AS BIGINT) AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
+def archive_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: items that an archive's ids hold."""
+    known = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("there"))
+    there = F.col("there").isNotNull()
+    return table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left").agg(F.count(F.when(there, 1)).alias("matched"), F.count(F.when(~there, 1)).alias("unmatched"))
+
+
+# ---- decisions
+
+_DEC = """dec AS (
+  SELECT user_id || '/' || k % 10 AS id, CASE event_type WHEN 'purchase' THEN 'export' WHEN 'error' THEN 'skip' WHEN 'click' THEN 'unread' END AS status, event_type AS tag,
+    CASE WHEN value > 50 THEN 'note ' || event_id END AS notes, CASE WHEN k % 7 <> 0 THEN ts - to_hours(CAST(k % 48 AS INTEGER)) END AS ts, CASE WHEN k % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS "by", event_id AS ord
+  FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
+), app AS (
+  SELECT *, count(*) OVER b = 0 OR max(ts) OVER b IS NULL OR coalesce(ts >= max(ts) OVER b, false) AS applied FROM dec
+  WINDOW b AS (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), tg AS (SELECT id, string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT id, tag, min(ord) AS o FROM dec GROUP BY id, tag) GROUP BY id
+), folded AS (
+  SELECT id, arg_max(status, ord) FILTER (WHERE applied AND status IS NOT NULL) AS status, arg_max(notes, ord) FILTER (WHERE applied AND notes IS NOT NULL) AS notes,
+    arg_max("by", ord) FILTER (WHERE applied AND "by" IS NOT NULL) AS "by", coalesce(epoch_us(arg_max(ts, ord) FILTER (WHERE applied AND ts IS NOT NULL)), -1) AS ts_us FROM app GROUP BY id
+)"""
+
+
+@query(f"WITH {_DEC} SELECT f.*, t.tags FROM folded f JOIN tg t USING (id)")
+def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, D2."""
+    f = decisions.fold(views.decisions(spark, sf_dir).withColumn("status", decisions.known_status(F.col("status"))))
+    return f.select("id", "status", "notes", "by", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1)).cast("long").alias("ts_us"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_DEC} SELECT coalesce(status, 'unread') AS status, count(*) AS n FROM folded GROUP BY 1")
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5."""
+    return decisions.summary(decisions.fold(views.decisions(spark, sf_dir)))
+
+
+@query(f"WITH {_DEC}, i AS (SELECT DISTINCT o_custkey || '/' || o_orderkey % 10 AS id FROM orders) SELECT i.id, coalesce(f.status, 'unread') AS status, CASE coalesce(f.status, 'unread') WHEN 'export' THEN 2 WHEN 'skip' THEN 0 ELSE 1 END AS status_rank FROM i LEFT JOIN folded f USING (id)")
+def decision_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3, F38."""
+    items = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit("/"), (F.col("o_orderkey") % 10).cast("string")).alias("id")).distinct()
+    out = decisions.applied_to(items, decisions.fold(views.decisions(spark, sf_dir)))
+    return out.select("id", "status", decisions.status_rank(F.col("status")).alias("status_rank"))
+
+
+@query(f"WITH {_DEC} SELECT c_custkey FROM customer SEMI JOIN (SELECT id FROM folded WHERE status = 'export') f ON f.id = c_custkey || '/1'")
+def decision_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4."""
+    items = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("/1")).alias("id"))
+    return decisions.selected(items, decisions.fold(views.decisions(spark, sf_dir))).select("c_custkey")
+
+
+# ---- event log
+
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(f"SELECT event_id, {_UUID} AS id, 'events/' || event_type AS kind FROM (SELECT *, sha256('events' || chr(0) || 'item' || chr(0) || event_id || chr(0)) AS h FROM events)")
+def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F22, F23, E1."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", ids.event_id(F.lit("events"), F.lit("item"), F.col("event_id")).alias("id"), F.concat(F.lit("events/"), "event_type").alias("kind"))
+
+
+@query("SELECT event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS parent FROM events")
+def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has no parent of its own follows the event before it."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(-1)).cast("long").alias("parent"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(l) AS digest, left(l, length(l) - 1) || ',\"digest\":\"sha256:' || sha256(l) || '\"}' AS line FROM (SELECT doc_id, '{\"id\":' || doc_id || ',\"source\":\"' || source || '\"}' AS l FROM documents)")
+def line_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3, K14."""
+    line = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"source":"'), F.col("source"), F.lit('"}'))
+    return table(spark, sf_dir, "documents").select("doc_id", ids.line_digest(line).alias("digest"), ids.with_digest(line).alias("line"))
+
+
+@query("SELECT source || '-' || lang AS id, count(*) AS lines, count(DISTINCT sha256(text)) AS variants, CASE WHEN count(DISTINCT sha256(text)) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'single' END AS state FROM documents GROUP BY 1")
+def union_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4, P5, X3."""
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), "lang").alias("id"), F.sha2("text", 256).alias("body_digest"))
+    return log.union_state(d)
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS lines, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def union_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of equal bytes are one event."""
+    d = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_id"))
+    return d.where("lines > 1")
+
+
+_LOG = """ev AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+lv AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER b AS target, count(CASE WHEN event_type = 'view' THEN 1 END) OVER b AS views FROM ev
+  WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marks AS (SELECT target, bool_or(event_id % 20 = 0) AS suppressed, bool_or(event_id % 20 = 1) AS marked FROM lv WHERE event_type = 'error' AND target IS NOT NULL GROUP BY target),
+art AS (SELECT v.event_id AS id, coalesce(v.p, CASE WHEN user_id % 10 = 0 THEN -v.event_id - 1 END) AS parent, v.p AS real_parent, CASE WHEN k >= 5 THEN 'view ' || event_id END AS text, coalesce(suppressed, false) AS suppressed, coalesce(marked, false) AS marked, user_id
+  FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM ev WHERE event_type = 'view') v LEFT JOIN marks m ON m.target = v.event_id),
+vw AS (SELECT event_id AS view, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM ev WHERE event_type = 'view'),
+sel AS (SELECT l.event_id AS id, l.target AS chosen, v.view AS shown FROM lv l JOIN vw v ON v.user_id = l.user_id AND v.pos >= l.views - 3 AND v.pos < l.views WHERE l.event_type = 'purchase' AND l.target IS NOT NULL),
+sc AS (SELECT target, count(*) AS score_count, avg(value) AS mean FROM lv WHERE event_type = 'click' AND target IS NOT NULL GROUP BY target),
+se AS (SELECT shown AS target, count(*) AS selection_count, CAST(sum(CASE WHEN chosen = shown THEN 1 ELSE 0 END) AS BIGINT) AS selected_count FROM sel GROUP BY shown),
+board AS (SELECT coalesce(sc.target, se.target) AS target, coalesce(score_count, 0) AS score_count, mean, coalesce(selection_count, 0) AS selection_count, coalesce(selected_count, 0) AS selected_count FROM sc FULL JOIN se ON sc.target = se.target),
+ctx AS (SELECT id, coalesce(bool_or(suppressed) OVER p, false) AS sup, coalesce(bool_or(marked) OVER p, false) AS mark, user_id % 10 = 0 AS partial, count(CASE WHEN text IS NOT NULL AND NOT suppressed THEN 1 END) OVER p AS segments
+  FROM (SELECT a.*, v.pos FROM art a JOIN vw v ON v.view = a.id) WINDOW p AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.leaderboard(views.scores(spark, sf_dir), views.selections(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT id, suppressed, marked FROM art WHERE suppressed OR marked")
+def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What critical events and no-train marks name."""
+    return views.artifacts(spark, sf_dir).where("suppressed or marked").select("id", "suppressed", "marked")
+
+
+@query(f"WITH {_LOG} SELECT target, string_agg(event_id, ',' ORDER BY event_id) AS marks FROM lv WHERE event_type = 'error' AND target IS NOT NULL AND event_id % 20 = 1 GROUP BY target")
+def no_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2."""
+    m = views.latest_views(spark, sf_dir).where("event_type = 'error' and target is not null and event_id % 20 = 1")
+    marks = m.select(F.col("event_id").alias("id"), F.array("target").alias("parents"), F.lit("no-train").alias("label"), F.lit(False).alias("suppressed"))
+    return log.no_train(marks).select("target", F.array_join(F.transform("marks", lambda x: x.cast("string")), ",").alias("marks"))
+
+
+@query(f"WITH {_LOG} SELECT target, score_count, round(mean, 6) AS mean, selection_count, selected_count FROM board")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11, L7."""
+    b = _board(spark, sf_dir)
+    return b.select("target", F.col("score_count").cast("long").alias("score_count"), F.round("mean", 6).alias("mean"), F.col("selection_count").cast("long").alias("selection_count"), F.col("selected_count").cast("long").alias("selected_count"))
+
+
+_SFT = """CASE WHEN a.id IS NULL THEN 'ineligible' WHEN a.suppressed THEN 'suppressed-completion' WHEN a.text IS NULL THEN 'no-text' WHEN a.marked THEN 'no-train' WHEN c.partial THEN 'partial' WHEN c.sup THEN 'suppressed-context' WHEN c.mark THEN 'no-train-context' END"""
+
+
+@query(f"WITH {_LOG}, s AS (SELECT b.target, round(b.mean, 6) AS weight, {_SFT} AS skip, a.text, c.segments FROM board b LEFT JOIN art a ON a.id = b.target LEFT JOIN ctx c ON c.id = b.target WHERE b.score_count > 0 OR b.selected_count > 0) SELECT target, weight, text AS completion, CAST(segments AS BIGINT) AS segments FROM s WHERE skip IS NULL")
+def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4-L7, L9."""
+    a = views.artifacts(spark, sf_dir)
+    s = training.sft(a, _board(spark, sf_dir), training.contexts(a)).where("skip is null")
+    return s.select("target", F.round("weight", 6).alias("weight"), F.col("text").alias("completion"), F.size("segments").cast("long").alias("segments"))
+
+
+@query(f"WITH {_LOG}, s AS (SELECT {_SFT} AS skip FROM board b LEFT JOIN art a ON a.id = b.target LEFT JOIN ctx c ON c.id = b.target WHERE b.score_count > 0 OR b.selected_count > 0) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM s GROUP BY 1")
+def sft_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L6, L10."""
+    a = views.artifacts(spark, sf_dir)
+    s = training.sft(a, _board(spark, sf_dir), training.contexts(a))
+    return s.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_PAIR = """SELECT s.id AS selection, s.chosen, s.shown AS rejected, CASE WHEN x.suppressed OR y.suppressed THEN 'suppressed' WHEN x.text IS NULL OR y.text IS NULL THEN 'no-text' WHEN x.marked OR y.marked THEN 'no-train'
+  WHEN x.parent IS DISTINCT FROM y.parent THEN 'different-parent' WHEN c.partial THEN 'partial' WHEN c.sup THEN 'suppressed-context' WHEN c.mark THEN 'no-train-context' END AS skip
+  FROM sel s JOIN art x ON x.id = s.chosen JOIN art y ON y.id = s.shown JOIN ctx c ON c.id = s.chosen WHERE s.chosen <> s.shown"""
+
+
+@query(f"WITH {_LOG} {_PAIR}")
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8."""
+    a = views.artifacts(spark, sf_dir)
+    return training.preferences(a, views.selections(spark, sf_dir), training.contexts(a)).select("selection", "chosen", "rejected", "skip")
+
+
+@query(f"WITH {_LOG}, p AS ({_PAIR}) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM p GROUP BY 1")
+def pair_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8, L10."""
+    a = views.artifacts(spark, sf_dir)
+    p = training.preferences(a, views.selections(spark, sf_dir), training.contexts(a))
+    return p.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+# ---- sessions, search, fronts
+
+@query("""WITH r AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_id AS id, CAST(props->>'$.k' AS BIGINT) % 10 AS call_id, event_type FROM events)
+SELECT file, line, id, coalesce(lag(id) OVER (PARTITION BY file ORDER BY line), -1) AS previous, coalesce(CASE WHEN event_type = 'purchase' THEN last_value(CASE WHEN event_type = 'click' THEN id END IGNORE NULLS) OVER (PARTITION BY file, call_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, -1) AS call FROM r""")
+def call_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence parents, and outputs as of their call."""
+    r = sessions.sequence_parents(views.call_rows(spark, sf_dir))
+    kind = F.col("event_type")
+    return sessions.call_parents(r, kind == "click", kind == "purchase").fillna(-1, ["previous", "call"]).select("file", "line", "id", "previous", "call")
+
+
+@query("""WITH r AS (SELECT doc_id, source AS file, doc_id AS line, left(text, 12) AS uuid, sha256(text) AS d FROM documents),
+w AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY file, line) AS n, first_value(d) OVER (PARTITION BY uuid ORDER BY file, line) AS f FROM r)
+SELECT doc_id, CASE WHEN n = 1 THEN 'canonical' WHEN f = d THEN 'pointer' ELSE 'annotation' END AS role FROM w""")
+def uuid_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").alias("line"), F.substring("text", 1, 12).alias("uuid"), "text")
+    return sessions.repeats(d, "uuid", F.col("text")).select("doc_id", "role")
+
+
+@query("""WITH t AS (SELECT user_id AS candidate, CAST(props->>'$.k' AS BIGINT) AS key, value, event_id AS ord FROM events WHERE event_type <> 'error'),
+k AS (SELECT *, min(ord) OVER (PARTITION BY candidate) AS s FROM (SELECT *, row_number() OVER (PARTITION BY candidate, key ORDER BY ord DESC) AS n FROM t) WHERE n = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value DESC, s, candidate) AS i FROM k)
+SELECT candidate, count(*) AS keys_won FROM w WHERE i = 1 GROUP BY candidate""")
+def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E14, E15."""
+    return pareto.front(views.trajectories(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(text, 'and the') ORDER BY source, doc_id LIMIT 50")
+def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9."""
+    return search.literal(table(spark, sf_dir, "documents"), "and the", ["source", "doc_id"], 50).select("doc_id", "source")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(text, 'tion the') ORDER BY conv_id, turn LIMIT 200")
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9 over postings."""
+    c = table(spark, sf_dir, "conversations")
+    key = ["conv_id", "turn"]
+    return search.by_postings(c, search.postings(c, key), "tion the", key, key, 200).select(*key)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+def public_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users and assistants said, and nothing else."""
+    c = table(spark, sf_dir, "conversations").withColumn("type", F.when(F.col("role") == "user", "input_text").when(F.col("role") == "assistant", "output_text").otherwise("system"))
+    return search.public_segments(c, ["conv_id", "turn"]).select("conv_id", "turn", "role", "text")
