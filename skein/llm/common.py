@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +25,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Only where neither the context nor the session names one (a local test) a
     temporary folder is set.
     """
-    spark = df.sparkSession
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder in use; a temporary one is set only where there is none (a local test)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+class Tables:
+    """Intermediate tables, written as Parquet in the shared checkpoint folder and dropped together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with: it does so when the driver collects its garbage."""
+    for _ in range(2):  # the first round ends the plans' objects on either side, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ prefix-free, and every suffix starts in exactly one phrase.
 
 1. Triggers are counted over the corpus. A phrase whose trigger occurs once holds no
    repeated suffix: most text ends here, with 8 bytes moved for about 50.
-2. The phrases left make the dictionary, in sections of at most STEP suffixes aligned
-   to the trigger. A section whose whole text recurs is repeated in all its suffixes;
-   one whose core (what all its suffixes share) doesn't recur, in none.
+2. The phrases left make the dictionary. One that is there twice or more is repeated
+   in all its suffixes. The others are cut in sections of at most STEP suffixes, aligned
+   to the trigger: one whose whole text recurs is repeated in all its suffixes, one
+   whose core (what all its suffixes share) doesn't recur, in none.
 3. Only the sections in between, at the ends of repeated stretches, are put in corpus
    order suffix by suffix: by the first LENGTH bytes, under a hash.
 
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpointed
+from skein.llm.common import Tables, checkpointed, release
 
 #: Bytes of a repeated string, of a trigger window, and suffixes of a section.
 LENGTH, TRIGGER, STEP = 200, 100, 25
@@ -110,52 +111,57 @@ def _count_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(1 + again.astype(np.int64))], names=["h", "n"])
 
 
-def _list_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(phrases(_bytes_of(t))[0]) for t in batch.column(2).to_pylist()]
-        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        h = np.concatenate(found) if found else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), *(batch.column(i).take(pa.array(row)) for i in (0, 1))], names=["h", "did", "th"])
-
-
-def sections(data: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(core hash, whole hash, first suffix, last suffix) of the sections of the phrases whose triggers are wanted.
+        cells, row = [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            data = _bytes_of(text)
+            h, first, last, _ = phrases(data)
+            if len(h):
+                view = memoryview(data)
+                whole = np.array([xxhash.xxh3_64_intdigest(view[x : y + LENGTH]) for x, y in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+                cells.append((h, whole, first, last))
+                row += [i] * len(h)
+        if row:
+            h, whole, first, last = (np.concatenate(c) for c in zip(*cells, strict=True))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(_signed(whole)), *(batch.column(i).take(at) for i in (0, 1)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "whole", "did", "th", "a", "b"])
+
+
+def sections(data: bytes, wanted: list[tuple]) -> Iterator[tuple[tuple, tuple[int, int, int, int]]]:
+    """(phrase, (core hash, whole hash, first suffix, last suffix)) of the sections of phrases (trigger hash, first, last suffix, ...).
 
     A phrase goes on while the least hash stays equal, so in a text with a short
     period it may hold several places of its trigger; each suffix is aligned to the
     last of them that it holds.
     """
-    h, first, last, _ = phrases(data)
-    all_hashes = rolling_hashes(np.frombuffer(data, np.uint8)) if len(h) else None
+    hashes = rolling_hashes(np.frombuffer(data, np.uint8))
     view, width = memoryview(data), LENGTH - TRIGGER
-    for i in np.flatnonzero(np.isin(h, wanted)):
-        lo, hi = int(first[i]), int(last[i])
-        places = lo + np.flatnonzero(all_hashes[lo : hi + width + 1] == h[i])
-        for j, t in enumerate(places.tolist()):
-            begin = max(lo, t - width)
-            end = min(hi, t, int(places[j + 1]) - width - 1 if j + 1 < len(places) else hi)
-            x = begin
+    for phrase in wanted:
+        h, lo, hi = phrase[:3]
+        places = (lo + np.flatnonzero(hashes[lo : hi + width + 1] == np.uint64(h))).tolist()
+        for j, t in enumerate(places):
+            x = max(lo, t - width)
+            end = min(hi, t, places[j + 1] - width - 1 if j + 1 < len(places) else hi)
             while x <= end:
                 q = min((t - x) // STEP, (width - 1) // STEP)  # suffixes with STEP * q up to STEP * (q + 1) bytes before the trigger
-                stop = min(end, t - STEP * q)
-                core = t - STEP * q
-                reach = STEP * (q + 1) if STEP * (q + 1) < width else width
-                yield (
-                    xxhash.xxh3_64_intdigest(view[core : t + TRIGGER + width - reach], q),
-                    xxhash.xxh3_64_intdigest(view[x : stop + LENGTH], q),
-                    x,
-                    stop,
-                )
+                stop, reach = min(end, t - STEP * q), min(STEP * (q + 1), width)
+                core = view[t - STEP * q : t + LENGTH - reach]
+                yield phrase, (xxhash.xxh3_64_intdigest(core, q), xxhash.xxh3_64_intdigest(view[x : stop + LENGTH], q), x, stop)
                 x = stop + 1
 
 
 def _list_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(*r, did, th) for did, th, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for r in sections(_bytes_of(text), np.array(wanted, np.int64).view(np.uint64))]
+        rows = []
+        for did, th, text, open_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            data = _bytes_of(text)
+            for (_, _, _, n), found in sections(data, [(s["h"] % (1 << 64), s["a"], s["b"], s["n"]) for s in open_]):
+                rows.append((*found, did, th, n))
         if rows:
-            core, whole, a, b, did, th = zip(*rows, strict=True)
+            core, whole, a, b, did, th, n = zip(*rows, strict=True)
             hashes = [pa.array(_signed(np.array(x, np.uint64))) for x in (core, whole)]
-            yield pa.RecordBatch.from_arrays([*hashes, pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["core", "whole", "did", "th", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=["core", "whole", "did", "th", "a", "b", "n"])
 
 
 def _list_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,27 +176,65 @@ def _list_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_suffixes(keyed: DataFrame) -> DataFrame:
-    """did, th, ranges (array of a, b): the repeated suffixes a..b of each row of keyed (did, th, text); a row without any is absent.
+    """did, th, ranges (array of a, b): what the suffixes a..b cover is what the repeated ones do, for each row of keyed (did, th, text); a row without any is absent.
 
     Rows equal in did, th and text give the same ranges once; they count as often as they are there.
     """
+    spark, tables = keyed.sparkSession, Tables(keyed.sparkSession)
+    place = F.struct("did", "th", "a", "b")
+
+    def per_text(open_: DataFrame, *cells: str) -> DataFrame:
+        """The texts that have something open, with it."""
+        lists = open_.groupBy("did", "th").agg(F.collect_list(F.struct(*cells)).alias("open"))
+        return keyed.join(lists, ["did", "th"]).select("did", "th", "text", "open")
+
     counts = keyed.select("text").mapInArrow(_count_triggers, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    again = counts.where("n > 1").select("h")
-    held = keyed.select("did", "th", "text").mapInArrow(_list_triggers, "h long, did long, th long").join(again, "h")
-    held = held.groupBy("did", "th").agg(F.collect_set("h").alias("wanted"))
-    parts = keyed.join(held, ["did", "th"]).select("did", "th", "text", "wanted").mapInArrow(_list_sections, "core long, whole long, did long, th long, a int, b int")
-    parts = checkpointed(parts)
-    by_whole = parts.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "a", "b")).alias("one"))
-    by_core = by_whole.groupBy("core").agg(F.count("*").alias("kinds"))
-    kinds = checkpointed(by_whole.join(by_core, "core"))
-    whole = parts.join(kinds.where("n > 1").select("core", "whole"), ["core", "whole"]).select("did", "th", "a", "b")
-    # one of each kind, where a core has several kinds
-    open_ = kinds.where("kinds > 1").select("core", "n", "one.*").groupBy("did", "th").agg(F.collect_list(F.struct("core", "a", "b", "n")).alias("open"))
-    suffixes = keyed.join(open_, ["did", "th"]).select("did", "th", "text", "open").mapInArrow(_list_suffixes, "core long, suffix long, did long, th long, at int, n long")
-    suffixes = checkpointed(suffixes)
+    listed = keyed.select("did", "th", "text").mapInArrow(_list_phrases, "h long, whole long, did long, th long, a int, b int")
+    # a trigger that is there twice may be so in one phrase only
+    found = tables.write(listed.join(counts.where("n > 1").select("h"), "h"))
+    del counts, listed
+    release(spark)
+    by_whole = found.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    kinds = tables.write(by_whole.join(by_whole.groupBy("h").agg(F.count("*").alias("kinds")), "h"))
+    again = tables.write(found.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"]).select("did", "th", "a", "b"))
+    del by_whole, found
+    release(spark)
+    # one phrase of each kind, where it may share suffixes with others or with itself
+    open_ = kinds.where("kinds > 1 or n = 1").select("h", "n", "one.*")
+    parts = tables.write(per_text(open_, "h", "a", "b", "n").mapInArrow(_list_sections, "core long, whole long, did long, th long, a int, b int, n long"))
+    del kinds, open_
+    release(spark)
+    by_whole = parts.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.min(place).alias("one"))
+    kinds = tables.write(by_whole.join(by_whole.groupBy("core").agg(F.count("*").alias("kinds")), "core").where("n > 1 or kinds > 1"))
+    alike = parts.where("n = 1").join(kinds.where("n > 1").select("core", "whole"), ["core", "whole"]).select("did", "th", "a", "b")
+    again = again.unionByName(alike)
+    suffixes = tables.write(per_text(kinds.where("kinds > 1").select("core", "n", "one.*"), "core", "a", "b", "n").mapInArrow(_list_suffixes, "core long, suffix long, did long, th long, at int, n long"))
+    del by_whole, kinds, alike
+    release(spark)
     twice = suffixes.groupBy("core", "suffix").agg(F.sum("n").alias("n")).where("n > 1").select("core", "suffix")
     single = suffixes.where("n = 1").join(twice, ["core", "suffix"]).select("did", "th", F.col("at").alias("a"), F.col("at").alias("b"))
-    return whole.unionByName(single).groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"))
+    ranges = again.unionByName(single).groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = checkpointed(ranges.mapInArrow(_united, "did long, th long, ranges array<struct<a:int,b:int>>"))
+    tables.drop()
+    del parts, suffixes, again, twice, single
+    release(spark)
+    return ranges
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges whose covers touch become one; in order."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        rows = []
+        for ranges in batch.column(2).to_pylist():
+            out: list[dict] = []
+            for a, b in sorted((r["a"], r["b"]) for r in ranges):
+                if out and a <= out[-1]["b"] + LENGTH:
+                    out[-1]["b"] = max(out[-1]["b"], b)
+                else:
+                    out.append({"a": a, "b": b})
+            rows.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["did", "th", "ranges"])
 
 
 def cut_out(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
