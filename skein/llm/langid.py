@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of the fit, at the least for one language; hashed features; languages learned (the commonest).
-SAMPLE, LEAST, FEATURES, LANGUAGES = 4000, 16, 4096, 256
+SAMPLE, LEAST, FEATURES, LANGUAGES = 1600, 16, 4096, 256
 #: A runner-up within this share of the best one's loss makes a row ambiguous.
 NEAR = 0.1
 UNKNOWN = "und"
@@ -109,7 +109,7 @@ def fit(vectors: np.ndarray, labels: list[str], steps: int = 300, rate: float =
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, labels = (batch.column(i).to_pylist() for i in (0, 1))
-        kept = [(ngrams(t).tobytes(), x) for t, x in zip(texts, labels, strict=True) if has_letter(t)]
+        kept = [(ngrams(t).astype(np.float16).tobytes(), x) for t, x in zip(texts, labels, strict=True) if has_letter(t)]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.string())], names=["v", "label"])
 
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str =
         rate = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, each / r[1]))).otherwise(rate)
     chosen = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) < rate * (1 << 30)
     found = rows.where(chosen).select(text_col, lang_col).mapInArrow(_vectors, "v binary, label string").orderBy("label", "v").collect()
-    return fit(np.frombuffer(b"".join(r["v"] for r in found), np.float32).reshape(-1, FEATURES), [r["label"] for r in found])
+    return fit(np.frombuffer(b"".join(r["v"] for r in found), np.float16).astype(np.float32).reshape(-1, FEATURES), [r["label"] for r in found])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
