@@ -48,3 +48,21 @@ def test_pipeline_run(spark):
     import corpus_pipeline as p
 
     assert len(p.STAGES) == 5 and p.run(spark, SF).count() > 0
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (None, near), (None, text("b")), (None, text("c")), (None, text("c")), (2, near), (2, text("d")), (3, text("e")), (3, text("f")), (4, text("g")), (4, text("g") + " more"), (4, text("g")), (5, text("h")), (5, text("h")), (6, ""), (6, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, source string, kept long")
+    out = p.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    (g,) = (t for i, t in left if i == 4)
+    assert g in (text("g"), text("g") + " more")
+    wanted = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (3, text("e")), (3, text("f")), (4, g), (5, text("h")), (6, ""), (6, None), (None, "")]
+    assert sorted(left, key=repr) == sorted(wanted, key=repr)
+    unique = docs.where("doc_id in (1, 6) or text like 'b%'")
+    assert sorted(p.near_dedup(spark, unique, SF).collect(), key=repr) == sorted(unique.collect(), key=repr)
