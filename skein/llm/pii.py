@@ -27,17 +27,36 @@ class Kind:
     always: bool  # kept whatever its score
 
 
+#: Characters of an IBAN by country: the registry's, then those in use beside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG CV", 25: "LY PT ST AO GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An IBAN of its country's length, so that it ends before a word in capitals or another IBAN; else of any length, up to where one of a known country may begin."""
+    known = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"\\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+    group = f"(?:\\x20(?!(?:{known})(?![A-Za-z0-9])))?[A-Z0-9]"
+    return f"(?<![A-Za-z0-9])(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?:{group}{{4}}){{2,7}}(?:{group}{{1,3}})?)(?![A-Za-z0-9])"
+
+
 #: In the order in which spans are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@[A-Za-z0-9-]", "mail|contact|reach|write", 0.9, True),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]+\.[0-9]", r"\bip\b|address|host|server|login", 0.6, True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}", "card|visa|credit|payment|amex", 0.8, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax", 0.7, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", r"iban|bank|account|konto|compte|cuenta", 0.8, False),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", r"iban|bank|account|konto|compte|cuenta", 0.8, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", r"ssn|social|security", 0.3, False),
 )
 #: Characters on either side in which context words are looked for; what they add; the score from which other kinds are kept.
 WINDOW, CONTEXT_ADDS, KEPT_FROM = 40, 0.3, 0.5
+#: A gap that ends in a word of its own for the number after it; words that only join numbers.
+OWN_WORD, JOINING = r"\p{L}[\s:#.]*$", r"(?i)(?<!\p{L})(?:and|or|und|oder|et|ou|y|e|o|u)\s*$"
+#: Stands in contexts where one ends; no character of a text.
+_END = "\uffff"
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -99,27 +118,48 @@ def running_sums(values: Column) -> Column:
 def spans_of(kind: Kind, text: Column) -> Column:
     """Array of (kind, start, end, score) of the confirmed matches in a text that isn't null.
 
-    Context words are looked for in the WINDOW characters on either side, as far as
-    the next match of the kind.
+    Context words are looked for in the WINDOW characters on either side. These reach
+    over other matches of the kind, as in a list that is announced once, but not over
+    a gap that ends in a word of its own for the match after it.
     """
-    found, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+    matches, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
 
-    def aligned(gaps: Column) -> Column:
-        # (match, characters between it and the one before, what is near it); the last gap has no match
-        ends = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.size(gaps)), lambda a, b: F.struct(F.length(a).cast("long").alias("gap"), F.concat_ws(" ", F.substring(a, -WINDOW, WINDOW), F.substring(b, 1, WINDOW)).alias("near")))
-        pairs = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("match"), e["gap"].alias("gap"), e["near"].alias("near")))
+    def aligned(found: Column, gaps: Column) -> Column:
+        # (match, characters between it and the one before); the last gap has no match
+        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("match"), F.length(g).cast("long").alias("gap")))
         return F.filter(pairs, lambda p: p["match"].isNotNull())
 
     def place(ps: Column) -> Column:
         before = running_sums(F.transform(ps, lambda p: p["gap"] + F.length(p["match"])))
-        return F.zip_with(ps, before, lambda p, b: F.struct(p["match"].alias("match"), p["near"].alias("near"), (b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["match"])).alias("end")))
-
-    placed = F.filter(let(let(between, aligned), place), lambda m: confirmed(kind.name, m["match"]))
-
-    def scored(m: Column) -> Column:
-        return F.least(F.lit(kind.base) + F.when(F.lower(m["near"]).rlike(kind.context), CONTEXT_ADDS).otherwise(0.0), F.lit(1.0))
-
-    out = F.transform(placed, lambda m: F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), scored(m).alias("score")))
+        at = F.zip_with(ps, before, lambda p, b: F.struct(p["match"].alias("match"), (b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["match"])).alias("end")))
+        return F.transform(at, lambda m, i: F.struct(*(m[c].alias(c) for c in ("match", "start", "end")), i.alias("i")))
+
+    def pieces(found: Column, gaps: Column) -> Column:
+        # of each gap: what it and the match before, or the match after, are to a context beyond them
+        last = lambda c: F.translate(F.substring(c, -WINDOW, WINDOW), _END, " ")
+        first = lambda c: F.translate(F.substring(c, 1, WINDOW), _END, " ")
+        ends = lambda g: F.when(g.rlike(OWN_WORD) & ~g.rlike(JOINING), _END).otherwise("")
+        none = F.array(F.lit(""))
+        left = F.zip_with(gaps, F.concat(none, found), lambda g, m: F.concat(last(m), ends(last(g)), last(g)))
+        right = F.zip_with(gaps, F.concat(found, none), lambda g, m: F.concat(first(g), ends(last(g)), first(m)))
+        return F.struct(left.alias("left"), right.alias("right"))
+
+    def scored(m: Column, p: Column) -> Column:
+        # a match has two characters or more: so many pieces cover the window
+        reach = WINDOW // 2 + 1
+        side = lambda name, start, n: F.array_join(F.slice(p[name], start, n), "")
+        left = F.substring_index(side("left", F.greatest(m["i"] + 2 - reach, F.lit(1)), F.least(m["i"] + 1, F.lit(reach))), _END, -1)
+        right = F.substring_index(side("right", m["i"] + 2, F.lit(reach)), _END, 1)
+        near = F.concat_ws(" ", F.substring(left, -WINDOW, WINDOW), F.substring(right, 1, WINDOW))
+        score = F.least(F.lit(kind.base) + F.when(F.lower(near).rlike(kind.context), CONTEXT_ADDS).otherwise(0.0), F.lit(1.0))
+        return F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"))
+
+    def spans(found: Column, gaps: Column) -> Column:
+        placed = F.filter(let(aligned(found, gaps), place), lambda m: confirmed(kind.name, m["match"]))
+        made = lambda ms: let(pieces(found, gaps), lambda p: F.transform(ms, lambda m: scored(m, p)))
+        return let(placed, lambda ms: F.when(F.size(ms) > 0, made(ms)).otherwise(F.array().cast(_SPAN)))
+
+    out = let(matches, lambda found: let(between, lambda gaps: spans(found, gaps)))
     out = out if kind.always else F.filter(out, lambda s: s["score"] >= KEPT_FROM)
     return F.when(text.rlike(kind.needs), out).otherwise(F.array().cast(_SPAN))
 

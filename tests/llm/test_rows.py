@@ -107,6 +107,34 @@ def test_pii_more_kinds_and_redaction(spark):
     assert pii.find(df.where("false")).count() == 0
 
 
+def test_pii_lists_and_ibans_before_other_tokens(spark):
+    at, de, no = "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    ssn = ["123-45-6789", "234-56-7890", "345-67-8901"]
+    cases = {
+        f"SSNs: {', '.join(ssn)}": ssn,
+        f"{ssn[0]} and {ssn[1]} (social security)": ssn[:2],
+        f"ssn {ssn[0]}, part {ssn[1]}, {ssn[2]}": ssn[:1],
+        f"ssn {'x' * 36} {ssn[0]}": [],
+        f"ssn {ssn[0]} {'- ' * 20} {ssn[1]}": ssn[:1],
+        f"{at} AND {de} NOW": [at, de],
+        f"{at} {de} {no} 12": [at, de, no],
+        f"{at.replace(' ', '')} 2024, {at} ABCD": [at.replace(" ", ""), at],
+        f"AB12 CDEF GH34 {de}": [de],
+        "AT61 1904 3002 3457 3202 AND": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    kept = lambda r: [r.text[s.start : s.end] for s in r.spans if s.kind in ("iban", "ssn")]
+    assert {r.text: kept(r) for r in pii.find(df).collect()} == cases
+    # a word in front of a list counts for each number whose window reaches it
+    df = spark.createDataFrame([(1, "call +1 743 555-3824; +1 743 555-3825; " + "x" * 40 + " +1 743 555-3826")], "doc_id long, text string")
+    assert [round(s.score, 1) for s in pii.find(df).first().spans if s.kind == "phone"] == [1.0, 1.0, 0.7]
+
+
+def test_many_matches_take_linear_time(spark):
+    df = spark.createDataFrame([("ssn 123-45-6789 " * 30_000,), ("4111111111111111, " * 20_000,), ("AB12 " * 50_000,)], "text string")
+    assert [r.n for r in pii.find(df).select(F.size("spans").alias("n")).collect()] == [30_000, 20_000, 0]
+
+
 def test_long_texts_take_linear_time(spark):
     df = spark.createDataFrame([("1." * 100_000,), ("a" * 200_000,), ("a@b.c " * 30_000,)], "text string")
     assert [r.n for r in pii.find(df).select(F.size("spans").alias("n")).collect()] == [25_000, 0, 30_000]
