@@ -20,41 +20,44 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir, which all executors share.
-
-    Only where neither the context nor the session names one (a local test) a
-    temporary folder is set.
-    """
-    _folder(df.sparkSession)
+    """Cut the lineage in the folder of spark.checkpoint.dir, which all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder in use; a temporary one is set only where there is none (a local test)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder in use. Where neither the context nor the session names one, a local master gets a temporary folder and any other an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="skein-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 class Tables:
-    """Intermediate tables, written as Parquet in the shared checkpoint folder and dropped together."""
+    """Intermediate tables, written as Parquet in the shared checkpoint folder and dropped when they are done with."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths = spark, {}
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{_folder(self.spark)}/{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
 
-    def drop(self) -> None:
+    def drop(self, table: DataFrame | None = None) -> None:
+        """Deletes one table, or all of them."""
         jvm = self.spark._jvm
-        for path in self.paths:
+        for path in [p for p, t in self.paths.items() if table is None or t is table]:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = []
+            del self.paths[path]
 
 
 def release(spark: SparkSession) -> None:

@@ -70,8 +70,7 @@ def brute_components(rows, size):
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, monkeypatch, size):
     tune(spark)
-    for name, value in (("WINDOW", 2), ("CELL", 16), ("BLOCK", 16)):
-        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "WINDOW", 2)
     rng = random.Random(size)
     words = [f"w{i}" for i in range(300)]
     edit = lambda d, k: [rng.choice(words) if rng.random() < k / len(d) else x for x in d]
@@ -87,6 +86,19 @@ def test_near_duplicates(spark, monkeypatch, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
 
 
+def test_near_duplicates_of_crowds(spark):
+    """Variants of one text that are near that text only, and look-alikes that are linked with nothing, in regions far over the window."""
+    tune(spark)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(200)]
+    edit = lambda k: [rng.choice(words) if i in at else x for at in [set(rng.sample(range(200), k))] for i, x in enumerate(base)]
+    rows = [(i, " ".join(base if i == 250 else edit(rng.randint(14, 20) if i % 2 else rng.randint(30, 36)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = neardup.near_duplicates(df, shingle=2)
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == brute_components(rows, 2)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
