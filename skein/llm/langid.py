@@ -6,9 +6,11 @@ language whose codeword has the least loss under the bits' margins, each bit wei
 by how well it did on its training rows, and is marked ambiguous where the runner-up
 is nearly as near.
 
-The fit sees a bounded sample: about SAMPLE labelled rows, in equal numbers for each
-language, chosen by a hash of the id. Of those, whole texts count. Prediction is a
-map over all rows with the weights (at most FEATURES * 4 * bits bytes) at hand.
+The fit sees a bounded sample of labelled rows: about `sample` of them, in equal numbers
+for each language and LEAST of each at the least, chosen by a hash of the id. Of those,
+whole texts count. One executor task fits them; the driver gets the weights (FEATURES *
+4 * bits bytes; the bits grow with the logarithm of the number of languages). All
+languages present are learned. Prediction is a map over all rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the fit, at the least for one language; hashed features; languages learned (the commonest).
-SAMPLE, LEAST, FEATURES, LANGUAGES = 1600, 16, 4096, 256
+#: Rows of the fit, at the least for one language; hashed features.
+SAMPLE, LEAST, FEATURES = 4000, 16, 4096
 #: A runner-up within this share of the best one's loss makes a row ambiguous.
 NEAR = 0.1
 UNKNOWN = "und"
@@ -109,23 +111,40 @@ def fit(vectors: np.ndarray, labels: list[str], steps: int = 300, rate: float =
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, labels = (batch.column(i).to_pylist() for i in (0, 1))
-        kept = [(ngrams(t).astype(np.float16).tobytes(), x) for t, x in zip(texts, labels, strict=True) if has_letter(t)]
+        kept = [(ngrams(t).tobytes(), x) for t, x in zip(texts, labels, strict=True) if has_letter(t)]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.string())], names=["v", "label"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample to one model."""
+    labels, vectors = [], []
+    for batch in batches:
+        labels += batch.column(0).to_pylist()
+        vectors += [np.frombuffer(v, np.float32) for v in batch.column(1).to_pylist()]
+    model = fit(np.array(vectors, np.float32).reshape(-1, FEATURES), labels)
+    cells = [pa.array([list(model.languages)], pa.list_(pa.string())), pa.array([model.code.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.trust.tobytes()])]
+    yield pa.RecordBatch.from_arrays(cells, names=["languages", "code", "weights", "trust"])
+
+
 def train(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fits on a sample of the rows in fold that have a text and a language."""
-    rows = docs.where(fold & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    if not counts:
+    """Fits on a sample of the rows in fold that have a text and a language.
+
+    Rows of one id are drawn together; a repeated row counts as often as it is there. A
+    null id or fold leaves a row out. Without any row the model knows no language.
+    """
+    rows = docs.where(fold & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    each = F.greatest(F.lit(LEAST), F.floor(F.lit(sample) / F.count("*").over(Window.partitionBy(F.lit(0)))))
+    # a row for each language, whose number labels bound
+    rates = F.broadcast(counts.select("label", F.least(F.lit(1.0), each / F.col("n")).alias("rate")))
+    chosen = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    found = rows.join(rates, "label").where(chosen).select("text", "label").mapInArrow(_vectors, "v binary, label string")
+    one = found.select("label", "v").repartition(1).sortWithinPartitions("label", "v")
+    got = one.mapInArrow(_fitted, "languages array<string>, code binary, weights binary, trust binary").collect()
+    if not got:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    each = max(LEAST, sample // len(counts))
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, each / r[1]))).otherwise(rate)
-    chosen = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) < rate * (1 << 30)
-    found = rows.where(chosen).select(text_col, lang_col).mapInArrow(_vectors, "v binary, label string").orderBy("label", "v").collect()
-    return fit(np.frombuffer(b"".join(r["v"] for r in found), np.float16).astype(np.float32).reshape(-1, FEATURES), [r["label"] for r in found])
+    r, bits = got[0], len(got[0]["trust"]) // 8
+    return LanguageModel(tuple(r["languages"]), np.frombuffer(r["code"], np.int8).reshape(-1, bits), np.frombuffer(r["weights"], np.float32).reshape(-1, bits), np.frombuffer(r["trust"], np.float64))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
