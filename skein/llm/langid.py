@@ -122,7 +122,7 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels += batch.column(0).to_pylist()
         vectors += [np.frombuffer(v, np.float32) for v in batch.column(1).to_pylist()]
     model = fit(np.array(vectors, np.float32).reshape(-1, FEATURES), labels)
-    cells = [pa.array([list(model.languages)], pa.list_(pa.string())), pa.array([model.code.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.trust.tobytes()])]
+    cells = [pa.array([list(model.languages)], pa.list_(pa.string())), pa.array([model.code.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.trust.astype(np.float64).tobytes()])]
     yield pa.RecordBatch.from_arrays(cells, names=["languages", "code", "weights", "trust"])
 
 
