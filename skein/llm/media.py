@@ -1,8 +1,8 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area resizing by integral images, NPY tiles and difference hashes.
 
 decode() reads P1 to P6 (8 or 16 bits a sample, bit and ASCII forms) and
-uncompressed BMP of 1, 4, 8, 24 and 32 bits. Anything else, cut short or malformed,
-gives None: a row of media_features() then has its digests and null features.
+uncompressed BMP of 1, 4, 8, 24 and 32 bits. Anything else, cut short or malformed, or
+with a sample above its maximum, gives None: a row of media_features() then has its digests and null features.
 """
 
 from __future__ import annotations
@@ -45,10 +45,10 @@ def _netpbm(data: bytes) -> np.ndarray | None:
     if kind in b"123":
         text = re.sub(rb"#[^\n]*", b"", data[at:])
         values = np.array(list(text.translate(None, b" \t\r\n\v\f")) if kind == b"1" else text.split(), dtype=np.int64)
-        values = values - 48 if kind == b"1" else values
-        if len(values) < w * h * depth:
+        out = (values - 48 if kind == b"1" else values)[: w * h * depth]
+        if len(out) < w * h * depth:
             return None
-        out = values[: w * h * depth].reshape(h, w, depth)
+        out = out.reshape(h, w, depth)
     elif kind == b"4":
         stride, at = (w + 7) // 8, at + 1
         if len(data) - at < stride * h:
@@ -59,6 +59,8 @@ def _netpbm(data: bytes) -> np.ndarray | None:
         if len(data) - at < w * h * depth * form.itemsize:
             return None
         out = np.frombuffer(data, form, w * h * depth, at).reshape(h, w, depth)
+    if out.min() < 0 or out.max() > most:
+        return None
     if kind in b"14":
         return ((1 - out.astype(np.uint8)) * 255).astype(np.uint8)
     return out.astype(np.uint8 if most < 256 else np.uint16)
@@ -90,7 +92,7 @@ def decode(data: bytes) -> np.ndarray | None:
         if re.match(rb"P[1-6]", data):
             return _netpbm(data)
         return _bmp(data) if data[:2] == b"BM" else None
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, OverflowError, struct.error, IndexError):
         return None
 
 
@@ -148,8 +150,8 @@ def text_to_media(df: DataFrame, text_col: str = "text") -> DataFrame:
                 kept = [c for i, c in enumerate(part.columns) if i != place]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[*names, "n_bytes", "media"])
 
-    _text = "__text"
-    clean = df.drop("n_bytes", "media", _text)
+    clean = df.drop("n_bytes", "media")
+    _text = max(clean.columns, key=len) + "_"  # a name that no column has
     names = [c for c in clean.columns if c != text_col]
     shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema if f.name != text_col]
     return clean.withColumnRenamed(text_col, _text).mapInArrow(run, ", ".join([*shape, "n_bytes long", "media binary"]))

@@ -10,6 +10,7 @@ characters only where the match before it ended.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -91,10 +92,10 @@ def confirmed(kind: str, match: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def _running(values: Column, start: Column) -> Column:
-    """start, start + first, start + first + second, ... as long as values."""
+def _running(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """start, add(start, first), add(add(start, first), second), ... as long as values."""
     state = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(values, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    return F.aggregate(values, state, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,15 +103,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def running_sums(values: Column) -> Column:
-    """The sum of what lies before each element of an array of longs; in about sqrt(n) parts, as growing an array copies it."""
+def running_sums(values: Column, add: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """The sum (by add, from 0) of what lies before each element of an array of longs; in about sqrt(n) parts, as growing an array copies it."""
     zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
 
     def parted(v: Column, part: Column) -> Column:
         parts = F.sequence(F.lit(0), F.ceil(F.size(v) / part).cast("int") - 1)
         of = lambda i: F.slice(v, i * part + 1, part)
-        sums = F.transform(parts, lambda i: F.aggregate(of(i), zero, lambda a, x: a + x))
-        return F.flatten(F.transform(_running(sums, zero), lambda at, i: _running(of(i), at)))
+        sums = F.transform(parts, lambda i: F.aggregate(of(i), zero, add))
+        return F.flatten(F.transform(_running(sums, zero, add), lambda at, i: _running(of(i), at, add)))
 
     return let(values, lambda v: F.when(F.size(v) > 0, let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda part: parted(v, part))).otherwise(none))
 
@@ -188,16 +189,17 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same columns, every span replaced by its kind in brackets; spans that overlap become one, named by the first. A null text stays null."""
-    found = find(docs, text_col).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(F.lit(0))))
+    own = max(docs.columns, key=len) + "_"  # a column spans of the input passes through under this name
+    found = find(docs.withColumnRenamed("spans", own), text_col).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(F.lit(0))))
     text = F.col(text_col)
     cut = lambda a, n: F.substr(text, (a + 1).cast("int"), n.cast("int"))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(
-        "spans",
-        state,
-        lambda s, p: F.when(p["start"] < s["at"], F.struct(F.greatest(s["at"], p["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-            F.struct(p["end"].alias("at"), F.concat(s["out"], F.array(cut(s["at"], p["start"] - s["at"]), F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]")))).alias("out"))
-        ),
-        lambda s: F.concat(F.array_join(s["out"], ""), cut(s["at"], F.length(text) - s["at"])),
-    )
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(*docs.columns)
+
+    def cleaned(spans: Column) -> Column:
+        # where what lies before each span ends; a span that starts before that is part of another
+        reached = running_sums(F.transform(spans, lambda p: p["end"]), lambda a, b: F.greatest(a, b))
+        rows = F.filter(F.zip_with(spans, reached, lambda p, at: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), at.alias("at"))), lambda p: p["start"] >= p["at"])
+        named = F.transform(rows, lambda p: F.concat(cut(p["at"], p["start"] - p["at"]), F.lit("["), F.upper(p["kind"]), F.lit("]")))
+        end = F.array_max(F.transform(spans, lambda p: p["end"]))
+        return F.concat(F.array_join(named, ""), cut(end, F.length(text) - end))
+
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, let(F.col("spans"), cleaned)).otherwise(text)).select(*(F.col(own).alias(c) if c == "spans" else c for c in docs.columns))

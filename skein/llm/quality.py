@@ -1,16 +1,18 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives (label 1) and unlabelled web text (everything else, label 0
-included, its label unread) give the non-negative unbiased risk
+Trusted positives (label 1) and unlabelled web text (all rows, whatever their label,
+which is unread) give the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-under the logistic loss, with an estimated share of positives as prior. The model is
-additive over binned surface statistics of the whole text. Last, one slope and one
-shift, fitted on the labelled rows of the training fold, turn margins into scores.
+under the logistic loss. The model is additive over binned surface statistics of the
+whole text. No row of label 0 is looked at as such, neither for the weights nor for the
+prior: this is the least share of unlabelled to positive rows among the best-scored
+ones, under a first model (there, where negatives are rare, unlabelled rows are as
+frequent as the prior says). The score is the logistic of the margin.
 
-The fit sees bounded samples, chosen by a hash of the id: about POSITIVES trusted
-rows, UNLABELLED others and LABELLED rows for the last step. Scoring is a map.
+The fit sees bounded samples, chosen by a hash of the id: about `positives` trusted rows
+and `unlabelled` others (None: all). Scoring is a map over all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POSITIVES, UNLABELLED, LABELLED = 6000, 12000, 12000
+#: Rows of the fit by default.
+POSITIVES, UNLABELLED = 6000, 12000
 BINS = 24
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "stops", "bars", "shouts", "marks", "distinct", "commonest", "echoes", "lines_again", "lines", "bare", "punctuated", "short", "long", "packed", "run", "brackets", "capitals")
 _LOWER, _UPPER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
@@ -80,60 +83,71 @@ class QualityModel:
     edges: np.ndarray  # statistics x (BINS - 1)
     weights: np.ndarray  # statistics x BINS
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         places = bins(x, self.edges)
         return self.bias + self.weights[np.arange(x.shape[1])[None, :], places].sum(1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(x) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(x), -40, 40)))
 
 
 def bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(edges, x.T, strict=True)], 1)
 
 
+def risk(weights: np.ndarray, bias: float, positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """The positive part and the negative part of the risk, and the gradient (weights, bias) to follow; positives and unlabelled hold a cell number for each statistic.
+
+    Where the negative part is below 0 the gradient leads back up to it.
+    """
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    back = lambda c, g: np.bincount(c.ravel(), np.repeat(g, c.shape[1]), len(weights))
+    zp, zu = weights[positives].sum(1) + bias, weights[unlabelled].sum(1) + bias
+    plus = prior * np.logaddexp(0, -zp).mean()
+    minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up, down = sig(zu) / len(zu), prior * sig(zp) / len(zp)
+    gp, gu = (prior * (sig(zp) - 1) / len(zp) - down, up) if minus >= 0 else (down, -up)
+    return plus, minus, back(positives, gp) + back(unlabelled, gu), gp.sum() + gu.sum()
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> QualityModel:
-    """Minimises the non-negative risk by Adam; where the negative part falls below 0 it is climbed back, as is usual for it."""
+    """Minimises the non-negative risk by Adam."""
     both = np.concatenate([positives, unlabelled])
     edges = np.quantile(both, np.arange(1, BINS) / BINS, axis=0).T
     n, k = both.shape[1], BINS
-    cell = lambda x: bins(x, edges) + np.arange(n) * k
-    cp, cu = cell(positives), cell(unlabelled)
+    cp, cu = (bins(x, edges) + np.arange(n) * k for x in (positives, unlabelled))
     w, b = np.zeros(n * k), math.log(prior / (1 - prior))
     m, v = np.zeros(n * k + 1), np.zeros(n * k + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    back = lambda c, g: np.bincount(c.ravel(), np.repeat(g, n), n * k)
     for t in range(1, steps + 1):
-        zp, zu = w[cp].sum(1) + b, w[cu].sum(1) + b
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sig(zp) - 1) / len(zp), np.zeros(len(zu))
-        if risk >= 0:
-            gp, gu = gp - prior * sig(zp) / len(zp), sig(zu) / len(zu)
-        else:
-            gp, gu = prior * sig(zp) / len(zp), -sig(zu) / len(zu)
-        g = np.append(back(cp, gp) + back(cu, gu) + decay * w, gp.sum() + gu.sum())
+        _, _, gw, gb = risk(w, b, cp, cu, prior)
+        g = np.append(gw + decay * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return QualityModel(edges, w.reshape(n, k), b)
 
 
-def calibrated(model: QualityModel, x: np.ndarray, y: np.ndarray) -> QualityModel:
-    """Slope and shift by Newton's steps on the logistic loss with softened targets; unchanged where a class is missing."""
-    ones, noughts = int(y.sum()), int(len(y) - y.sum())
-    if not ones or not noughts:
-        return model
-    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (noughts + 2))
-    z = np.stack([model.margins(x), np.ones(len(y))], 1)
-    at = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ at, -40, 40)))
-        h = z.T @ (z * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-        at = at - np.clip(np.linalg.solve(h, z.T @ (p - target)), -2, 2)
-    return QualityModel(model.edges, model.weights, model.bias, float(at[0]), float(at[1])) if at[0] > 0 else model
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> float:
+    """The share of positives among unlabelled rows, kept off 0 and 1.
+
+    First models, under a prior of a half, order the rows; each row by the one that is
+    fitted on the other half of the rows (equal rows lie in one half). Of the rows above
+    any cut, unlabelled ones are at least prior times as frequent as positives; the
+    estimate is that ratio at the cut where its upper bound (by a standard deviation) is least.
+    """
+    half = lambda x: np.array([zlib.crc32(row.tobytes()) & 1 for row in x], int)
+    parts = [[x[half(x) == i] for x in (positives, unlabelled)] for i in (0, 1)]
+    if min(len(x) for part in parts for x in part) < 1:
+        return 0.5
+    models = [fit(*part, 0.5, steps, decay=1e-2) for part in parts]
+    p, u = (np.sort(np.concatenate([models[1 - i].margins(parts[i][j]) for i in (0, 1)])) for j in (0, 1))
+    cuts = np.quantile(p, np.arange(0, 0.9, 0.01))
+    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
+    share, mine = above(u), above(p)
+    bound = (share + np.sqrt(share * (1 - share) / len(u))) / np.maximum(mine - np.sqrt(mine * (1 - mine) / len(p)), 1e-9)
+    at = int(np.argmin(bound))
+    return float(min(0.98, max(0.02, share[at] / max(mine[at], 1e-9))))
 
 
 def _features(docs: DataFrame, text_col: str) -> DataFrame:
@@ -149,29 +163,29 @@ def _features(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*shape, "x array<double>"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """Learns from the rows in fold (of either table). None where there is no trusted positive."""
-    marks = labels.where(fold & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("mark"))
-    counts = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
-    total, trusted = docs.where(fold).count(), counts.get(1, 0)
-    if not trusted:
-        return None
-    drawn = lambda seed, want, have: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, want / max(have, 1)) * (1 << 30))
-    # about POSITIVES + LABELLED ids at most, so they are sent to the texts and no text is moved
-    labelled = marks.where((F.col("mark") == 1) & drawn(11, POSITIVES, trusted) | drawn(13, LABELLED, sum(counts.values())))
-    use = docs.where(fold).select(id_col, text_col)
-    known = _features(use.join(F.broadcast(labelled), id_col), text_col)
-    known = known.select("mark", "x", ((F.col("mark") == 1) & drawn(11, POSITIVES, trusted)).alias("trusted"), drawn(13, LABELLED, sum(counts.values())).alias("last")).collect()
-    web = _features(use.where(drawn(17, UNLABELLED, total)), text_col).select("x").collect()
-    known.sort(key=lambda r: (r["mark"], r["x"]))
-    x = np.array([r["x"] for r in known]).reshape(-1, len(NAMES))
-    y, is_trusted, last = (np.array([r[k] for r in known], int) for k in ("mark", "trusted", "last"))
-    u = np.array(sorted(r["x"] for r in web)).reshape(-1, len(NAMES))
-    if not is_trusted.any() or not len(u):
+def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int | None = POSITIVES, unlabelled: int | None = UNLABELLED) -> QualityModel | None:
+    """Learns from the rows in fold (of either table). None where there is no trusted positive.
+
+    An id is trusted if any of its labels is 1; null ids and labels take no part. Rows of
+    one id are drawn together: bounds on rows hold as far as ids are not repeated.
+    """
+    trusted = labels.where(fold & F.col(id_col).isNotNull() & (F.col(label_col) == 1)).select(id_col).distinct()
+    use = docs.where(fold & F.col(id_col).isNotNull()).select(id_col, text_col)
+
+    def drawn(rows: DataFrame, seed: int, want: int | None) -> DataFrame:
+        if want is None:
+            return rows
+        rate = min(1.0, want / max(rows.count(), 1))
+        return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+    few = drawn(trusted, 11, positives)
+    # about so many ids at most, so they are sent to the texts and no text is moved
+    few = F.broadcast(few) if positives is not None else few
+    found = [_features(rows, text_col).select("x").toArrow().column(0) for rows in (use.join(few, id_col, "left_semi"), drawn(use, 17, unlabelled))]
+    p, u = (np.array(sorted(c.to_pylist())).reshape(-1, len(NAMES)) for c in found)
+    if not len(p):
         return None
-    # labels are given to rows at random, so their share of ones estimates the prior; kept off 0 and 1
-    prior = min(0.98, max(0.02, trusted / sum(counts.values())))
-    return calibrated(fit(x[is_trusted == 1], u, prior), x[last == 1], y[last == 1])
+    return fit(p, u, estimated_prior(p, u))
 
 
 def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text") -> DataFrame:

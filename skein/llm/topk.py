@@ -31,24 +31,20 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 512
 STRIP = 512
 #: Share of the squared length that the leading coordinates must hold.
 HEAD_ENERGY = 0.7
-#: Bases are held by every task, so their cells are bounded; beyond it a dimension keeps its own axes.
-BASIS_CELLS = 1 << 23
 NONE, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 BLOCK = "dim int, block long, n int, longest double, ids binary, vectors binary"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """id, v: floor(scale * x) of each component, x as double.
+    """id, v: floor(scale * x) of each component, x as double; beyond 64 bits the ends of these.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite
-    component, take no part. So that a score always fits 64 bits, components stop at
-    sqrt(2**62 / length of the vector) on either side.
+    component, take no part.
     """
     x = F.col(vec_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    most = F.floor(F.sqrt(F.lit(2.0**62) / F.greatest(F.size(x), F.lit(1))))
-    v = F.transform(x, lambda c: F.greatest(F.least(F.floor(F.lit(float(scale)) * c.cast("double")), most), -most))
+    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
     return df.where(F.col(id_col).isNotNull() & x.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -94,20 +90,16 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rotations(blocks: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
-    """For each dimension the singular basis of all its rows and how many leading axes hold HEAD_ENERGY."""
-    dims = sorted(r["dim"] for r in blocks.select("dim").distinct().collect() if r["dim"])
-    cells, kept = 0, []
-    for d in dims:
-        cells += d * d
-        if cells <= BASIS_CELLS:
-            kept.append(d)
-    sums = blocks.where(F.col("dim").isin(kept)).mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).collect()
+    """For each dimension the singular basis of all its rows and how many leading axes hold HEAD_ENERGY.
+
+    A basis has the square of its dimension in cells, at the driver and in every task.
+    """
+    sums = blocks.where("dim > 0").mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toArrow()
+    dim, i, j, s = (sums.column(k).to_numpy() for k in range(4))
     out = {}
-    for d in kept:
-        g = np.zeros((d, d))
-        for r in sums:
-            if r["dim"] == d:
-                g[r["i"], r["j"]] = r["s"]
+    for d in np.unique(dim).tolist():
+        g, own = np.zeros((d, d)), dim == d
+        g[i[own], j[own]] = s[own]
         values, axes = np.linalg.eigh((g + g.T) / 2)
         values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
         share = np.cumsum(values) / max(values.sum(), 1e-300)
@@ -132,6 +124,14 @@ class _Best:
         self.scores[which], self.ids[which] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of a with all of b; those beyond 64 bits stop at the ends of these."""
+    norm = lambda x: float(np.sqrt((x.astype(float) ** 2).sum(1)).max(initial=0))
+    if norm(a) * norm(b) < 2.0**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, int(NONE) + 1, int(LAST)).astype(np.int64).reshape(len(a), len(b))
+
+
 def search(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, best: _Best, basis: tuple[np.ndarray, int] | None) -> None:
     """Adds to best what the rows, longest first, have for the queries."""
     d = queries.shape[1]
@@ -161,7 +161,7 @@ def search(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, best: _Best,
         if exact_floats:
             scores = np.rint(q[live] @ c[pick].T).astype(np.int64)
         else:
-            scores = queries[live] @ rows[pick].T
+            scores = products(queries[live], rows[pick])
         scores = np.where(may[:, some], scores, NONE)
         best.add(live, scores, np.where(may[:, some], ids[pick][None, :], LAST))
 
@@ -182,7 +182,8 @@ def _pairs(k: int, bases: dict, seed: bool):
                     yield pa.RecordBatch.from_pylist([out], schema=_QUERY_SCHEMA)
                     continue
                 at = np.nonzero(best.ids != LAST)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[0]), row["q_block"])), pa.array(at[0].astype(np.int32)), pa.array(q_ids[at[0]]), pa.array((q[at[0]] ** 2).sum(1)), pa.array(best.ids[at]), pa.array(best.scores[at])], names=["q_block", "place", "query_id", "own", "vec_id", "score"])
+                own = np.array([products(x[None, :], x[None, :])[0, 0] for x in q], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[0]), row["q_block"])), pa.array(at[0].astype(np.int32)), pa.array(q_ids[at[0]]), pa.array(own[at[0]]), pa.array(best.ids[at]), pa.array(best.scores[at])], names=["q_block", "place", "query_id", "own", "vec_id", "score"])
 
     return run
 
@@ -217,10 +218,17 @@ def topk(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     # checkpointed, so that the block numbers stay
     q_blocks = checkpointed(q_blocks.join(seeds, F.col("q_dim") == F.col("dim"), "left").mapInArrow(_pairs(k1, bases, True), shape))
 
+    # shards are ranges of length, longest first: a query block goes to those that it may reach, and no further
     n = blocks.count()
     shards = max(1, min(n, 3 * spark.sparkContext.defaultParallelism), math.ceil(n / 32))
-    tiles = q_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = blocks.withColumn("shard", F.pmod(F.xxhash64("block", "dim", "longest"), F.lit(shards)).cast("int"))
+    ends = sorted(blocks.approxQuantile("longest", [1 - s / shards for s in range(1, shards)], 1 / (4 * shards)), reverse=True) if shards > 1 else []
+    ends = F.array(*map(F.lit, ends)).cast("array<double>")
+    may = lambda longest: F.col("q_longest") * longest * (1 + 1e-9) + 1 >= F.col("q_min")
+    tiles = q_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.size(F.filter(ends, may)))))
+    place = F.size(F.filter(ends, lambda x: x >= F.col("longest")))
+    # where many blocks have one length its end is there several times: they are dealt over as many shards
+    alike = F.greatest(F.when(place > 0, F.size(F.filter(ends, lambda x: x == F.element_at(ends, place)))), F.lit(1))
+    held = blocks.withColumn("shard", place - F.pmod(F.xxhash64("block", "dim"), alike).cast("int"))
     reach = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("q_min")
     pairs = tiles.join(held, (tiles["shard"] == held["shard"]) & (F.col("q_dim") == F.col("dim")) & reach).drop("shard")
     found = pairs.mapInArrow(_pairs(k1, bases, False), "q_block long, place int, query_id long, own long, vec_id long, score long")

@@ -46,6 +46,18 @@ def test_topk(spark, monkeypatch):
     assert topk.topk(none, none, 10).count() == 0
 
 
+def test_topk_of_large_components_and_equal_lengths(spark, monkeypatch):
+    """Components far beyond 32 bits keep their exact scores; beyond 64 bits scores stop at the ends."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    rows = [(0, [1e7, 1.0]), (100, [0.5, 0.25]), (1, [1.0, -1.0]), (2, [2.0**30, 3.0]), (3, [-1.0, 1.0])] + [(i, [1.0, 0.0]) for i in range(4, 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(df, "vec_id", "embedding")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.topk(v.where("id % 100 = 0"), v, 10).collect()}
+    assert found == {(q, r): (c, min(s, 2**63 - 1)) for q, r, c, s in brute_topk(rows, 10)}
+    wide = np.array([[2**62, 2**62], [1, 1]])
+    assert topk.products(wide, wide).tolist() == [[2**63 - 1, 2**63 - 1], [2**63 - 1, 2]]
+
+
 def brute_components(rows, size):
     sets = [set(neardup.shingle_set(t, size).tolist()) for _, t in rows]
     up = list(range(len(rows)))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -269,3 +270,83 @@ def test_quality_edges(spark):
     model = quality.fit(x[4000:6000], x, 0.5, steps=300)
     s = model.scores(x)
     assert s[:4000].mean() < 0.3 < 0.7 < s[4000:].mean()
+
+
+def test_quality_risk_and_its_gradient():
+    """The non-negative risk by its definition, row by row, and its gradient by differences."""
+    rng = np.random.default_rng(3)
+    w, b, prior = rng.normal(size=12), 0.3, 0.4
+    p, u = rng.integers(0, 4, (9, 3)) + np.array([0, 4, 8]), rng.integers(0, 4, (20, 3)) + np.array([0, 4, 8])
+    for scale in (1, 8):  # the second has a negative part below 0
+        weights = w * scale if scale == 1 else np.where(np.isin(np.arange(12), p), 6.0, -6.0)
+        plus, minus, gw, gb = quality.risk(weights, b, p, u, prior)
+        margin = lambda rows, wt, bias: [sum(wt[c] for c in r) + bias for r in rows]
+        loss = lambda z, y: math.log1p(math.exp(-y * z))
+        mean = lambda x: sum(x) / len(x)
+
+        def parts(wt, bias):
+            zp, zu = margin(p, wt, bias), margin(u, wt, bias)
+            return prior * mean([loss(z, 1) for z in zp]), mean([loss(z, -1) for z in zu]) - prior * mean([loss(z, -1) for z in zp])
+
+        assert (plus, minus) == pytest.approx(parts(weights, b))
+        followed = lambda wt, bias: sum(parts(wt, bias)) if minus >= 0 else -parts(wt, bias)[1]
+        steps = np.eye(12) * 1e-6
+        assert gw == pytest.approx(np.array([(followed(weights + d, b) - followed(weights - d, b)) / 2e-6 for d in steps]), abs=1e-6)
+        assert gb == pytest.approx((followed(weights, b + 1e-6) - followed(weights, b - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_quality_prior():
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.8):
+        x = rng.normal(size=(6000, len(quality.NAMES)))
+        good = rng.random(6000) < share
+        x[good, 0] += 5
+        assert abs(quality.estimated_prior(x[good][:1500], x) - share) < 0.06
+
+
+def test_media_samples_out_of_range_and_wide_ones():
+    for data in (b"P2 2 1 255 300 1", b"P2 2 1 255 -1 1", b"P1 2 1 7 9", b"P5 2 1 10\n\x09\xff", b"P2 1 1 255 99999999999999999999999"):
+        assert media.decode(data) is None
+    wide = np.array([[[1, 500, 65535]]], np.uint16)
+    assert (media.decode(b"P6 1 1 65535\n" + wide.astype(">u2").tobytes()) == wide).all()
+    assert (media.decode(b"P3 1 1 255 1 2 3") == [[[1, 2, 3]]]).all()
+    assert media.features(b"no image") == {"height": None, "width": None, "dhash": None, "tile": None}
+
+
+def test_media_features_by_plain_loops():
+    """Tile and difference hash against area means summed pixel by pixel."""
+    image = np.random.default_rng(2).integers(0, 256, (11, 24)).astype(np.uint8)
+    found = media.features(media.encode_pgm(image.tobytes()))
+
+    def cells(rows, columns):
+        out = np.zeros((rows, columns))
+        for r in range(rows):
+            for c in range(columns):
+                y0, y1, x0, x1 = r * 11 / rows, (r + 1) * 11 / rows, c * 24 / columns, (c + 1) * 24 / columns
+                for y in range(11):
+                    for x in range(24):
+                        out[r, c] += image[y, x] * max(0, min(y + 1, y1) - max(y, y0)) * max(0, min(x + 1, x1) - max(x, x0))
+                out[r, c] /= (y1 - y0) * (x1 - x0)
+        return out
+
+    tile = np.load(io.BytesIO(found["tile"]))[:, :, 0]
+    assert abs(tile - cells(16, 16)).max() <= 0.5 + 1e-6
+    small = cells(8, 9)
+    bits = "".join(str(int(round(small[r, c], 6) < round(small[r, c + 1], 6))) for r in range(8) for c in range(8))
+    assert found["dhash"] == f"{int(bits, 2):016x}"
+
+
+def test_redact_of_overlapping_and_many_spans(spark):
+    many = " ".join(f"a{i}@b.org" for i in range(3000))
+    rows = [(1, "to +49 (0)30 1234567 or 10.0.0.1, me@x.org"), (2, many), (3, None), (4, ""), (5, "ip 1.2.3.4@host.org end")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, spans string")
+    out = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert out[2].text == " ".join(["[EMAIL]"] * 3000) and out[3].text is None and out[4].text == "" and out[1].spans == "s"
+    for i, text in rows[:1] + rows[4:]:
+        spans = sorted((s["start"], s["end"], s["kind"]) for s in pii.find(df.where(f"doc_id = {i}").drop("spans")).first().spans)
+        at, made = 0, ""
+        for a, b, kind in spans:
+            if a >= at:
+                made += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert out[i].text == made + text[at:]
