@@ -343,7 +343,7 @@ def test_redact_of_overlapping_and_many_spans(spark):
     out = {r.doc_id: r for r in pii.redact(df).collect()}
     assert out[2].text == " ".join(["[EMAIL]"] * 3000) and out[3].text is None and out[4].text == "" and out[1].spans == "s"
     for i, text in rows[:1] + rows[4:]:
-        spans = sorted((s["start"], s["end"], s["kind"]) for s in pii.find(df.where(f"doc_id = {i}").drop("spans")).first().spans)
+        spans = sorted(((s["start"], s["end"], s["kind"]) for s in pii.find(df.where(f"doc_id = {i}").drop("spans")).first().spans), key=lambda s: s[0])
         at, made = 0, ""
         for a, b, kind in spans:
             if a >= at:
