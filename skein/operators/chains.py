@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.closure import ancestors, roots
+from skein.operators.closure import ancestors, heights, nearest, present_edges, roots
 
 #: Sources whose items may form threads of their owner; the source of items fetched for context.
 OWN, FETCHED = ("twitter:tweet", "bluesky:post"), "bluesky:fetched"
@@ -100,12 +100,46 @@ def branched_turns(nodes: DataFrame, group: str) -> DataFrame:
 
 def nearest_kept_ancestor(nodes: DataFrame, kept: Column) -> DataFrame:
     """node, ancestor: the closest ancestor for which kept holds, null where there is none."""
-    up = nodes.where(kept).select(F.col("id").alias("ancestor"))
-    near = ancestors(nodes).join(up, "ancestor").groupBy("node").agg(F.min_by("ancestor", "distance").alias("ancestor"))
-    return nodes.select(F.col("id").alias("node")).join(near, "node", "left")
+    return nearest(nodes, kept)
 
 
 def depth_below(nodes: DataFrame) -> DataFrame:
     """node, below: how far its deepest descendant lies."""
-    deepest = ancestors(nodes).groupBy("ancestor").agg(F.max("distance").alias("below"))
-    return nodes.select(F.col("id").alias("node")).join(deepest.withColumnRenamed("ancestor", "node"), "node", "left").select("node", F.coalesce("below", F.lit(0)).cast("long").alias("below"))
+    return heights(nodes)
+
+
+def only_threads(chained: DataFrame) -> DataFrame:
+    """Conversations go; what isn't in a chain is no thread either."""
+    return chained.where("kind = 'thread'")
+
+
+def parents_first(nodes: DataFrame, order: str = "ord") -> DataFrame:
+    """The nodes with place: parents come before their children, equals in the given order. Places are numbered within a depth."""
+    depth = roots(nodes).select(F.col("node").alias("id"), "depth")
+    placed = nodes.join(depth, "id")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(order, "id")).cast("long"))
+
+
+def best_children(nodes: DataFrame, board: DataFrame) -> DataFrame:
+    """parent_id, child, rule: of the children of a parent (null: of the roots) the one that a reader follows.
+
+    The only one; else by times selected, rank, depth below it and id, where siblings
+    have selections; by rank, depth and id where they have scores; else by depth and
+    id. board: id, selected, rank (null without a score).
+    """
+    up = present_edges(nodes).select(F.col("node").alias("id"), "parent")
+    rows = nodes.select("id").join(up, "id", "left").join(heights(nodes).withColumnRenamed("node", "id"), "id").join(board.select("id", "selected", "rank"), "id", "left")
+    # without selections, or scores, all siblings are equal in them
+    key = F.struct((-F.coalesce("selected", F.lit(0))).alias("s"), F.coalesce("rank", F.lit(2**62)).alias("r"), (-F.col("below")).alias("b"), "id")
+    best = rows.groupBy("parent").agg(F.min(key).alias("k"), F.count("*").alias("n"), F.max(F.coalesce("selected", F.lit(0))).alias("s"), F.count("rank").alias("scored"))
+    rule = F.when(F.col("n") == 1, "only").when(F.col("s") > 0, "selection").when(F.col("scored") > 0, "score").otherwise("longest")
+    return best.select(F.col("parent").alias("parent_id"), F.col("k.id").alias("child"), rule.alias("rule"))
+
+
+def main_path(nodes: DataFrame, board: DataFrame) -> DataFrame:
+    """pos, id: from the best root on, best child by best child, by jumps along the best links only."""
+    best = best_children(nodes, board)
+    links = best.where("parent_id is not null").select(F.col("child").alias("id"), "parent_id")
+    walk = roots(nodes.select("id").join(links, "id", "left"))
+    start = best.where("parent_id is null").select(F.col("child").alias("root"))
+    return walk.join(start, "root").select(F.col("depth").alias("pos"), F.col("node").alias("id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.tables import checkpointed
@@ -40,6 +40,38 @@ def roots(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> Data
     raise CycleError("parent links form a cycle")
 
 
+def heights(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
+    """node, below: how far its deepest descendant lies. A row for each node in every round; rounds grow with the logarithm of the depth."""
+    total = nodes.count()
+    state = nodes.select(F.col("id").alias("node")).join(present_edges(nodes, parent), "node", "left")
+    state = checkpointed(state.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("below")))
+    for i in range(rounds):
+        if state.where("up is not null").isEmpty():
+            return state.select("node", "below")
+        if 2**i > 2 * total:
+            break
+        # up lies 2 ** i above; below is right for descendants nearer than that
+        more = state.where("up is not null").groupBy(F.col("up").alias("node")).agg((F.max("below") + 2**i).alias("more"))
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        state = state.join(more, "node", "left").join(far, "up", "left").select("node", F.col("up2").alias("up"), F.greatest("below", "more").alias("below"))
+        state = checkpointed(state)
+    raise CycleError("parent links form a cycle")
+
+
+def nearest(nodes: DataFrame, kept: Column, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
+    """node, ancestor: the closest ancestor for which kept holds, null where there is none; jumps over the others double."""
+    flags = nodes.select(F.col("id").alias("parent"), F.coalesce(kept, F.lit(False)).alias("done"))
+    state = nodes.select(F.col("id").alias("node")).join(present_edges(nodes, parent), "node", "left").join(flags, "parent", "left")
+    state = checkpointed(state.select("node", F.col("parent").alias("at"), F.coalesce("done", F.lit(True)).alias("done")))
+    for _ in range(rounds):
+        if state.where("not done").isEmpty():
+            return state.select("node", F.col("at").alias("ancestor"))
+        far = state.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("done").alias("done2"))
+        step = state.where("not done").join(far, "at").select("node", F.col("at2").alias("at"), F.col("done2").alias("done"))
+        state = checkpointed(state.where("done").unionByName(step))
+    raise CycleError("parent links form a cycle")
+
+
 def ancestors(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
     """node, ancestor, distance (1 and up) for all pairs; for forests whose chains are short next to their number."""
     linked = present_edges(nodes, parent)

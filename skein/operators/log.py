@@ -60,6 +60,24 @@ def dangling(events: DataFrame) -> DataFrame:
     return events.select("id", F.explode("parents").alias("missing")).join(events.select(F.col("id").alias("missing")), "missing", "left_anti").select("id", "missing")
 
 
+def tombstones(events: DataFrame) -> DataFrame:
+    """target, by: the critical events that name it, in order of their ids."""
+    return events.where("critical").select(F.explode("parents").alias("target"), "id").groupBy("target").agg(F.array_sort(F.collect_set("id")).alias("by"))
+
+
+def branches(events: DataFrame, conflicted: DataFrame) -> DataFrame:
+    """id, children (ids in order), suppressed, conflicted_parents, missing_parents, partial: some parent can't be shown.
+
+    events: eligible ones; conflicted: id of those whose lines differ.
+    """
+    up = events.select("id", F.explode(F.array_distinct("parents")).alias("parent"))
+    children = up.groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("children"))
+    there = events.select(F.col("id").alias("parent"), F.lit("there").alias("state")).unionByName(conflicted.select(F.col("id").alias("parent"), F.lit("conflict").alias("state")).distinct())
+    gone = up.join(there, "parent", "left").groupBy("id").agg(F.count(F.when(F.col("state") == "conflict", 1)).alias("conflicted_parents"), F.count(F.when(F.col("state").isNull(), 1)).alias("missing_parents"))
+    out = events.select("id", "suppressed").join(children, "id", "left").join(gone, "id", "left").fillna(0, ["conflicted_parents", "missing_parents"])
+    return out.withColumn("children", F.coalesce("children", F.array().cast("array<string>"))).withColumn("partial", F.col("conflicted_parents") + F.col("missing_parents") > 0)
+
+
 def no_train(events: DataFrame) -> DataFrame:
     """id, marks: what unsuppressed no-train annotations name, and those annotations' ids in order."""
     marks = events.where((F.col("label") == "no-train") & ~F.col("suppressed"))

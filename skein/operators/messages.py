@@ -60,5 +60,11 @@ def character_expansion(posts: DataFrame, characters: DataFrame, group: Sequence
     return segments(turns, ["key", *group], order)
 
 
+def role_matches(who: str, fields: Sequence[str] = ("display", "handle"), pattern: bool = False) -> Column:
+    """Whether a post is by who: some field is that name, in any case, or (pattern) holds a match of it; null fields never do."""
+    one = lambda c: F.col(c).rlike(f"(?i){who}") if pattern else F.lower(c) == who.lower()
+    return F.greatest(F.lit(False), *(F.coalesce(one(c), F.lit(False)) for c in fields))
+
+
 def sharegpt(messages: DataFrame) -> DataFrame:
     return messages.withColumn("from", F.when(F.col("role") == "user", "human").otherwise("gpt")).withColumnRenamed("content", "value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
 from skein.operators import chains, closure, decisions, log, messages, pareto, search, sessions, training
-from skein.plans import views
+from skein.plans import logs, views
 from skein.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,14 +120,6 @@ def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.branched_turns(_replies(spark, sf_dir), "user_id")
 
 
-@query(f"WITH {_REPLIES} SELECT DISTINCT 'gone-' || user_id AS missing FROM replies WHERE n = 1 AND user_id % 3 = 0")
-def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents to fetch, by an anti join."""
-    r = _replies(spark, sf_dir)
-    have = r.select(F.col("id").alias("parent_id"))
-    return r.where("parent_id is not null").join(have, "parent_id", "left_anti").select(F.col("parent_id").alias("missing")).distinct()
-
-
 @query(f"""WITH {_ITEMS}, p AS (SELECT *, lag(content) OVER (PARTITION BY conv_id ORDER BY message_no) AS u FROM msgs)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY message_no) - 1 AS segment, u AS user_text, content AS assistant_text FROM p WHERE role = 'assistant' AND u IS NOT NULL""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,14 +187,6 @@ def retweet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(text.is_retweet(t).cast("long")).alias("retweets"), F.sum(text.is_quoted_retweet(t).cast("long")).alias("quoted"))
 
 
-@query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:30:00'")
-def time_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bounds inclusive, a date is its first moment."""
-    e = table(spark, sf_dir, "events")
-    since, until = times.parse(F.lit("2024-01-05")), times.parse(F.lit("2024-01-12T12:30:00Z"))
-    return e.where(F.col("ts").between(since, until)).select("event_id")
-
-
 @query("SELECT source, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source")
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6."""
@@ -242,14 +226,6 @@ def permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.permalink(kind, item, F.when(s == "src1", "me")).alias("permalink"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) FILTER (WHERE m <> '') AS links, count(DISTINCT m) FILTER (WHERE m <> '') AS targets FROM (SELECT page_id, url, unnest(list_append(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), '')) AS m FROM pages) GROUP BY page_id, url")
-def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17's anchors: links of each page."""
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    p = table(spark, sf_dir, "pages").withColumn("a", links)
-    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size("a").cast("long").alias("links"), F.size(F.array_distinct(F.filter("a", lambda x: x != ""))).cast("long").alias("targets"))
-
-
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<br[^>]*>', chr(10), 'g'), '(?i)</(p|div|h[1-6]|li|ul|ol|blockquote|tr)>', chr(10) || chr(10), 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(em|i)>', '*', 'g'), '(?i)</?(strong|b)>', '**', 'g') AS h FROM b),
@@ -261,25 +237,6 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-@query("WITH p AS (SELECT page_id FROM pages WHERE page_id % 7 <> 3) SELECT n AS gap FROM generate_series((SELECT min(page_id) FROM p), (SELECT max(page_id) FROM p)) t(n) WHERE n NOT IN (SELECT page_id FROM p)")
-def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers between the first and the last page that have none."""
-    p = table(spark, sf_dir, "pages").where("page_id % 7 != 3").select("page_id")
-    following = F.lead("page_id").over(Window.partitionBy("part").orderBy("page_id"))
-    # gaps lie between neighbours: numbered within ranges of ids, then between ranges
-    parts = p.withColumn("part", F.floor(F.col("page_id") / 65536)).withColumn("next", following)
-    ends = parts.groupBy("part").agg(F.min("page_id").alias("a"), F.max("page_id").alias("page_id")).withColumn("next", F.lead("a").over(Window.orderBy("part"))).select("page_id", "next")
-    pairs = parts.select("page_id", "next").where("next is not null").unionByName(ends.where("next is not null"))
-    return pairs.where("next > page_id + 1").select(F.explode(F.sequence(F.col("page_id") + 1, F.col("next") - 1)).alias("gap"))
-
-
-@query("SELECT d.doc_id, count(e.event_id) AS media, coalesce(min(e.event_id), -1) AS first_media FROM documents d LEFT JOIN (SELECT event_id, event_id // 3 AS owner FROM events WHERE event_type = 'view' AND value > 0) e ON e.owner = d.doc_id GROUP BY d.doc_id")
-def media_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media grouped by their item, then left-joined."""
-    m = table(spark, sf_dir, "events").where("event_type = 'view' and value > 0").groupBy(F.expr("event_id div 3").alias("doc_id")).agg(F.count("*").alias("media"), F.min("event_id").alias("first_media"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(m, "doc_id", "left").select("doc_id", F.coalesce("media", F.lit(0)).cast("long").alias("media"), F.coalesce("first_media", F.lit(-1)).cast("long").alias("first_media"))
-
-
 @query("SELECT CAST(count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS BIGINT) AS matched, CAST(count(*) FILTER (WHERE l.doc_id IS NULL) AS BIGINT) AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
 def archive_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: items that an archive's ids hold."""
@@ -344,13 +301,6 @@ def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", ids.event_id(F.lit("events"), F.lit("item"), F.col("event_id")).alias("id"), F.concat(F.lit("events/"), "event_type").alias("kind"))
 
 
-@query("SELECT event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS parent FROM events")
-def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What has no parent of its own follows the event before it."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.coalesce(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(-1)).cast("long").alias("parent"))
-
-
 @query("SELECT doc_id, 'sha256:' || sha256(l) AS digest, left(l, length(l) - 1) || ',\"digest\":\"sha256:' || sha256(l) || '\"}' AS line FROM (SELECT doc_id, '{\"id\":' || doc_id || ',\"source\":\"' || source || '\"}' AS l FROM documents)")
 def line_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3, K14."""
@@ -405,11 +355,11 @@ def no_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.no_train(marks).select("target", F.array_join(F.transform("marks", lambda x: x.cast("string")), ",").alias("marks"))
 
 
-@query(f"WITH {_LOG} SELECT target, score_count, round(mean, 6) AS mean, selection_count, selected_count FROM board")
+@query(f"WITH {_LOG} SELECT target, score_count, round(mean, 6) AS mean, selection_count, selected_count, row_number() OVER (ORDER BY round(mean, 9) DESC NULLS LAST, selected_count DESC, target) AS rank FROM board")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11, L7."""
     b = _board(spark, sf_dir)
-    return b.select("target", F.col("score_count").cast("long").alias("score_count"), F.round("mean", 6).alias("mean"), F.col("selection_count").cast("long").alias("selection_count"), F.col("selected_count").cast("long").alias("selected_count"))
+    return b.select("target", F.col("score_count").cast("long").alias("score_count"), F.round("mean", 6).alias("mean"), F.col("selection_count").cast("long").alias("selection_count"), F.col("selected_count").cast("long").alias("selected_count"), "rank")
 
 
 _SFT = """CASE WHEN a.id IS NULL THEN 'ineligible' WHEN a.suppressed THEN 'suppressed-completion' WHEN a.text IS NULL THEN 'no-text' WHEN a.marked THEN 'no-train' WHEN c.partial THEN 'partial' WHEN c.sup THEN 'suppressed-context' WHEN c.mark THEN 'no-train-context' END"""
@@ -462,12 +412,12 @@ def call_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.call_parents(r, kind == "click", kind == "purchase").fillna(-1, ["previous", "call"]).select("file", "line", "id", "previous", "call")
 
 
-@query("""WITH r AS (SELECT doc_id, source AS file, doc_id AS line, left(text, 12) AS uuid, sha256(text) AS d FROM documents),
+@query("""WITH r AS (SELECT doc_id, source AS file, doc_id AS line, CAST(length(text) % 97 AS VARCHAR) || source AS uuid, sha256(text) AS d FROM documents),
 w AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY file, line) AS n, first_value(d) OVER (PARTITION BY uuid ORDER BY file, line) AS f FROM r)
 SELECT doc_id, CASE WHEN n = 1 THEN 'canonical' WHEN f = d THEN 'pointer' ELSE 'annotation' END AS role FROM w""")
 def uuid_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").alias("line"), F.substring("text", 1, 12).alias("uuid"), "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").alias("line"), F.concat((F.length("text") % 97).cast("string"), F.col("source")).alias("uuid"), "text")
     return sessions.repeats(d, "uuid", F.col("text")).select("doc_id", "role")
 
 
@@ -499,3 +449,7 @@ def public_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users and assistants said, and nothing else."""
     c = table(spark, sf_dir, "conversations").withColumn("type", F.when(F.col("role") == "user", "input_text").when(F.col("role") == "assistant", "output_text").otherwise("system"))
     return search.public_segments(c, ["conv_id", "turn"]).select("conv_id", "turn", "role", "text")
+
+
+QUERIES |= logs.QUERIES
+SQL |= logs.SQL

@@ -1,0 +1,326 @@
+"""Named queries over logs, trees of events and items, with the SQL they are held against; part of the catalogue."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions import ids, text, times
+from skein.operators import chains, decisions, events, log, messages, pareto
+from skein.plans.views import event_rows, table
+from skein.sources import archive, exports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+# ---- a log of lines, some of them bad
+
+_LINES = """l AS (SELECT event_id, event_id % 12 AS m, event_id % 3 AS file, 'e' || CASE WHEN event_id % 12 = 7 THEN event_id + 1 ELSE event_id END AS eid FROM events),
+ids AS (SELECT eid, count(*) AS n FROM l WHERE m NOT IN (1, 2, 3) GROUP BY eid),
+c AS (SELECT l.*, CASE WHEN m IN (1, 2) THEN 'garbage' WHEN m = 3 THEN 'damaged' WHEN n > 1 THEN 'conflict-variant' WHEN m IN (5, 6) THEN 'nonconforming' ELSE 'accepted' END AS class FROM l LEFT JOIN ids USING (eid)),
+ok AS (SELECT c.*, m = 11 AND EXISTS (SELECT 1 FROM l x WHERE x.event_id = c.event_id + 1) AS suppressed FROM c WHERE class IN ('accepted', 'nonconforming')),
+par AS (SELECT event_id, eid, m, 'e' || (event_id - 1) AS parent FROM ok WHERE m IN (0, 9) UNION ALL SELECT event_id, eid, m, 'x' || event_id FROM ok WHERE m = 9)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of three files: of twelve, one isn't JSON, one no object, one damaged, two don't conform, two share an id; one suppresses the event before it."""
+    e, m, n = event_rows(spark, sf_dir), F.col("event_id") % 12, F.col("event_id").cast("string")
+    own = F.concat(F.lit("e"), F.when(m == 7, F.col("event_id") + 1).otherwise(F.col("event_id")).cast("string"))
+    before = F.concat(F.lit('"e'), (F.col("event_id") - 1).cast("string"), F.lit('"'))
+    parents = F.when(m == 0, before).when(m == 9, F.concat(before, F.lit(',"x'), n, F.lit('"'))).otherwise("")
+    at = F.when(m == 6, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    kind = F.when(m == 5, "").otherwise(F.concat(F.lit('"kind":"log/'), "event_type", F.lit('",')))
+    body = F.concat(F.lit('{"v":1,"id":"'), own, F.lit('",'), kind, F.lit('"at":"'), at, F.lit('","author":{"actor":"u'), F.col("user_id").cast("string"), F.lit('"},"parents":['), parents, F.lit('],"payload":{"n":'), n, F.lit("}"), F.when(m == 0, ',"critical":true').otherwise(""), F.lit("}"))
+    wrong = F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"digest":"sha256:' + "0" * 64 + '"}'))
+    line = F.when(m == 1, F.concat(F.lit("not json "), n)).when(m == 2, F.concat(F.lit("["), n, F.lit("]"))).when(m == 3, wrong).when(m == 4, ids.with_digest(body)).otherwise(body)
+    return e.select((F.col("event_id") % 3).alias("file"), F.col("event_id").alias("line"), line.alias("text"))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.classified(_lines(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT event_id AS line, class, CASE WHEN class IN ('garbage', 'damaged') THEN '' ELSE eid END AS id FROM c")
+def log_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line."""
+    return _classified(spark, sf_dir).select("line", "class", F.coalesce("id", F.lit("")).alias("id"))
+
+
+@query(f"WITH {_LINES} SELECT eid AS id, suppressed FROM ok")
+def log_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a view may show, and whether a critical event names it."""
+    return log.eligible(_classified(spark, sf_dir)).select("id", "suppressed")
+
+
+@query(f"WITH {_LINES} SELECT p.eid AS id, p.parent AS missing FROM par p WHERE p.parent NOT IN (SELECT eid FROM ok)")
+def log_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents that no eligible event has."""
+    return log.dangling(log.eligible(_classified(spark, sf_dir)))
+
+
+@query(f"WITH {_LINES} SELECT parent AS target, eid AS by FROM par WHERE m = 0")
+def log_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the critical events that name an event."""
+    return log.tombstones(log.eligible(_classified(spark, sf_dir))).select("target", F.array_join("by", ",").alias("by"))
+
+
+@query(f"WITH {_LINES} SELECT eid AS id, string_agg(DISTINCT CAST(file AS VARCHAR), ',' ORDER BY CAST(file AS VARCHAR)) AS files FROM c WHERE class NOT IN ('garbage', 'damaged') GROUP BY eid")
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that hold an id."""
+    return log.files_of(_classified(spark, sf_dir)).select("id", F.array_join("files", ",").alias("files"))
+
+
+@query(f"""WITH {_LINES}, kids AS (SELECT parent, string_agg(eid, ',' ORDER BY eid) AS children FROM par GROUP BY parent),
+gone AS (SELECT eid, count(*) FILTER (WHERE k.class = 'conflict-variant') AS conflicted, count(*) FILTER (WHERE k.class IS NULL) AS missing
+  FROM par p LEFT JOIN (SELECT DISTINCT eid AS id, class FROM c WHERE class NOT IN ('garbage', 'damaged')) k ON k.id = p.parent GROUP BY eid)
+SELECT ok.eid AS id, coalesce(children, '') AS children, suppressed, coalesce(conflicted, 0) AS conflicted_parents, coalesce(missing, 0) AS missing_parents, coalesce(conflicted + missing, 0) > 0 AS partial
+FROM ok LEFT JOIN kids ON kids.parent = ok.eid LEFT JOIN gone USING (eid)""")
+def branch_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: children, suppression and lost parents of every eligible event."""
+    rows = _classified(spark, sf_dir)
+    out = log.branches(log.eligible(rows), rows.where("class = 'conflict-variant'").select("id"))
+    return out.select("id", F.array_join("children", ",").alias("children"), "suppressed", F.col("conflicted_parents").cast("long").alias("conflicted_parents"), F.col("missing_parents").cast("long").alias("missing_parents"), "partial")
+
+
+@query("WITH h AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS id FROM events) SELECT id, CASE WHEN count(*) OVER (PARTITION BY left(id, 3)) = 1 THEN left(id, 3) ELSE id END AS short FROM h")
+def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L19."""
+    return log.short_ids(table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("id")), 3)
+
+
+# ---- trees
+
+_TREE = """RECURSIVE up AS (SELECT event_id AS node, event_id // 3 AS anc, 1 AS d FROM events WHERE event_id > 2 UNION ALL SELECT node, anc // 3, d + 1 FROM up WHERE anc > 2),
+h AS (SELECT e.event_id AS id, coalesce(max(u.d), 0) AS below FROM events e LEFT JOIN up u ON u.anc = e.event_id GROUP BY e.event_id),
+b AS (SELECT event_id AS id, CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN event_id % 4 ELSE 0 END AS selected, CASE WHEN event_type = 'click' THEN event_id % 100 END AS rank, CASE WHEN event_id > 2 THEN event_id // 3 END AS parent FROM events),
+k AS (SELECT b.*, h.below, row_number() OVER w AS i, count(*) OVER p AS n, max(selected) OVER p AS s, count(rank) OVER p AS scored FROM b JOIN h USING (id)
+  WINDOW w AS (PARTITION BY parent ORDER BY selected DESC, rank NULLS LAST, below DESC, id), p AS (PARTITION BY parent)),
+best AS (SELECT parent, id AS child, CASE WHEN n = 1 THEN 'only' WHEN s > 0 THEN 'selection' WHEN scored > 0 THEN 'score' ELSE 'longest' END AS rule FROM k WHERE i = 1)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as a forest of three roots, where n hangs below n / 3, and a board of selections and ranks."""
+    e = table(spark, sf_dir, "events")
+    nodes = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 2, F.expr("event_id div 3")).alias("parent_id"), F.col("event_id").alias("ord"))
+    selected = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), F.col("event_id") % 4).otherwise(0)
+    return nodes, e.select(F.col("event_id").alias("id"), selected.alias("selected"), F.when(F.col("event_type") == "click", F.col("event_id") % 100).alias("rank"))
+
+
+@query(f"WITH {_TREE} SELECT id AS node, CAST(below AS BIGINT) AS below FROM h")
+def tree_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L13 over branches."""
+    return chains.depth_below(_tree(spark, sf_dir)[0])
+
+
+@query(f"WITH {_TREE} SELECT coalesce(parent, -1) AS parent_id, child, rule FROM best")
+def best_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child that a reader follows."""
+    return chains.best_children(*_tree(spark, sf_dir)).select(F.coalesce("parent_id", F.lit(-1)).cast("long").alias("parent_id"), "child", "rule")
+
+
+@query(f"WITH {_TREE}, walk AS (SELECT CAST(0 AS BIGINT) AS pos, child AS id FROM best WHERE parent IS NULL UNION ALL SELECT pos + 1, child FROM walk JOIN best ON parent = id) SELECT pos, id FROM walk")
+def main_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main thread."""
+    return chains.main_path(*_tree(spark, sf_dir))
+
+
+@query(f"WITH {_TREE}, d AS (SELECT e.event_id AS id, coalesce(max(u.d), 0) AS depth FROM events e LEFT JOIN up u ON u.node = e.event_id GROUP BY e.event_id) SELECT id, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY depth ORDER BY id) AS place FROM d")
+def parents_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order in which parents come first."""
+    return chains.parents_first(_tree(spark, sf_dir)[0]).select("id", "depth", "place")
+
+
+# ---- items and their events
+
+_ITEMS = """i AS (SELECT event_id AS ord, ts, user_id, event_type, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id AS VARCHAR) END AS id, CASE WHEN event_id % 5 = 0 THEN 'bluesky:fetched' WHEN event_id % 7 = 0 THEN 'events' ELSE 'events:' || event_type END AS source,
+  CASE WHEN event_id % 9 = 0 THEN 'bad' WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at,
+  CASE WHEN event_id % 3 = 0 AND event_id > 0 THEN CAST(event_id - 1 AS VARCHAR) END AS parent_id,
+  CASE event_type WHEN 'error' THEN 'RT @x: ' || event_id WHEN 'view' THEN ' ' || event_id || chr(10) ELSE 'some longer text ' || event_id END AS text FROM events)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as items: some without id, with bad times, fetched for context, or with one of several author fields."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    s = lambda c: c.cast("string")
+    raw = F.when(n % 3 == 1, F.concat(F.lit('{"character_handle":"h'), s(F.col("user_id")), F.lit('","author":"a"}'))).when(n % 3 == 2, F.concat(F.lit('{"author":"  ","username":"u'), s(F.col("user_id")), F.lit('"}'))).otherwise('{"k":1}')
+    kind = F.col("event_type")
+    return e.select(
+        F.when(n % 17 != 0, s(n)).alias("id"),
+        F.when(n % 5 == 0, "bluesky:fetched").when(n % 7 == 0, "events").otherwise(F.concat(F.lit("events:"), kind)).alias("source"),
+        F.when(n % 9 == 0, "bad").when(n % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("created_at"),
+        F.when((n % 3 == 0) & (n > 0), s(n - 1)).alias("parent_id"),
+        F.when(kind == "error", F.concat(F.lit("RT @x: "), s(n))).when(kind == "view", F.concat(F.lit(" "), s(n), F.lit("\n"))).otherwise(F.concat(F.lit("some longer text "), s(n))).alias("text"),
+        F.parse_json(raw).alias("raw"),
+        n.alias("ord"),
+    )
+
+
+@query(f"""WITH {_ITEMS} SELECT ord FROM i WHERE source = 'bluesky:fetched' OR (ord % 9 <> 0 AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:30:00' AND text NOT LIKE 'RT @%' AND length(trim(text, chr(10) || ' ')) >= 8)""")
+def full_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filters of a run; context that was fetched passes them."""
+    return chains.filtered(_items(spark, sf_dir), since="2024-01-05", until="2024-01-12T12:30:00Z", exclude_retweets=True, min_length=8).select("ord")
+
+
+_AT = "CASE WHEN ord % 9 = 0 THEN '1970-01-01T00:00:00Z' WHEN ord % 4 = 0 THEN created_at ELSE replace(created_at, ' ', 'T') || '.000Z' END"
+_ID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT *, split_part(source, ':', 1) AS ns FROM i), x AS (SELECT *, sha256(ns || chr(0) || 'item' || chr(0) || coalesce(id, '') || chr(0)) AS h, sha256(ns || chr(0) || 'item' || chr(0) || coalesce(parent_id, '') || chr(0)) AS hp FROM n)
+SELECT ord, CASE WHEN id IS NULL THEN '' ELSE {_ID} END AS id, CASE WHEN source LIKE '%:%' THEN replace(source, ':', '/') ELSE source || '/item' END AS kind, {_AT} AS at,
+  CASE WHEN ord % 9 = 0 THEN 'fallback' WHEN ord % 4 = 0 THEN 'verbatim' ELSE 'parsed' END AS rule, CASE ord % 3 WHEN 1 THEN 'h' || user_id WHEN 2 THEN 'u' || user_id ELSE 'unknown' END AS actor,
+  CASE WHEN parent_id IS NULL THEN '' ELSE {_ID.replace("(h,", "(hp,")} END AS parents, CASE WHEN id IS NULL THEN 'no id' ELSE '' END AS skip FROM x""")
+def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event for each item."""
+    out = events.item_events(_items(spark, sf_dir))
+    return out.select("ord", F.coalesce("id", F.lit("")).alias("id"), "kind", "at", "rule", "actor", F.array_join("parents", ",").alias("parents"), F.coalesce("skip", F.lit("")).alias("skip"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'own-' || event_id ELSE coalesce(CAST(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR), '') END AS parents FROM events")
+def thread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has no parent of its own follows the event before it."""
+    e = table(spark, sf_dir, "events")
+    own = F.when(F.col("event_id") % 10 == 3, F.array(F.concat(F.lit("own-"), F.col("event_id").cast("string"))))
+    rows = e.select("event_id", F.col("event_id").cast("string").alias("id"), "user_id", "ts", own.alias("parents"))
+    return events.chained(rows, ["user_id"], ["ts", "event_id"]).select("event_id", F.array_join("parents", ",").alias("parents"))
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT ord % 4000 AS id, ord, text FROM i) SELECT CAST(id AS VARCHAR) AS id, CAST(max(ord) AS BIGINT) AS last, arg_max(text, ord) AS text FROM r WHERE id > 0 GROUP BY id""")
+def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: the last row of an id wins."""
+    i = _items(spark, sf_dir).withColumn("id", F.when(F.col("ord") % 4000 > 0, (F.col("ord") % 4000).cast("string")).otherwise("")).withColumn("last", F.col("ord"))
+    return chains.latest_by_id(i).select("id", "last", "text")
+
+
+@query("SELECT conv_id || ':' || turn AS id, CASE WHEN role = 'assistant' OR turn % 4 = 2 THEN 'assistant' ELSE 'user' END AS role FROM conversations")
+def inferred_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own posts are the assistant's."""
+    c = table(spark, sf_dir, "conversations")
+    source = F.when(F.col("role") == "assistant", "bluesky:post").otherwise("external")
+    return c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), messages.role_of(source, F.col("turn") % 4 == 2).alias("role"))
+
+
+@query("SELECT conv_id, turn, lower(role) = 'user' AS named, role LIKE '%ssist%' OR conv_id % 7 = 1 AS matched FROM conversations")
+def role_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By name, and by a pattern over three fields."""
+    c = table(spark, sf_dir, "conversations").withColumns({"display": F.initcap("role"), "handle": F.lit(None).cast("string"), "author": F.concat(F.lit("bot-"), (F.col("conv_id") % 7).cast("string"))})
+    return c.select("conv_id", "turn", messages.role_matches("USER").alias("named"), messages.role_matches("ASSIST|bot-1", ("display", "handle", "author"), pattern=True).alias("matched"))
+
+
+@query("SELECT conv_id || ':' || turn AS id FROM (SELECT *, bool_and(role = 'assistant') OVER (PARTITION BY conv_id) AS mine FROM conversations WHERE turn < 2) WHERE mine")
+def only_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chains that are all of their owner, and nothing else."""
+    from skein.plans.views import items_conv
+
+    return chains.only_threads(chains.chains(items_conv(spark, sf_dir).where("turn < 2"))).select("id")
+
+
+# ---- times, texts and scores
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'snowflake' WHEN event_id % 4 = 1 THEN 'html_date' WHEN event_id % 4 = 2 THEN 'cached_at' ELSE 'fallback' END AS rung, CAST(CASE WHEN event_id % 4 = 0 THEN epoch_us(ts) // 1000 WHEN event_id % 4 = 1 THEN epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) WHEN event_id % 4 = 2 THEN epoch_ms(date_trunc('second', ts)) ELSE 0 END AS BIGINT) AS at_ms FROM events")
+def time_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time of a post by its id, its embed's date, or its cache."""
+    e, m = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    at = F.col("ts").cast("timestamp")
+    post = F.when(m == 0, F.shiftleft(F.unix_millis(at) - times.SNOWFLAKE_EPOCH, 22)).otherwise(F.col("event_id"))
+    html = F.when(m == 1, F.concat(F.lit('<p>x</p><a href="u">'), F.date_format(at, "MMMM d, yyyy"), F.lit("</a>"))).otherwise('<a href="u">February 31, 2024</a>')
+    cached = F.when(m == 2, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("some day")
+    found = times.ladder(post.cast("string"), html, cached, F.timestamp_millis(F.lit(0)))
+    return e.select("event_id", found["rung"].alias("rung"), F.unix_millis(found["at"]).alias("at_ms"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS value FROM documents")
+def audit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F37."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.audit_value(F.col("text")).alias("value"))
+
+
+@query("SELECT event_id, 'see' || chr(10) || chr(10) || 'https://x.com/u' || user_id || '/status/' || event_id || chr(10) || chr(10) || 'there' AS text FROM events")
+def quoted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a link to a post gets a paragraph of its own."""
+    e = table(spark, sf_dir, "events")
+    said = F.concat(F.lit("see https://x.com/u"), F.col("user_id").cast("string"), F.lit("/status/"), F.col("event_id").cast("string"), F.lit("  there\n"))
+    return e.select("event_id", text.isolate_links(said).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN 'e' || chr(10) || chr(10) || event_id ELSE '' END AS text FROM events")
+def artifact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """where an artifact keeps its text."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    forms = ('{"text":"a#"}', '{"message":"b#"}', '{"message":{"text":"c#"}}', '{"message":{"content":"d#"}}', '{"text":5,"message":{"content":[{"text":"e"},{"kind":1},{"text":"#"}]}}', '{"other":"f#"}')
+    form: Column = F.lit(forms[-1])
+    for i, f in enumerate(forms[:-1]):
+        form = F.when(F.col("event_id") % 6 == i, f).otherwise(form)
+    return e.select("event_id", F.coalesce(events.artifact_text(F.parse_json(F.replace(form, F.lit("#"), n))), F.lit("")).alias("text"))
+
+
+@query("SELECT event_id, 'user:q;' || CASE WHEN user_id % 2 = 0 THEN 'assistant' ELSE 'user' END || ':a;assistant:done' AS messages FROM events")
+def message_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who speaks like the completion is the assistant."""
+    part = lambda actor, said: F.struct(actor.alias("actor"), F.lit(said).alias("text"))
+    me = F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string"))
+    rows = events.message_rows(F.array(part(F.lit("someone"), "q"), part(me, "a")), part(F.lit("u0"), "done"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(rows, lambda m: F.concat_ws(":", m["role"], m["content"])), ";").alias("messages"))
+
+
+@query("""SELECT user_id AS candidate, 's' || event_id || '::w' || w AS key, value + w AS score FROM events, (VALUES (1), (2)) v(w) WHERE event_type = 'click'
+UNION ALL SELECT user_id, 's' || event_id, value FROM events WHERE event_type <> 'click'""")
+def score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each witness, or one for the seed."""
+    e = table(spark, sf_dir, "events")
+    per = F.create_map(F.lit("w1"), F.col("value") + 1, F.lit("w2"), F.col("value") + 2)
+    rows = e.select(F.col("user_id").alias("candidate"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("seed"), F.col("value").alias("score"), F.when(F.col("event_type") == "click", per).alias("witnesses"))
+    return events.score_rows(rows)
+
+
+@query("SELECT user_id, round(coalesce(avg(CASE WHEN event_type = 'purchase' THEN value END), 0), 6) AS average FROM events GROUP BY user_id")
+def score_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean, or nought."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.round(pareto.average(F.when(F.col("event_type") == "purchase", F.col("value"))), 6).alias("average"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'export' AS status, 0 AS tags, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM labels WHERE quality = 1")
+def decisions_from_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for each id of a list."""
+    listed = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id"))
+    return decisions.from_ids(listed, "export", F.lit("2024-01-01").cast("timestamp_ntz")).select("id", "status", F.size("tags").alias("tags"), "ts")
+
+
+@query("WITH p AS (SELECT DISTINCT page_id AS n FROM pages), k AS (SELECT n, lead(n) OVER (ORDER BY n) AS nx FROM p) SELECT n + 1 AS first, nx - 1 AS last FROM k WHERE nx > n + 1")
+def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of numbers that no page has."""
+    return exports.page_gaps(table(spark, sf_dir, "pages").select(F.col("page_id").alias("number")))
+
+
+@query("SELECT d.doc_id, count(e.event_id) AS media FROM documents d LEFT JOIN events e ON e.event_type = 'view' AND e.value > 0 AND e.event_id // 3 = d.doc_id GROUP BY d.doc_id")
+def media_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their media."""
+    m = table(spark, sf_dir, "events").where("event_type = 'view' and value > 0").groupBy(F.expr("event_id div 3").alias("id")).agg(F.array_sort(F.collect_list("event_id")).alias("media"))
+    out = archive.with_media(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), m)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(F.size("media"), F.lit(0)).cast("long").alias("media"))
+
+
+@query(f"WITH {_ITEMS} SELECT DISTINCT parent_id AS missing FROM i WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM i WHERE id IS NOT NULL)")
+def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents to fetch."""
+    return archive.missing(_items(spark, sf_dir)).select(F.col("id").alias("missing"))
+
+
+@query(f"WITH {_ITEMS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN CAST(id AS BIGINT) >= 1000000 THEN 'bluesky:fetched' ELSE 'own' END AS source FROM (SELECT id FROM i WHERE id IS NOT NULL UNION SELECT CAST(1000000 + ord % 50 AS VARCHAR) FROM i)")
+def enriched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was fetched joins the items once."""
+    items = _items(spark, sf_dir).where("id is not null").select("id", F.lit("own").alias("source"))
+    fetched = _items(spark, sf_dir).select(F.explode(F.array((F.col("ord") % 50 + 1000000).cast("string"), F.col("id"))).alias("id")).where("id is not null")
+    return archive.enriched(items, fetched).select(F.col("id").cast("long").alias("id"), "source")

@@ -117,15 +117,32 @@ def page_report(files: DataFrame) -> DataFrame:
     return out
 
 
+def page_gaps(pages: DataFrame, number: str = "number") -> DataFrame:
+    """first, last: the runs of numbers between the least and the greatest one that no page has; a run is one row, however long."""
+    p = pages.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("n")).distinct().withColumn("part", F.floor(F.col("n") / 65536))
+    # neighbours within ranges of numbers, then between ranges
+    inside = p.withColumn("next", F.lead("n").over(Window.partitionBy("part").orderBy("n"))).select("n", "next")
+    ends = p.groupBy("part").agg(F.min("n").alias("a"), F.max("n").alias("n"))
+    between = ends.select("n", F.lead("a").over(Window.orderBy("part")).alias("next"))
+    return inside.unionByName(between).where("next > n + 1").select((F.col("n") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+
+
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1, blank ones counted), text: the lines of event files and session files, for operators.log and operators.sessions.
 
-    A file is split whole, so it has to fit in a task; read_large_lines() is for others.
+    A file is split whole, so it has to fit in a task; read_large_lines() reads others.
     """
     whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n$", "").alias("value"))
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "text")).select("file", (F.col("n") + 1).cast("long").alias("line"), F.regexp_replace("text", "\r$", "").alias("text")).where("text != ''")
 
 
+def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, text: lines of files of any size. Files are split between tasks, so a line has no number; place (block, row) rises with the lines of a file."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("place"), F.regexp_replace("value", "\r$", "").alias("text")).where("text != ''")
+
+
 def detect_machine_kind(v: Column) -> Column:
     """loom or optimizer, by the keys of a story machine's file; null for anything else."""
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
