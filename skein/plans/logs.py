@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
-from skein.operators import chains, decisions, events, log, messages, pareto
+from skein.operators import chains, decisions, events, log, messages, pareto, sessions
 from skein.plans.views import event_rows, table
 from skein.sources import archive, exports
 
@@ -324,3 +324,84 @@ def enriched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir).where("id is not null").select("id", F.lit("own").alias("source"))
     fetched = _items(spark, sf_dir).select(F.explode(F.array((F.col("ord") % 50 + 1000000).cast("string"), F.col("id"))).alias("id")).where("id is not null")
     return archive.enriched(items, fetched).select(F.col("id").cast("long").alias("id"), "source")
+
+
+# ---- agent sessions
+
+_U = lambda h: f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-' || translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+_HASH = lambda *parts: "sha256(" + " || ".join(f"{p} || chr(0)" for p in parts) + ")"
+
+_SESSIONS = """s AS (SELECT event_id, 'f' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_id % 11 AS m, ts, user_id,
+  CASE WHEN event_id % 11 IN (1, 2, 3) THEN NULL WHEN event_id % 11 IN (4, 5) THEN NULL WHEN event_id % 11 = 6 THEN 'r' || event_id % 40 ELSE 'u' || event_id END AS uuid FROM events),
+r AS (SELECT *, CASE WHEN uuid IS NOT NULL THEN row_number() OVER (PARTITION BY uuid ORDER BY file, line) END AS n,
+  first_value(CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END) OVER (PARTITION BY uuid ORDER BY file, line) AS f FROM s)"""
+
+
+def _session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a session file by time: some lines blank, broken, without identity, or with an identity that others have."""
+    e, m = table(spark, sf_dir, "events"), F.col("event_id") % 11
+    n = F.col("event_id").cast("string")
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.concat(F.lit('{"uuid":"u'), n, F.lit('","parentUuid":"u'), (F.col("event_id") - 1).cast("string"), F.lit('","sessionId":"s'), F.col("user_id").cast("string"), F.lit('","timestamp":"'), at, F.lit('","type":"'))
+    user = F.concat(record, F.lit('user","message":{"role":"user","content":"ask '), n, F.lit('"}}'))
+    blocks = F.concat(record, F.lit('assistant","message":{"role":"assistant","content":[{"type":"text","text":"say '), n, F.lit('"},{"type":"tool_use","text":"no"},{"type":"text","text":" "},{"type":"text","text":"more"}]}}'))
+    odd = F.concat(record, F.lit('user","message":{"role":"assistant","content":"not so"}}'))
+    again = F.concat(F.lit('{"uuid":"r'), (F.col("event_id") % 40).cast("string"), F.lit('","type":"system","v":'), (F.col("event_id") % 2).cast("string"), F.lit("}"))
+    text = F.when(m == 1, " ").when(m == 2, F.concat(F.lit("{broken "), n)).when(m == 3, "[1]").when(m == 4, '{"type":"mode"}').when(m == 5, '{"type":"progress"}').when(m == 6, again).when(m == 7, blocks).when(m == 8, odd).otherwise(user)
+    return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), line.alias("line"), text.alias("text"))
+
+
+@query(f"""WITH {_SESSIONS}, x AS (SELECT *, {_HASH("'claude'", "'record'", "coalesce(uuid, '')")} AS hu, {_HASH("'claude'", "'line'", "file", "line")} AS hl, {_HASH("'claude'", "'record'", "'u' || (event_id - 1)")} AS hp,
+  CASE WHEN m IN (1, 2, 3) THEN '' WHEN m = 4 THEN 'pointer' WHEN m = 5 THEN 'annotation' WHEN n = 1 THEN 'canonical' WHEN f = CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END THEN 'pointer' ELSE 'annotation' END AS role FROM r)
+SELECT file, line, CASE m WHEN 1 THEN 'blank' WHEN 2 THEN 'invalid' WHEN 3 THEN 'non-object' ELSE '' END AS skip, role,
+  CASE WHEN role = '' THEN '' WHEN role = 'canonical' THEN {_U("hu")} ELSE {_U("hl")} END AS id,
+  CASE role WHEN '' THEN '' WHEN 'canonical' THEN 'claude/' || CASE m WHEN 6 THEN 'system' WHEN 7 THEN 'assistant' ELSE 'user' END WHEN 'pointer' THEN 'lore/pointer' ELSE 'lore/annotation' END AS kind,
+  CASE WHEN role = '' THEN '' WHEN m IN (4, 5, 6) THEN '1970-01-01T00:00:00Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS at,
+  CASE WHEN role = 'canonical' AND m <> 6 THEN {_U("hp")} WHEN m = 6 AND role <> 'canonical' THEN {_U("hu")} ELSE '' END AS parents FROM x""")
+def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session records as events; repeats over the whole tree."""
+    out = sessions.claude_events(_session_lines(spark, sf_dir))
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("skip", "role", "id", "kind", "at")]
+    return out.select("file", "line", *filled, F.array_join("parents", ",").alias("parents"))
+
+
+@query(f"""WITH {_SESSIONS} SELECT file, line, 's' || user_id AS session, 'user' AS role, 0 AS part, 'ask ' || event_id AS text FROM r WHERE m IN (0, 9, 10)
+UNION ALL SELECT file, line, 's' || user_id, 'assistant', 0, 'say ' || event_id FROM r WHERE m = 7 UNION ALL SELECT file, line, 's' || user_id, 'assistant', 3, 'more' FROM r WHERE m = 7""")
+def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public texts of session records."""
+    return sessions.public_rows(sessions.claude_events(_session_lines(spark, sf_dir))).select("file", "line", "session", "role", "part", "text")
+
+
+@query(f"WITH {_SESSIONS} SELECT file, count(*) FILTER (WHERE m NOT IN (1, 2, 3)) AS emitted, count(*) FILTER (WHERE m IN (2, 3)) AS skipped, count(*) FILTER (WHERE m = 1) AS blank FROM r GROUP BY file")
+def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file's lines."""
+    return sessions.file_report(sessions.claude_events(_session_lines(spark, sf_dir)))
+
+
+_CALLS = f"""c AS (SELECT event_id, 'f' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_type, event_id % 7 AS call, ts FROM events WHERE event_id % 13 <> 5),
+x AS (SELECT *, {_HASH("'codex'", "'record'", "file", "line")} AS h FROM c), y AS (SELECT *, {_U("h")} AS id FROM x),
+p AS (SELECT file, line, 0 AS sub, id, event_type, call FROM y UNION ALL SELECT file, line, 1, {_U(_HASH("'codex'", "'lineage'", "file", "line", "'forked_from_id'"))}, 'pointer', -1 FROM y WHERE event_type = 'error'),
+q AS (SELECT *, lag(id) OVER (PARTITION BY file ORDER BY line, sub) AS before, CASE WHEN event_type = 'purchase' THEN last_value(CASE WHEN event_type = 'click' THEN id END IGNORE NULLS) OVER (PARTITION BY file, call ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS called FROM p)"""
+
+
+@query(f"""WITH {_CALLS} SELECT file, CAST(line AS BIGINT) AS line, sub, id, CASE event_type WHEN 'pointer' THEN 'lore/pointer' WHEN 'click' THEN 'codex/function_call' WHEN 'purchase' THEN 'codex/function_call_output' WHEN 'error' THEN 'codex/session_meta' ELSE 'codex/' || event_type END AS kind,
+  concat_ws(',', before, CASE WHEN called <> before OR before IS NULL THEN called END) AS parents FROM q""")
+def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with lineage and call pairing; those without a payload are their own."""
+    e, kind = table(spark, sf_dir, "events").where("event_id % 13 != 5"), F.col("event_type")
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    call = F.concat(F.lit('","call_id":"c'), (F.col("event_id") % 7).cast("string"), F.lit('"'))
+    text = F.when(kind == "error", '{"type":"session_meta","payload":{"id":"x","forked_from_id":"y"}}').when(kind == "click", F.concat(F.lit('{"type":"response_item","payload":{"type":"function_call'), call, F.lit("}}"))).when(kind == "purchase", F.concat(F.lit('{"type":"function_call_output'), call, F.lit("}"))).otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('"}')))
+    rows = e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), line.alias("line"), text.alias("text"))
+    return sessions.codex_events(rows).select("file", "line", "sub", "id", "kind", F.array_join("parents", ",").alias("parents"))
+
+
+@query(r"""SELECT coalesce(l, '') AS locator, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT DISTINCT CASE event_id % 5 WHEN 0 THEN 'd/' || user_id WHEN 1 THEN 'd\' || user_id WHEN 2 THEN './e//' || event_id WHEN 3 THEN '/abs' ELSE 'g/../' || user_id END AS f,
+  CASE event_id % 5 WHEN 0 THEN 'd/' || user_id WHEN 1 THEN 'd/' || user_id WHEN 2 THEN 'e/' || event_id END AS l FROM events) GROUP BY l HAVING l IS NULL OR count(*) > 1""")
+def locator_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose logical names are equal, or that have none."""
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    path = F.when(n % 5 == 0, F.concat(F.lit("d/"), user)).when(n % 5 == 1, F.concat(F.lit("d\\"), user)).when(n % 5 == 2, F.concat(F.lit("./e//"), n.cast("string"))).when(n % 5 == 3, "/abs").otherwise(F.concat(F.lit("g/../"), user))
+    out = sessions.collisions(table(spark, sf_dir, "events").select(path.alias("file")))
+    return out.select(F.coalesce("locator", F.lit("")).alias("locator"), F.array_join("files", ",").alias("files"))
