@@ -167,7 +167,37 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+SQL["op4_repeats"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+f AS MATERIALIZED (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS g FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)),
+again AS (SELECT r, i FROM f SEMI JOIN (SELECT g FROM f GROUP BY g HAVING count(*) > 1) t USING (g)),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM runs),
+kept AS (SELECT g.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(n.h, CAST(2 * from_ + 1 AS BIGINT), CAST(2 * (a - from_) AS BIGINT)) || CASE WHEN last THEN substr(n.h, CAST(2 * b + 1 AS BIGINT)) ELSE '' END, '' ORDER BY a) AS h FROM gaps g JOIN n USING (r) GROUP BY g.r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256 FROM n LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on two-word shingles."""
     return near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
+SQL["op2_neardup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), x AS MATERIALIZED (
+  SELECT r, CAST(len(s) AS BIGINT) AS n, unnest(s) AS g FROM s
+), e AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.g = b.g AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), z AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, z.b FROM reach JOIN z ON reach.b = z.a),
+low AS (SELECT reach.a AS r, min(s.doc_id) AS low FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id, doc_id IS NOT DISTINCT FROM low AS kept FROM s JOIN low USING (r)
+"""
