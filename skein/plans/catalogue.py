@@ -330,7 +330,7 @@ art AS (SELECT v.event_id AS id, coalesce(v.p, CASE WHEN user_id % 10 = 0 THEN -
   FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM ev WHERE event_type = 'view') v LEFT JOIN marks m ON m.target = v.event_id),
 vw AS (SELECT event_id AS view, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM ev WHERE event_type = 'view'),
 sel AS (SELECT l.event_id AS id, l.target AS chosen, v.view AS shown FROM lv l JOIN vw v ON v.user_id = l.user_id AND v.pos >= l.views - 3 AND v.pos < l.views WHERE l.event_type = 'purchase' AND l.target IS NOT NULL),
-sc AS (SELECT target, count(*) AS score_count, avg(value) AS mean FROM lv WHERE event_type = 'click' AND target IS NOT NULL GROUP BY target),
+sc AS (SELECT target, count(*) AS score_count, list_reduce(list(value ORDER BY event_id), lambda x, y: x + y) / count(*) AS mean FROM lv WHERE event_type = 'click' AND target IS NOT NULL GROUP BY target),
 se AS (SELECT shown AS target, count(*) AS selection_count, CAST(sum(CASE WHEN chosen = shown THEN 1 ELSE 0 END) AS BIGINT) AS selected_count FROM sel GROUP BY shown),
 board AS (SELECT coalesce(sc.target, se.target) AS target, coalesce(score_count, 0) AS score_count, mean, coalesce(selection_count, 0) AS selection_count, coalesce(selected_count, 0) AS selected_count FROM sc FULL JOIN se ON sc.target = se.target),
 ctx AS (SELECT id, coalesce(bool_or(suppressed) OVER p, false) AS sup, coalesce(bool_or(marked) OVER p, false) AS mark, user_id % 10 = 0 AS partial, count(CASE WHEN text IS NOT NULL AND NOT suppressed THEN 1 END) OVER p AS segments
@@ -355,7 +355,7 @@ def no_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.no_train(marks).select("target", F.array_join(F.transform("marks", lambda x: x.cast("string")), ",").alias("marks"))
 
 
-@query(f"WITH {_LOG} SELECT target, score_count, round(mean, 6) AS mean, selection_count, selected_count, row_number() OVER (ORDER BY round(mean, 9) DESC NULLS LAST, selected_count DESC, target) AS rank FROM board")
+@query(f"WITH {_LOG} SELECT target, score_count, round(mean, 6) AS mean, selection_count, selected_count, row_number() OVER (ORDER BY mean DESC NULLS LAST, selected_count DESC, target) AS rank FROM board")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11, L7."""
     b = _board(spark, sf_dir)

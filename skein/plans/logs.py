@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
 from skein.operators import chains, decisions, events, log, messages, pareto, sessions
-from skein.plans.views import event_rows, table
+from skein.plans.views import event_rows, items_conv, table
 from skein.sources import archive, exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,12 +217,11 @@ def role_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", messages.role_matches("USER").alias("named"), messages.role_matches("ASSIST|bot-1", ("display", "handle", "author"), pattern=True).alias("matched"))
 
 
-@query("SELECT conv_id || ':' || turn AS id FROM (SELECT *, bool_and(role = 'assistant') OVER (PARTITION BY conv_id) AS mine FROM conversations WHERE turn < 2) WHERE mine")
+@query("SELECT conv_id || ':' || turn AS chain_id, n FROM (SELECT *, bool_and(role = 'assistant') OVER w AS mine, count(*) OVER w AS n FROM conversations WHERE turn % 3 <> 0 WINDOW w AS (PARTITION BY conv_id, turn // 3 ORDER BY turn)) WHERE mine")
 def only_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chains that are all of their owner, and nothing else."""
-    from skein.plans.views import items_conv
-
-    return chains.only_threads(chains.chains(items_conv(spark, sf_dir).where("turn < 2"))).select("id")
+    # every third turn is missing, so that chains start in between
+    return chains.only_threads(chains.chains(items_conv(spark, sf_dir).where("turn % 3 != 0"))).groupBy("chain_id").agg(F.count("*").alias("n"))
 
 
 # ---- times, texts and scores

@@ -129,3 +129,32 @@ def test_reconcile(spark):
     log.reconcile(spark.createDataFrame([(3, 1, 2)], "total long, a long, b long"), "total", ["a", "b"])
     with pytest.raises(ValueError):
         log.reconcile(spark.createDataFrame([(3, 1, 1)], "total long, a long, b long"), "total", ["a", "b"])
+
+
+def test_page_gaps(spark):
+    from skein.sources.exports import page_gaps
+
+    pages = spark.createDataFrame([(n,) for n in (3, 4, 4, 9, 70_000, 70_001, 200_000, None)], "number long")
+    assert sorted(map(tuple, page_gaps(pages).collect())) == [(5, 8), (10, 69_999), (70_002, 199_999)]
+    assert page_gaps(pages.where("number = 3")).count() == 0 and page_gaps(pages.where("false")).count() == 0
+
+
+def test_heights_and_nearest(spark):
+    rows = [(1, None, 1), (2, 1, 0), (3, 2, 0), (4, 3, 1), (5, 4, 0), (6, 2, 0), (7, 99, 0), (8, 7, None)]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, kept int")
+    assert dict(map(tuple, closure.heights(nodes).collect())) == {1: 4, 2: 3, 3: 2, 4: 1, 5: 0, 6: 0, 7: 1, 8: 0}
+    found = dict(map(tuple, closure.nearest(nodes, F.col("kept") == 1).collect()))
+    assert found == {1: None, 2: 1, 3: 1, 4: 1, 5: 4, 6: 1, 7: None, 8: None}
+    long = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "id long, parent_id long")
+    assert dict(map(tuple, closure.heights(long).collect())) == {i: 299 - i for i in range(300)}
+    assert closure.heights(nodes.where("false")).count() == 0
+    with pytest.raises(closure.CycleError):
+        closure.heights(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent_id long"))
+
+
+def test_large_lines(spark, tmp_path):
+    from skein.sources.exports import read_large_lines
+
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i}\r\n\n" for i in range(500)))
+    rows = read_large_lines(spark, str(tmp_path)).orderBy("file", "place").collect()
+    assert [r.text for r in rows] == [f"line {i}" for i in range(500)]
