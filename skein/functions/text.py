@@ -10,7 +10,8 @@ SPACE = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    # an end's run of white space is tried once, from its first place
+    return F.regexp_replace(text, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def is_retweet(text: Column) -> Column:

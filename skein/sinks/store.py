@@ -52,8 +52,13 @@ class Store:
         out = self._fs.create(self._path(f"{path}.part"), True)
         out.write(bytearray(body.encode()))
         out.close()
-        self._fs.delete(self._path(path), False)
-        self._fs.rename(self._path(f"{path}.part"), self._path(path))
+        # replaces what is there in one step, so that a reader finds the old or the new one
+        jvm = self.spark._jvm
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        target = self._path(path)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(self._path(f"{path}.part")), self._fs.makeQualified(target), how)
 
     def checkpoint(self, created_at: str, refs: dict[str, str], transforms: list[dict], parent: str | None = None) -> str:
         """Writes a manifest; its id is its time and the first digits of its digest."""

@@ -20,10 +20,14 @@ def literal_body(value: Column) -> Column:
     return F.regexp_replace(body, _TRAILING, "$1")
 
 
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def is_archive(spark: SparkSession, root: str) -> bool:
     """Whether data/manifest.js is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/manifest.js")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return _exists(spark, f"{root}/data/manifest.js")
 
 
 def detect(spark: SparkSession, root: str) -> str | None:
@@ -62,10 +66,10 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 def account_id(spark: SparkSession, root: str) -> str | None:
     """The owner's id, or None; one small file, read on the driver."""
     shape = "array<struct<account:struct<accountId:string,username:string>>>"
-    try:
-        row = _whole(spark, f"{root}/data/account.js").select(F.from_json("value", shape, _LENIENT).alias("a")).first()
-    except Exception:  # no such file
+    path = f"{root}/data/account.js"
+    if not _exists(spark, path):
         return None
+    row = _whole(spark, path).select(F.from_json("value", shape, _LENIENT).alias("a")).first()
     return row["a"][0]["account"]["accountId"] if row and row["a"] else None
 
 
