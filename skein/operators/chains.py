@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.closure import ancestors, heights, nearest, present_edges, roots
+from skein.operators.closure import climbed, heights, nearest, paths, present_edges, roots
 
 #: Sources whose items may form threads of their owner; the source of items fetched for context.
 OWN, FETCHED = ("twitter:tweet", "bluesky:post"), "bluesky:fetched"
@@ -43,40 +43,48 @@ def filtered(items: DataFrame, since: str | None = None, until: str | None = Non
     return items.where((F.col("source") == FETCHED) | keep)
 
 
-def chain_starts(items: DataFrame, closure: DataFrame) -> DataFrame:
-    """An item starts a chain unless it was fetched or a descendant that wasn't comes before it."""
-    of = items.select("id", "ord", "source")
-    below = closure.join(of.select(F.col("id").alias("node"), F.col("ord").alias("child_ord")).where(F.col("child_ord").isNotNull()), "node")
-    below = below.join(of.where(F.col("source") != FETCHED).select(F.col("id").alias("node")), "node", "left_semi")
-    covered = below.join(of.select(F.col("id").alias("ancestor"), F.col("ord").alias("own_ord")), "ancestor").where("child_ord < own_ord")
-    return of.where(F.col("source") != FETCHED).join(covered.select(F.col("ancestor").alias("id")).distinct(), "id", "left_anti").select("id", "ord")
-
-
-def chains(items: DataFrame) -> DataFrame:
-    """chain_id (the start's id), start_ord, root_id, pos (from 0 at the root), kind and the item's columns, a row for each item of each chain."""
-    closure = ancestors(items)
-    starts = chain_starts(items, closure)
-    members = starts.select(F.col("id").alias("chain_id"), F.col("ord").alias("start_ord"))
-    up = members.join(closure.withColumnRenamed("node", "chain_id"), "chain_id").select("chain_id", "start_ord", F.col("ancestor").alias("id"), "distance")
-    rows = up.unionByName(members.select("chain_id", "start_ord", F.col("chain_id").alias("id"), F.lit(0).cast("long").alias("distance")))
-    known = items.select("id", F.lit(True).alias("__there"))
-    out = rows.join(items, "id")
-    has_parent = out.join(known.withColumnRenamed("id", "parent_id"), "parent_id", "left")
-    whole = Window.partitionBy("chain_id")
-    both = F.coalesce("account_id", F.lit("")) != ""
-    same = ~(both & (F.coalesce("reply_user_id", F.lit("")) != "")) | (F.col("account_id") == F.col("reply_user_id"))
-    own = F.col("source").isin(*OWN) & (F.col("__there").isNull() | same)
-    out = has_parent.withColumn("kind", F.when(F.bool_and(own).over(whole), "thread").otherwise("conversation"))
-    out = out.withColumn("pos", F.max("distance").over(whole) - F.col("distance"))
-    return out.withColumn("root_id", F.max_by("id", "distance").over(whole)).drop("__there", "distance")
+def chain_heads(items: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """chain_id (the start's id), start_ord, root_id, n (items up to the root), kind, a row for each chain; and the jumps along the links.
+
+    An item starts a chain unless it was fetched or a descendant that wasn't comes
+    before it. A chain is a thread if all its items are its owner's.
+    """
+    known = items.select(F.col("id").alias("parent_id"), F.lit(True).alias("__there"))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    same = ~(filled("account_id") & filled("reply_user_id")) | (F.col("account_id") == F.col("reply_user_id"))
+    own = F.coalesce(F.col("source").isin(*OWN), F.lit(False)) & (F.col("__there").isNull() | same)
+    placed = items.select("id", "parent_id", "ord", "source", "account_id", "reply_user_id").join(known, "parent_id", "left")
+    walked, jumps = climbed(placed, anywhere={"foreign": ~own}, least={"earliest": F.when(F.col("source") != FETCHED, F.col("ord"))})
+    starts = items.where(F.col("source") != FETCHED).select(F.col("id").alias("node"), F.col("ord").alias("start_ord"))
+    heads = starts.join(walked, "node").where(F.coalesce(F.col("earliest") >= F.col("start_ord"), F.lit(True)))
+    kind = F.when(F.col("foreign"), "conversation").otherwise("thread")
+    return heads.select(F.col("node").alias("chain_id"), "start_ord", F.col("root").alias("root_id"), (F.col("depth") + 1).alias("n"), kind.alias("kind")), jumps
+
+
+def longest_heads(heads: DataFrame) -> DataFrame:
+    """Of the conversations with one root the longest stays, the first among equals; threads stay as they are."""
+    w = Window.partitionBy("root_id", "kind").orderBy(F.desc("n"), "start_ord", "chain_id")
+    return heads.withColumn("__i", F.row_number().over(w)).where("kind = 'thread' or __i = 1").drop("__i")
+
+
+def chains(items: DataFrame, longest: bool = False) -> DataFrame:
+    """chain_id, start_ord, root_id, pos (from 0 at the root), kind and the item's columns, a row for each item of each chain.
+
+    With longest, chains that longest_heads drops aren't built: without it, a long
+    chain whose root comes first is there once for each of its items.
+    """
+    heads, jumps = chain_heads(items)
+    if longest:
+        heads = longest_heads(heads)
+    rows = paths(heads.withColumn("node", F.col("chain_id")), jumps)
+    rows = rows.select(F.col("at").alias("id"), "chain_id", "start_ord", "root_id", "kind", (F.col("n") - 1 - F.col("distance")).alias("pos"))
+    return rows.join(items, "id")
 
 
 def longest_per_root(chained: DataFrame) -> DataFrame:
-    """Of the conversations with one root the longest stays, the first among equals; threads stay as they are."""
-    heads = chained.where("kind = 'conversation'").groupBy("chain_id", "root_id", "start_ord").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("root_id").orderBy(F.desc("n"), "start_ord")
-    kept = heads.withColumn("i", F.row_number().over(w)).where("i = 1").select("chain_id")
-    return chained.where("kind = 'thread'").unionByName(chained.where("kind = 'conversation'").join(kept, "chain_id", "left_semi"))
+    """longest_heads for chains that are built already."""
+    heads = chained.groupBy("chain_id", "root_id", "start_ord", "kind").agg(F.count("*").alias("n"))
+    return chained.join(longest_heads(heads).select("chain_id"), "chain_id", "left_semi")
 
 
 def thread_components(tweets: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def depth_below(nodes: DataFrame) -> DataFrame:
 
 
 def only_threads(chained: DataFrame) -> DataFrame:
-    """Conversations go; what isn't in a chain is no thread either."""
+    """Conversations go, as heads or with their items; what isn't in a chain is no thread either."""
     return chained.where("kind = 'thread'")
 
 

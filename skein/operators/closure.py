@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,19 +74,56 @@ def nearest(nodes: DataFrame, kept: Column, parent: str = "parent_id", rounds: i
     raise CycleError("parent links form a cycle")
 
 
-def ancestors(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
-    """node, ancestor, distance (1 and up) for all pairs; for forests whose chains are short next to their number."""
-    linked = present_edges(nodes, parent)
-    closure = checkpointed(linked.select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
-    reach = 1
-    for _ in range(rounds):
-        tips = closure.where(F.col("distance") == reach)
-        far = closure.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("distance").alias("more"))
-        longer = checkpointed(tips.join(far, "ancestor").select("node", F.col("beyond").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")))
-        if longer.isEmpty():
-            return closure
-        if not longer.where("node = ancestor").isEmpty():
-            raise CycleError("parent links form a cycle")
-        closure = checkpointed(closure.unionByName(longer))
-        reach *= 2
+def climbed(nodes: DataFrame, parent: str = "parent_id", anywhere: Mapping[str, Column] | None = None, least: Mapping[str, Column] | None = None, rounds: int = 40) -> tuple[DataFrame, list[DataFrame]]:
+    """node, root, depth and what lies on the way, a row for each node; and the jumps, tables (node, up), the i-th 2 ** i links up.
+
+    anywhere: conditions by name, true where one holds at the node or above it; least:
+    values by name, the least at the node or below it. Work is a row for each node in
+    every round; rounds grow with the logarithm of the depth.
+    """
+    anywhere, least, total = dict(anywhere or {}), dict(least or {}), nodes.count()
+    own = nodes.select(F.col("id").alias("node"), *(F.coalesce(c, F.lit(False)).alias(n) for n, c in anywhere.items()), *(c.alias(n) for n, c in least.items()))
+    state = own.join(present_edges(nodes, parent), "node", "left")
+    state = checkpointed(state.select("node", F.col("parent").alias("up"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *anywhere, *least))
+    jumps: list[DataFrame] = []
+    for i in range(rounds):
+        jump = state.where("up is not null").select("node", "up")
+        if jump.isEmpty():
+            return state.drop("up"), jumps
+        if 2**i > 2 * total:
+            break
+        jumps.append(jump)
+        # a row covers the node and what lies less than 2 ** i above; for least, less than 2 ** i below
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("root").alias("__root"), (F.col("depth") + 2**i).alias("__depth"), *(F.col(n).alias(f"__{n}") for n in anywhere))
+        step = state.join(far, "up", "left")
+        if least:
+            below = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(*(F.min(n).alias(f"__{n}") for n in least))
+            step = step.join(below, "node", "left")
+        either = (F.col(n) | F.coalesce(f"__{n}", F.lit(False)) for n in anywhere)
+        state = checkpointed(
+            step.select(
+                "node",
+                F.col("__up").alias("up"),
+                F.coalesce("__root", "root").alias("root"),
+                F.coalesce("__depth", "depth").alias("depth"),
+                *(c.alias(n) for n, c in zip(anywhere, either, strict=True)),
+                *(F.least(n, f"__{n}").alias(n) for n in least),
+            )
+        )
     raise CycleError("parent links form a cycle")
+
+
+def paths(starts: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """The rows of starts (node and any other columns) for every node from theirs up to the root, with at and distance (from 0); work is in proportion to these rows."""
+    out = starts.withColumns({"at": F.col("node"), "distance": F.lit(0).cast("long")})
+    for i, jump in enumerate(jumps):
+        # out covers the distances below 2 ** i
+        far = out.join(jump.withColumnRenamed("node", "at"), "at")
+        out = out.unionByName(checkpointed(far.select(*starts.columns, F.col("up").alias("at"), (F.col("distance") + 2**i).alias("distance"))))
+    return out
+
+
+def ancestors(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """node, ancestor, distance (1 and up) for all pairs, which long chains make many; climbed() and paths() do with fewer."""
+    _, jumps = climbed(nodes, parent)
+    return paths(nodes.select(F.col("id").alias("node")), jumps).where("distance > 0").select("node", F.col("at").alias("ancestor"), "distance")

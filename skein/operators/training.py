@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.closure import ancestors
+from skein.operators.closure import climbed, paths
 
 
 def pinned_mean(values: Column) -> Column:
@@ -29,38 +29,63 @@ def leaderboard(scores: DataFrame, selections: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def contexts(events: DataFrame) -> DataFrame:
-    """id, segments, and what is wrong on the way to the root: partial, suppressed_context, no_train_context.
+def context_faults(events: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """id and what is wrong on the way to the root: partial (also of the event itself), suppressed_context, no_train_context; and the jumps along the links."""
+    nodes = events.select("id", F.col("parent").alias("parent_id"), "suppressed", "marked")
+    known = events.select(F.col("id").alias("parent_id"), F.lit(True).alias("__there"))
+    cut = F.col("parent_id").isNotNull() & F.col("__there").isNull()
+    walked, jumps = climbed(nodes.join(known, "parent_id", "left"), anywhere={"suppressed_context": F.col("suppressed"), "no_train_context": F.col("marked"), "partial": cut})
+    above = walked.select(F.col("node").alias("parent_id"), "suppressed_context", "no_train_context")
+    found = walked.select(F.col("node").alias("id"), "partial").join(nodes.select("id", "parent_id"), "id").join(above, "parent_id", "left")
+    no = F.lit(False)
+    return found.select("id", F.coalesce("suppressed_context", no).alias("suppressed_context"), F.coalesce("no_train_context", no).alias("no_train_context"), "partial"), jumps
+
+
+def contexts(events: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """id, segments, and what context_faults finds; of all events, or of those whose id is in wanted.
 
-    Segments are the texts of unsuppressed ancestors, root first.
+    Segments are the texts of unsuppressed ancestors, root first. Work is in proportion
+    to the events and to the ways of the wanted ones; a wanted event with a fault is no
+    training row and has no segments, unless all are asked for.
     """
-    nodes = events.select("id", F.col("parent").alias("parent_id"))
-    path = ancestors(nodes).join(events.select(F.col("id").alias("ancestor"), "text", "suppressed", "marked", F.col("parent").alias("above")), "ancestor")
-    known = events.select(F.col("id").alias("above"), F.lit(True).alias("there"))
-    own = events.select(F.col("id").alias("node"), F.col("parent").alias("above"), F.lit(0).cast("long").alias("distance"))
-    path = path.join(known, "above", "left")
-    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull() & ~F.col("suppressed"), F.struct((-F.col("distance")).alias("at"), "text"))))
-    per = path.groupBy("node").agg(
-        F.transform(texts, lambda t: t["text"]).alias("segments"),
-        F.bool_or("suppressed").alias("suppressed_context"),
-        F.bool_or("marked").alias("no_train_context"),
-        F.bool_or(F.col("above").isNotNull() & F.col("there").isNull()).alias("cut"),
-    )
-    own = own.join(known, "above", "left").select("node", (F.col("above").isNotNull() & F.col("there").isNull()).alias("own_cut"))
-    out = own.join(per, "node", "left")
-    no = F.lit(False)
-    return out.select(F.col("node").alias("id"), F.coalesce("segments", F.array().cast("array<string>")).alias("segments"), F.coalesce("suppressed_context", no).alias("suppressed_context"), F.coalesce("no_train_context", no).alias("no_train_context"), (F.coalesce("cut", no) | F.col("own_cut")).alias("partial"))
+    faults, jumps = context_faults(events)
+    if wanted is not None:
+        faults = faults.join(wanted.select("id").distinct(), "id", "left_semi")
+    asked = faults if wanted is None else faults.where("not (partial or suppressed_context or no_train_context)")
+    path = paths(asked.select(F.col("id").alias("node")), jumps).where("distance > 0")
+    texts = events.where("text is not null and not suppressed").select(F.col("id").alias("at"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "text")))
+    per = path.join(texts, "at").groupBy(F.col("node").alias("id")).agg(F.transform(ordered, lambda t: t["text"]).alias("segments"))
+    return faults.join(per, "id", "left").withColumn("segments", F.coalesce("segments", F.array().cast("array<string>")))
+
+
+def candidates(events: DataFrame, board: DataFrame) -> DataFrame:
+    """id: scored or selected events that pass the gates of their own."""
+    return _passing(events).join(board.where("score_count > 0 or selected_count > 0").select(F.col("target").alias("id")), "id", "left_semi")
+
+
+def chosen(events: DataFrame, selections: DataFrame) -> DataFrame:
+    """id: chosen events that pass the gates of their own."""
+    return _passing(events).join(selections.select(F.explode("chosen").alias("id")), "id", "left_semi")
+
+
+def _passing(events: DataFrame) -> DataFrame:
+    return events.where("text is not null and not suppressed and not marked").select("id")
 
 
 def sft(events: DataFrame, board: DataFrame, context: DataFrame) -> DataFrame:
-    """target, weight, skip: the first gate that fails names the skip; rows without one are training rows."""
-    candidates = board.where("score_count > 0 or selected_count > 0").select("target", "mean")
-    rows = candidates.join(events.withColumnRenamed("id", "target"), "target", "left").join(context.withColumnRenamed("id", "target"), "target", "left")
+    """target, weight, skip: the first gate that fails names the skip; rows without one are training rows. context: contexts(), or context_faults() where no segments are needed."""
+    named = board.where("score_count > 0 or selected_count > 0").select("target", "mean")
+    rows = named.join(events.withColumnRenamed("id", "target"), "target", "left").join(context.withColumnRenamed("id", "target"), "target", "left")
     gates = [("ineligible", F.col("suppressed").isNull()), ("suppressed-completion", F.col("suppressed")), ("no-text", F.col("text").isNull()), ("no-train", F.col("marked")), ("partial", F.col("partial")), ("suppressed-context", F.col("suppressed_context")), ("no-train-context", F.col("no_train_context"))]
     skip = F.lit(None).cast("string")
     for name, fails in reversed(gates):
         skip = F.when(fails, name).otherwise(skip)
-    return rows.select("target", F.col("mean").alias("weight"), skip.alias("skip"), "text", "segments", "actor")
+    return rows.select("target", F.col("mean").alias("weight"), skip.alias("skip"), "text", *_segments(context), "actor")
+
+
+def _segments(context: DataFrame) -> list[str]:
+    return [c for c in ("segments",) if c in context.columns]
 
 
 def preferences(events: DataFrame, selections: DataFrame, context: DataFrame) -> DataFrame:
@@ -84,7 +109,7 @@ def preferences(events: DataFrame, selections: DataFrame, context: DataFrame) ->
     skip = F.lit(None).cast("string")
     for name, fails in reversed(gates):
         skip = F.when(fails, name).otherwise(skip)
-    return pairs.select("selection", "chosen", "rejected", skip.alias("skip"), "segments", "chosen_text", "rejected_text")
+    return pairs.select("selection", "chosen", "rejected", skip.alias("skip"), *_segments(context), "chosen_text", "rejected_text")
 
 
 def plain(segments: Column, completion: Column) -> Column:

@@ -37,7 +37,7 @@ _ITEMS = """items AS (
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chained = chains.longest_per_root(chains.chains(views.items_conv(spark, sf_dir)))
+    chained = chains.chains(views.items_conv(spark, sf_dir), longest=True)
     turns = chained.select(F.substring_index("root_id", ":", 1).cast("long").alias("conv_id"), "chain_id", "pos", "role", "text")
     merged = messages.to_last_assistant(messages.merged(turns, ["conv_id", "chain_id"], ["pos"]), ["conv_id", "chain_id"])
     return merged.select("conv_id", F.col("island").alias("message_no"), "role", "content")
@@ -59,14 +59,14 @@ def sharegpt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id || ':' || turn AS chain_id, conv_id || ':0' AS root_id, turn + 1 AS n, CASE WHEN bool_and(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) THEN 'thread' ELSE 'conversation' END AS kind FROM conversations")
 def conv_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chain, with its kind."""
-    out = chains.chains(views.items_conv(spark, sf_dir)).groupBy("chain_id", "root_id", "kind").agg(F.count("*").alias("n"))
-    return out.select("chain_id", "root_id", "n", "kind")
+    heads, _ = chains.chain_heads(views.items_conv(spark, sf_dir))
+    return heads.select("chain_id", "root_id", "n", "kind")
 
 
 @query("SELECT conv_id || ':0' AS root_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id")
 def conv_dedup_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6."""
-    kept = chains.longest_per_root(chains.chains(views.items_conv(spark, sf_dir))).where("kind = 'conversation'")
+    kept = chains.chains(views.items_conv(spark, sf_dir), longest=True).where("kind = 'conversation'")
     return kept.groupBy("root_id").agg(F.count("*").alias("n"))
 
 
@@ -369,7 +369,8 @@ _SFT = """CASE WHEN a.id IS NULL THEN 'ineligible' WHEN a.suppressed THEN 'suppr
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4-L7, L9."""
     a = views.artifacts(spark, sf_dir)
-    s = training.sft(a, _board(spark, sf_dir), training.contexts(a)).where("skip is null")
+    board = _board(spark, sf_dir)
+    s = training.sft(a, board, training.contexts(a, training.candidates(a, board))).where("skip is null")
     return s.select("target", F.round("weight", 6).alias("weight"), F.col("text").alias("completion"), F.size("segments").cast("long").alias("segments"))
 
 
@@ -377,7 +378,7 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sft_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L6, L10."""
     a = views.artifacts(spark, sf_dir)
-    s = training.sft(a, _board(spark, sf_dir), training.contexts(a))
+    s = training.sft(a, _board(spark, sf_dir), training.context_faults(a)[0])
     return s.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -390,14 +391,14 @@ _PAIR = """SELECT s.id AS selection, s.chosen, s.shown AS rejected, CASE WHEN x.
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L8."""
     a = views.artifacts(spark, sf_dir)
-    return training.preferences(a, views.selections(spark, sf_dir), training.contexts(a)).select("selection", "chosen", "rejected", "skip")
+    return training.preferences(a, views.selections(spark, sf_dir), training.context_faults(a)[0]).select("selection", "chosen", "rejected", "skip")
 
 
 @query(f"WITH {_LOG}, p AS ({_PAIR}) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM p GROUP BY 1")
 def pair_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L8, L10."""
     a = views.artifacts(spark, sf_dir)
-    p = training.preferences(a, views.selections(spark, sf_dir), training.contexts(a))
+    p = training.preferences(a, views.selections(spark, sf_dir), training.context_faults(a)[0])
     return p.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
 
 

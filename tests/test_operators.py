@@ -152,6 +152,47 @@ def test_heights_and_nearest(spark):
         closure.heights(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent_id long"))
 
 
+def test_climbed_and_paths(spark):
+    rows = [(1, None, False, 9), (2, 1, True, 8), (3, 2, False, None), (4, 3, False, 3), (5, 2, False, 7), (6, 99, False, 1)]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, bad boolean, v long")
+    found, jumps = closure.climbed(nodes, anywhere={"bad": F.col("bad")}, least={"low": F.col("v")})
+    assert values(found, "node", "root", "depth", "bad", "low") == [(1, 1, 0, False, 3), (2, 1, 1, True, 3), (3, 1, 2, True, 3), (4, 1, 3, True, 3), (5, 1, 2, True, 7), (6, 6, 0, False, 1)]
+    ways = closure.paths(spark.createDataFrame([(4, "x"), (6, "y")], "node long, tag string"), jumps)
+    assert values(ways, "tag", "at", "distance") == [("x", 1, 3), ("x", 2, 2), ("x", 3, 1), ("x", 4, 0), ("y", 6, 0)]
+    assert closure.climbed(nodes.where("false"))[0].count() == 0
+
+
+def test_chains_branch_and_fetched(spark):
+    rows = [item("r", source="external", ord=0), item("a", "r", ord=1), item("b", "r", source="bluesky:fetched", ord=2), item("c", "b", ord=3), item("d", "gone", ord=5), item("e", "d", ord=4), item("f", None, source=None, ord=6)]
+    items = spark.createDataFrame(rows, ITEM)
+    heads, _ = chains.chain_heads(items)
+    # b was fetched, d comes after its reply e, f names no source
+    assert values(heads, "chain_id", "root_id", "n", "kind") == [("a", "r", 2, "conversation"), ("c", "r", 3, "conversation"), ("e", "d", 2, "thread"), ("r", "r", 1, "conversation")]
+    built = chains.chains(items, longest=True)
+    assert values(built, "chain_id", "pos", "id") == [("c", 0, "r"), ("c", 1, "b"), ("c", 2, "c"), ("e", 0, "d"), ("e", 1, "e")]
+    assert values(chains.longest_per_root(chains.chains(items)), "chain_id", "pos", "id") == values(built, "chain_id", "pos", "id")
+    assert values(chains.only_threads(heads), "chain_id") == [("e",)]
+
+
+def test_contexts(spark):
+    rows = [("a", None, "A", False, False, "x"), ("b", "a", None, False, False, "x"), ("c", "b", "C", True, False, "x"), ("d", "c", "D", False, True, "x"), ("e", "d", "E", False, False, "x"), ("g", "gone", "G", False, False, "x"), ("h", "g", "H", False, False, "x"), ("i", "b", "I", False, False, "x")]
+    events = spark.createDataFrame(rows, "id string, parent string, text string, suppressed boolean, marked boolean, actor string")
+    shown = ("id", "segments", "partial", "suppressed_context", "no_train_context")
+    everything = [("a", [], False, False, False), ("b", ["A"], False, False, False), ("c", ["A"], False, False, False), ("d", ["A"], False, True, False), ("e", ["A", "D"], False, True, True), ("g", [], True, False, False), ("h", ["G"], True, False, False), ("i", ["A"], False, False, False)]
+    assert values(training.contexts(events), *shown) == everything
+    some = training.contexts(events, spark.createDataFrame([("i",), ("h",), ("i",), ("none",)], "id string"))
+    assert values(some, *shown) == [("h", [], True, False, False), ("i", ["A"], False, False, False)]
+    board = spark.createDataFrame([(t, 1.0, 1, 0) for t in "adehi"], "target string, mean double, score_count long, selected_count long")
+    rows = training.sft(events, board, training.contexts(events, training.candidates(events, board)))
+    assert values(rows, "target", "skip", "segments")[0] == ("a", None, []) and values(rows.where("skip is null"), "target") == [("a",), ("i",)]
+    # gates of their own come first, so events outside the candidates need no context
+    assert values(rows.where("skip is not null"), "target", "skip") == [("d", "no-train"), ("e", "suppressed-context"), ("h", "partial")]
+    picks = spark.createDataFrame([("s", ["i"], ["i", "c", "b"])], "id string, chosen array<string>, shown array<string>")
+    assert values(training.chosen(events, picks)) == [("i",)]
+    pairs = training.preferences(events, picks, training.context_faults(events)[0])
+    assert values(pairs, "chosen", "rejected", "skip") == [("i", "b", "no-text"), ("i", "c", "suppressed")]
+
+
 def test_large_lines(spark, tmp_path):
     from skein.sources.exports import read_large_lines
 
