@@ -128,6 +128,12 @@ def parents_first(nodes: DataFrame, order: str = "ord") -> DataFrame:
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(order, "id")).cast("long"))
 
 
+def source_order(nodes: DataFrame, order: str = "ord") -> DataFrame:
+    """node, earliest, depth: sorted by these two, nodes stand in the given order, each after its ancestors: those that the next one needs come right before it, root first."""
+    walked, _ = climbed(nodes, least={"earliest": F.col(order)})
+    return walked.select("node", "earliest", "depth")
+
+
 def best_children(nodes: DataFrame, board: DataFrame) -> DataFrame:
     """parent_id, child, rule: of the children of a parent (null: of the roots) the one that a reader follows.
 

@@ -8,6 +8,7 @@ the wrong form), conflict-variant (other bytes under the same id), accepted.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +79,49 @@ def branches(events: DataFrame, conflicted: DataFrame) -> DataFrame:
     return out.withColumn("children", F.coalesce("children", F.array().cast("array<string>"))).withColumn("partial", F.col("conflicted_parents") + F.col("missing_parents") > 0)
 
 
+def verify_report(rows: DataFrame) -> DataFrame:
+    """kind (empty where a line has none), lines, accepted, conflicts. rows: classified lines."""
+    is_ = lambda c: F.count(F.when(F.col("class") == c, 1))
+    return rows.groupBy(F.coalesce("kind", F.lit("")).alias("kind")).agg(F.count("*").alias("lines"), is_("accepted").alias("accepted"), is_("conflict-variant").alias("conflicts"))
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """The report of lines read back from a written file; raises unless all are accepted."""
+    bad = rows.where("class != 'accepted'").select("file", "line", "class", "reason").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['file']}:{bad[0]['line']} is {bad[0]['class']}: {bad[0]['reason']}")
+    return verify_report(rows)
+
+
+def diagnostics(rows: DataFrame) -> DataFrame:
+    """what, subject, n: lines of each class, conflicting ids with their variants, parents that are missing or unavailable for a conflict with the references to them, withheld ids. rows: classified lines."""
+    events = eligible(rows)
+    conflicts = rows.where("class = 'conflict-variant'").groupBy(F.col("id").alias("subject")).agg(F.countDistinct("body_digest").alias("n"))
+    references = events.select(F.explode(F.array_distinct("parents")).alias("subject")).groupBy("subject").agg(F.count("*").alias("n"))
+    lost = references.join(events.select(F.col("id").alias("subject")), "subject", "left_anti")
+    parts = {
+        "class": rows.groupBy(F.col("class").alias("subject")).agg(F.count("*").alias("n")),
+        "conflict": conflicts,
+        "missing": lost.join(conflicts, "subject", "left_anti"),
+        "unavailable": lost.join(conflicts, "subject", "left_semi"),
+        "withheld": events.where("suppressed").select(F.col("id").alias("subject"), F.lit(1).cast("long").alias("n")),
+    }
+    labelled = [df.select(F.lit(what).alias("what"), "subject", "n") for what, df in parts.items()]
+    return functools.reduce(DataFrame.unionByName, labelled)
+
+
+def attachments(events: DataFrame) -> DataFrame:
+    """target, bucket, ids (in order): critical events that name a target (suppressors), its annotations that nothing reads (generic) and those that are malformed (ignored).
+
+    events: id, annotation (boolean), label, parents, critical, suppressed, ignored. Scores and selections are the leaderboard's.
+    """
+    read = F.coalesce(F.col("label").isin("score", "selection"), F.lit(False))
+    own = F.when(F.col("annotation") & ~F.col("suppressed"), F.when(F.col("ignored"), "ignored").when(~read, "generic"))
+    buckets = F.array_compact(F.array(F.when(F.col("critical"), "suppressors"), own))
+    named = events.select("id", F.explode("parents").alias("target"), buckets.alias("b")).select("id", "target", F.explode("b").alias("bucket"))
+    return named.groupBy("target", "bucket").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 def no_train(events: DataFrame) -> DataFrame:
     """id, marks: what unsuppressed no-train annotations name, and those annotations' ids in order."""
     marks = events.where((F.col("label") == "no-train") & ~F.col("suppressed"))

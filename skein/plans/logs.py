@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
-from skein.operators import chains, decisions, events, log, messages, pareto, sessions
+from skein.operators import chains, decisions, events, log, looms, messages, pareto, sessions
 from skein.plans.views import event_rows, items_conv, table
 from skein.sources import archive, exports
 
@@ -93,6 +93,67 @@ def branch_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join("children", ",").alias("children"), "suppressed", F.col("conflicted_parents").cast("long").alias("conflicted_parents"), F.col("missing_parents").cast("long").alias("missing_parents"), "partial")
 
 
+@query(f"""WITH {_LINES}, known AS (SELECT DISTINCT eid AS id, class FROM c WHERE class NOT IN ('garbage', 'damaged'))
+SELECT 'class' AS what, class AS subject, count(*) AS n FROM c GROUP BY class UNION ALL SELECT 'conflict', eid, count(*) FROM c WHERE class = 'conflict-variant' GROUP BY eid
+UNION ALL SELECT CASE WHEN k.class IS NULL THEN 'missing' ELSE 'unavailable' END, p.parent, count(*) FROM par p LEFT JOIN known k ON k.id = p.parent WHERE k.class IS NULL OR k.class = 'conflict-variant' GROUP BY 1, 2
+UNION ALL SELECT 'withheld', eid, 1 FROM ok WHERE suppressed""")
+def log_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a view of the log leaves out, and why."""
+    return log.diagnostics(_classified(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT CASE WHEN m IN (1, 2, 5) THEN '' ELSE 'log/' || event_type END AS kind, count(*) AS lines, count(*) FILTER (WHERE class = 'accepted') AS accepted, count(*) FILTER (WHERE class = 'conflict-variant') AS conflicts FROM c JOIN events USING (event_id) GROUP BY 1")
+def log_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: lines, accepted ones and conflicts by kind."""
+    return log.verify_report(_classified(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_id // 3 AS target, event_type, event_id % 10 = 0 AS ignored, event_id % 7 = 1 AS suppressed FROM events WHERE event_id > 2),
+b AS (SELECT id, target, 'suppressors' AS bucket FROM e WHERE event_type = 'error' UNION ALL
+  SELECT id, target, CASE WHEN ignored THEN 'ignored' ELSE 'generic' END FROM e WHERE NOT suppressed AND (ignored OR event_type NOT IN ('click', 'purchase')))
+SELECT target, bucket, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM b GROUP BY target, bucket""")
+def log_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as annotations of the one a third as far; clicks score, purchases select, errors suppress."""
+    e = table(spark, sf_dir, "events")
+    label = F.when(F.col("event_type") == "click", "score").when(F.col("event_type") == "purchase", "selection").otherwise(F.col("event_type"))
+    parents = F.when(F.col("event_id") > 2, F.array(F.floor(F.col("event_id") / 3))).otherwise(F.array().cast("array<bigint>"))
+    rows = e.select(F.col("event_id").alias("id"), F.lit(True).alias("annotation"), label.alias("label"), parents.alias("parents"), (F.col("event_type") == "error").alias("critical"), (F.col("event_id") % 7 == 1).alias("suppressed"), (F.col("event_id") % 10 == 0).alias("ignored"))
+    return log.attachments(rows).select("target", "bucket", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+# ---- looms
+
+def _session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions: of five turns one is an event of another kind; odd ones are listed last turn first."""
+    c = table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    kind = F.when(F.col("turn") % 5 == 3, "session/note").otherwise(F.concat(F.lit("claude/"), "role"))
+    parents = F.when(F.col("turn") > 0, F.array(name(F.col("turn") - 1))).otherwise(F.array().cast("array<string>"))
+    order = F.when(F.col("conv_id") % 2 == 1, -F.col("turn")).otherwise(F.col("turn"))
+    return c.select(F.col("conv_id").alias("loom"), name(F.col("turn")).alias("id"), kind.alias("kind"), parents.alias("parents"), (F.col("conv_id") * 10000 + order).alias("ord"), "role", F.col("role").alias("author"), "text")
+
+
+@query("""SELECT conv_id AS loom, conv_id || ':' || turn AS id, CASE WHEN turn = 0 OR turn % 5 = 4 THEN '' ELSE conv_id || ':' || (turn - 1) END AS parent, role,
+row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN conv_id % 2 = 1 THEN -((turn + 1) // 5) ELSE (turn + 1) // 5 END, turn) - 1 AS place FROM conversations WHERE turn % 5 <> 3""")
+def loom_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's turns, each after its parent."""
+    placed = looms.session_turns(_session_events(spark, sf_dir))
+    return placed.select("loom", "id", F.coalesce("parent_id", F.lit("")).alias("parent"), "role", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT conv_id AS loom, 'session/note' AS kind, count(*) AS n FROM conversations WHERE turn % 5 = 3 GROUP BY conv_id")
+def loom_other_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a session is no turn."""
+    return looms.other_kinds(_session_events(spark, sf_dir))
+
+
+@query("SELECT conv_id AS loom, 'conversation' AS profile, count(*) AS turns, '' AS problems FROM conversations WHERE turn % 5 <> 3 GROUP BY conv_id")
+def loom_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as JSON, read back and checked."""
+    written = looms.snapshots(looms.session_turns(_session_events(spark, sf_dir)), {"source": "session"})
+    return looms.verify(written)
+
+
 @query("WITH h AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS id FROM events) SELECT id, CASE WHEN count(*) OVER (PARTITION BY left(id, 3)) = 1 THEN left(id, 3) ELSE id END AS short FROM h")
 def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L19."""

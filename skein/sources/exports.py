@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,56 @@ def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("place"), F.regexp_replace("value", "\r$", "").alias("text")).where("text != ''")
 
 
+def scan_tree(spark: SparkSession, root: str, suffix: str = ".jsonl") -> DataFrame:
+    """path (below root), bytes, taken: files of a tree of any depth; what doesn't end in suffix is ignored, and says so. Spark lists no empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return found.select(_below(root).alias("path"), F.col("length").alias("bytes"), F.endswith("path", F.lit(suffix)).alias("taken"))
+
+
+def file_digests(spark: SparkSession, root: str, suffix: str = ".jsonl") -> DataFrame:
+    """path (below root), bytes, sha256 of the files that end in suffix; a file is a row, of 2 GB at most. Spark lists no empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    return found.select(_below(root).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _below(root: str) -> Column:
+    """A file's path without that of the root, however either is written."""
+    folder = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
+    return F.regexp_replace("path", f"^.*?{re.escape(folder)}/+", "")
+
+
+def is_thread_url(url: Column, host: str) -> Column:
+    """Whether a URL, or a bare path, names a thread, a section or a board of a host."""
+    name, route = re.escape(host), "/(posts|board_sections|boards)/"
+    whole = url.rlike(f"^(?i)[a-z][a-z0-9+.-]*://([^/?#]*[.@])?{name}(:[0-9]+)?/")
+    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.coalesce(F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), whole & path.rlike(route)).otherwise(url.rlike(name + route)), F.lit(False))
+
+
+def embed_media(uri: Column, record: Column, levels: int = 4) -> Column:
+    """id, content_type, cid, mime, size, alt of the images or the video that a post's record (a variant) embeds; media beside a quoted record are found up to levels deep.
+
+    An image without a blob is a null entry, a video without one is no entry.
+    """
+    text = lambda v, p: F.try_variant_get(v, p, "string")
+
+    def blob(v: Column, at: str, suffix: Column, kind: str, alt: Column) -> Column:
+        name = F.concat(uri, F.lit("#"), suffix)
+        cid = F.coalesce(text(v, f"{at}.cid"), text(v, f'{at}.ref["$link"]'), name)
+        made = F.struct(name.alias("id"), F.lit(kind).alias("content_type"), cid.alias("cid"), text(v, f"{at}.mimeType").alias("mime"), F.try_variant_get(v, f"{at}.size", "long").alias("size"), alt.alias("alt"))
+        return F.when(F.try_variant_get(v, at, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, at, "variant")), made)
+
+    def of(at: str, left: int) -> Column:
+        kind = text(record, f'{at}["$type"]')
+        images = F.try_variant_get(record, f"{at}.images", "array<variant>")
+        pictures = F.transform(images, lambda v, i: blob(v, "$.image", F.concat(F.lit("image-"), i.cast("string")), "photo", text(v, "$.alt")))
+        video = F.array_compact(F.array(blob(record, f"{at}.video", F.lit("video"), "video", text(record, f"{at}.alt"))))
+        found = F.when(kind == "app.bsky.embed.images", pictures).when(kind == "app.bsky.embed.video", video)
+        return found.when(kind == "app.bsky.embed.recordWithMedia", of(f"{at}.media", left - 1)) if left else found
+
+    return F.coalesce(of("$.embed", levels), F.array().cast("array<struct<id:string,content_type:string,cid:string,mime:string,size:bigint,alt:string>>"))
+
+
 def detect_machine_kind(v: Column) -> Column:
     """loom or optimizer, by the keys of a story machine's file; null for anything else."""
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
