@@ -81,11 +81,11 @@ def climbed(nodes: DataFrame, parent: str = "parent_id", anywhere: Mapping[str,
     values by name, the least at the node or below it. Work is a row for each node in
     every round; rounds grow with the logarithm of the depth.
     """
-    anywhere, least, total = dict(anywhere or {}), dict(least or {}), nodes.count()
+    anywhere, least = dict(anywhere or {}), dict(least or {})
     own = nodes.select(F.col("id").alias("node"), *(F.coalesce(c, F.lit(False)).alias(n) for n, c in anywhere.items()), *(c.alias(n) for n, c in least.items()))
     state = own.join(present_edges(nodes, parent), "node", "left")
     state = checkpointed(state.select("node", F.col("parent").alias("up"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *anywhere, *least))
-    jumps: list[DataFrame] = []
+    total, jumps = state.count(), []
     for i in range(rounds):
         jump = state.where("up is not null").select("node", "up")
         if jump.isEmpty():
@@ -115,7 +115,8 @@ def climbed(nodes: DataFrame, parent: str = "parent_id", anywhere: Mapping[str,
 
 def paths(starts: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """The rows of starts (node and any other columns) for every node from theirs up to the root, with at and distance (from 0); work is in proportion to these rows."""
-    out = starts.withColumns({"at": F.col("node"), "distance": F.lit(0).cast("long")})
+    # every round reads them
+    out = checkpointed(starts.withColumns({"at": F.col("node"), "distance": F.lit(0).cast("long")}))
     for i, jump in enumerate(jumps):
         # out covers the distances below 2 ** i
         far = out.join(jump.withColumnRenamed("node", "at"), "at")

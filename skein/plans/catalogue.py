@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
 from skein.operators import chains, closure, decisions, log, messages, pareto, search, sessions, training
+from skein.operators.tables import checkpointed
 from skein.plans import logs, views
 from skein.plans.views import table
 
@@ -368,8 +369,8 @@ _SFT = """CASE WHEN a.id IS NULL THEN 'ineligible' WHEN a.suppressed THEN 'suppr
 @query(f"WITH {_LOG}, s AS (SELECT b.target, round(b.mean, 6) AS weight, {_SFT} AS skip, a.text, c.segments FROM board b LEFT JOIN art a ON a.id = b.target LEFT JOIN ctx c ON c.id = b.target WHERE b.score_count > 0 OR b.selected_count > 0) SELECT target, weight, text AS completion, CAST(segments AS BIGINT) AS segments FROM s WHERE skip IS NULL")
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4-L7, L9."""
-    a = views.artifacts(spark, sf_dir)
-    board = _board(spark, sf_dir)
+    a = checkpointed(views.artifacts(spark, sf_dir))
+    board = checkpointed(_board(spark, sf_dir))
     s = training.sft(a, board, training.contexts(a, training.candidates(a, board))).where("skip is null")
     return s.select("target", F.round("weight", 6).alias("weight"), F.col("text").alias("completion"), F.size("segments").cast("long").alias("segments"))
 
@@ -377,7 +378,7 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LOG}, s AS (SELECT {_SFT} AS skip FROM board b LEFT JOIN art a ON a.id = b.target LEFT JOIN ctx c ON c.id = b.target WHERE b.score_count > 0 OR b.selected_count > 0) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM s GROUP BY 1")
 def sft_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L6, L10."""
-    a = views.artifacts(spark, sf_dir)
+    a = checkpointed(views.artifacts(spark, sf_dir))
     s = training.sft(a, _board(spark, sf_dir), training.context_faults(a)[0])
     return s.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -390,14 +391,14 @@ _PAIR = """SELECT s.id AS selection, s.chosen, s.shown AS rejected, CASE WHEN x.
 @query(f"WITH {_LOG} {_PAIR}")
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L8."""
-    a = views.artifacts(spark, sf_dir)
+    a = checkpointed(views.artifacts(spark, sf_dir))
     return training.preferences(a, views.selections(spark, sf_dir), training.context_faults(a)[0]).select("selection", "chosen", "rejected", "skip")
 
 
 @query(f"WITH {_LOG}, p AS ({_PAIR}) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM p GROUP BY 1")
 def pair_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L8, L10."""
-    a = views.artifacts(spark, sf_dir)
+    a = checkpointed(views.artifacts(spark, sf_dir))
     p = training.preferences(a, views.selections(spark, sf_dir), training.context_faults(a)[0])
     return p.groupBy(F.coalesce("skip", F.lit("row")).alias("outcome")).agg(F.count("*").alias("n"))
 
