@@ -13,6 +13,7 @@ from skein.llm.chat import digests, format_conversations
 from skein.llm.common import documents, id_crc32, tune
 from skein.llm.langid import identify, train
 from skein.llm.media import text_features
+from skein.llm.middle import fill_in_middle, restored
 from skein.llm.mixing import mix
 from skein.llm.neardup import near_duplicates
 from skein.llm.packing import pack_documents
@@ -201,3 +202,28 @@ reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, z.b FROM reach JOIN
 low AS (SELECT reach.a AS r, min(s.doc_id) AS low FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id, doc_id IS NOT DISTINCT FROM low AS kept FROM s JOIN low USING (r)
 """
+
+
+@query
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two lines and put in fill-in-middle order, with digests of the result and of the text rebuilt from it."""
+    out = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+SQL["op13_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), k AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+         WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM k
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
