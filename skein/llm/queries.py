@@ -12,6 +12,7 @@ from skein.llm import pii, quality
 from skein.llm.chat import digests, format_conversations
 from skein.llm.common import documents, id_crc32, tune
 from skein.llm.langid import identify, train
+from skein.llm.lines import line_dedup
 from skein.llm.media import text_features
 from skein.llm.middle import fill_in_middle, restored
 from skein.llm.mixing import mix
@@ -227,3 +228,21 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256
 FROM c
 """
+
+
+@query
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of a smaller id holds too."""
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
+SQL["op11_lines"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, string_split(coalesce(text, ''), chr(10)) AS u FROM documents),
+l AS MATERIALIZED (
+  SELECT r, o, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, o, unnest(u) AS line, generate_subscripts(u, 1) AS i FROM d)
+), c AS (SELECT k, min(o) AS owner FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT o) > 1),
+m AS (SELECT l.r, l.i, l.line, c.k IS NOT NULL AND l.o <> c.owner AS gone FROM l LEFT JOIN c ON l.k = c.k),
+t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN t USING (r)
+"""
