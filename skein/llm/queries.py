@@ -17,6 +17,7 @@ from skein.llm.media import text_features
 from skein.llm.middle import fill_in_middle, restored
 from skein.llm.mixing import mix
 from skein.llm.neardup import near_duplicates
+from skein.llm.negatives import hard_negatives
 from skein.llm.packing import pack_documents
 from skein.llm.repeats import remove_repeats
 from skein.llm.topk import integer_vectors, topk
@@ -246,3 +247,34 @@ m AS (SELECT l.r, l.i, l.line, c.k IS NOT NULL AND l.o <> c.owner AS gone FROM l
 t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN t USING (r)
 """
+
+
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and each of its five best rows of one label, the best rows of other labels that score from 80 % of it up to it; a seventh of the labels is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.struct("vec_id", moved.alias("label")).alias("told"), "vec_id", "embedding")
+    rows = integer_vectors(raw.where("told.label is not null"), "vec_id", "embedding", 256, ["told"])
+    return hard_negatives(rows.select("id", "told.label", "v"), F.col("id") % 100 == 0)
+
+
+SQL["op12_negatives"] = """
+WITH e AS (
+  SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT q.vec_id AS anchor_id, q.r AS qr, c.vec_id, c.r, q.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS n FROM s WHERE same) WHERE n <= 5
+), k AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.qr, p.n ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+  FROM p JOIN s ON p.qr = s.qr AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM k WHERE rank <= 5
+"""

@@ -16,7 +16,7 @@ the ids and vectors are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ NONE, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 BLOCK = "dim int, block long, n int, longest double, ids binary, vectors binary"
 
 
-def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """id, v: floor(scale * x) of each component, x as double; beyond 64 bits the ends of these.
+def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024, carried: Sequence[str] = ()) -> DataFrame:
+    """id, v (and the carried columns): floor(scale * x) of each component, x as double; beyond 64 bits the ends of these.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite
     component, take no part.
@@ -45,7 +45,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024)
     x = F.col(vec_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    return df.where(F.col(id_col).isNotNull() & x.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return df.where(F.col(id_col).isNotNull() & x.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), *carried)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
