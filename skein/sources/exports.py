@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
+from skein.sources.lines import numbered_lines
 
 THREAD = "struct<id:string,title:string,url:string,posts:array<struct<post_id:string,author:string,character_display_name:string,character_handle:string,timestamp:string,content:string>>>"
 
@@ -130,12 +131,8 @@ def page_gaps(pages: DataFrame, number: str = "number") -> DataFrame:
 
 
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1, blank ones counted), text: the lines of event files and session files, for operators.log and operators.sessions.
-
-    A file is split whole, so it has to fit in a task; read_large_lines() reads others.
-    """
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n$", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "text")).select("file", (F.col("n") + 1).cast("long").alias("line"), F.regexp_replace("text", "\r$", "").alias("text")).where("text != ''")
+    """file, line (from 1, blank ones counted), text: the lines that aren't blank, of event files and session files of any size, for operators.log and operators.sessions."""
+    return numbered_lines(spark, path).where("text != ''")
 
 
 def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
