@@ -2,8 +2,8 @@
 
 A document's ids are cut into full sequences and a rest. The rests' lengths make a
 histogram of at most LENGTH - 1 bins, whatever the number of documents; lengths are
-placed longest first, each into the open patterns with the least room that holds it,
-whole counts of sequences at a time. The pattern counts are then joined back to
+placed longest first, each into the open patterns with the most room (the shortest
+packs), whole counts of sequences at a time. The pattern counts are then joined back to
 the pieces by their rank among those of equal length.
 
 Tokens are found word by word: the tokenizer's splits are independent, so a word's ids
@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -101,9 +101,10 @@ def encoder_of(tokenizer_json: str) -> WordEncoder:
 def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (count, [(piece length, pieces)]): every piece of the histogram once, none over length.
 
-    Lengths go longest first. Those of one length are placed as a bulk: into the open
-    patterns with the least room that still holds one, as many in each sequence as fit;
-    a pattern used for some of its sequences is split in two.
+    Lengths go longest first, and each piece into the shortest pack, the one with the
+    most room, if that holds it; else it opens a new one. Packs of equal room take a
+    piece each in one step, so the steps go by the patterns and not by the pieces; a
+    pattern used for some of its packs is split in two.
     """
     room: list[int] = []  # of open patterns, sorted
     open_: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
@@ -122,28 +123,19 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
 
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        changed: list[tuple[int, int, list[tuple[int, int]]]] = []
-        while left and (at := bisect_left(room, size)) < len(room):
-            space = room[at]
-            count, pieces = open_[space].pop()
-            if not open_[space]:
-                del open_[space], room[at]
-            each = space // size
-            use = min(count, left // each)
-            if use:
-                changed.append((space - each * size, use, [*pieces, (size, each)]))
-                left -= use * each
-            elif left:  # fewer pieces than fill one sequence
-                changed.append((space - left * size, 1, [*pieces, (size, left)]))
-                use, left = 1, 0
-            changed.append((space, count - use, pieces)) if not left else put(space, count - use, pieces)
+        while left and room and room[-1] >= size:
+            space = room.pop()
+            for count, pieces in open_.pop(space):
+                use = min(count, left)
+                left -= use
+                put(space, count - use, pieces)
+                again = bool(pieces) and pieces[-1][0] == size
+                put(space - size, use, [*pieces[:-1], (size, pieces[-1][1] + 1)] if again else [*pieces, (size, 1)])
         if left:
             each = length // size
-            changed.append((length - each * size, left // each, [(size, each)]))
+            put(length - each * size, left // each, [(size, each)])
             if left % each:
-                changed.append((length - left % each * size, 1, [(size, left % each)]))
-        for x in changed:
-            put(*x)
+                put(length - left % each * size, 1, [(size, left % each)])
     return done + [p for s in room for p in open_[s]]
 
 

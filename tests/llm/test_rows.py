@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,23 @@ def test_shortest_pack_first():
         assert placed == histogram
 
 
+def test_shortest_pack_first_piece_by_piece():
+    """The patterns' packs against each piece put in the pack with the most room."""
+    rng = np.random.default_rng(9)
+    for length in (7, 50, 4096):
+        for _ in range(20):
+            sizes = rng.integers(1, length, rng.integers(1, 300))
+            packs: list[list[int]] = []
+            for size in sorted(sizes.tolist(), reverse=True):
+                shortest = min(packs, key=sum, default=None)
+                if shortest is None or sum(shortest) + size > length:
+                    packs.append([size])
+                else:
+                    shortest.append(size)
+            made = [[s for s, n in pieces for _ in range(n)] for count, pieces in packing.shortest_pack_first(dict(Counter(sizes.tolist())), length) for _ in range(count)]
+            assert sorted(map(sum, made)) == sorted(map(sum, packs)) and sorted(s for p in made for s in p) == sorted(sizes.tolist())
+
+
 def test_packing(spark):
     tune(spark)
     texts = ["", None, "a b c", "word " * 9000, "hello, world"] + [f"text {i} " * (i % 60) for i in range(200)] + ["same"] * 30
