@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import times
+from skein.operators.tables import checkpointed
 
 ENVELOPE = "struct<v:int,id:string,kind:string,at:string,parents:array<string>,critical:boolean,marked:string>"
 _DIGEST = r',"digest":"sha256:([0-9a-f]{64})"\}$'
@@ -31,18 +32,23 @@ def classified(lines: DataFrame) -> DataFrame:
     fit = (F.col("__e.v") == 1) & F.col("__e.id").isNotNull() & kind.rlike("^[^/]+/[^/]+") & times.is_rfc3339(F.col("__e.at")) & F.col("__e.parents").isNotNull()
     is_object = F.coalesce(F.schema_of_variant("__json").startswith("OBJECT"), F.lit(False))
     own = F.when(~is_object, "garbage").when((F.col("__given") != "") & (F.col("__given") != F.col("body_digest")), "damaged").when(F.coalesce(fit, F.lit(False)), "accepted").otherwise("nonconforming")
-    rows = rows.withColumn("class", own).withColumn("id", F.when(own.isin("accepted", "nonconforming"), F.col("__e.id")))
-    digests = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.countDistinct("body_digest").alias("__variants"))
-    rows = rows.join(digests, "id", "left").withColumn("class", F.when(F.col("__variants") > 1, "conflict-variant").otherwise(F.col("class")))
-    reason = F.when(F.col("class") == "damaged", "sha256 mismatch").when(F.col("class") == "garbage", "not a JSON object").when(F.col("class") == "conflict-variant", "other bytes under this id").when(F.col("class") == "nonconforming", "envelope")
     payload = F.to_json(F.try_variant_get("__json", "$.payload", "variant"))
-    return rows.select("file", "line", "text", "class", reason.alias("reason"), "id", kind.alias("kind"), F.col("__e.at").alias("at"), F.col("__e.parents").alias("parents"), F.coalesce("__e.critical", F.lit(False)).alias("critical"), payload.alias("payload"), F.try_variant_get("__json", "$.author.actor", "string").alias("actor"), "body_digest")
+    rows = rows.withColumn("class", own).select(
+        "file", "line", "text", "class", F.when(F.col("class").isin("accepted", "nonconforming"), F.col("__e.id")).alias("id"), kind.alias("kind"), F.col("__e.at").alias("at"), F.col("__e.parents").alias("parents"), F.coalesce("__e.critical", F.lit(False)).alias("critical"), payload.alias("payload"), F.try_variant_get("__json", "$.author.actor", "string").alias("actor"), "body_digest"
+    )
+    # parsed once, whatever is asked of the log
+    rows = checkpointed(rows)
+    several = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("body_digest").alias("a"), F.max("body_digest").alias("z")).where("a != z").select("id", F.lit(True).alias("__several"))
+    rows = rows.join(several, "id", "left").withColumn("class", F.when(F.col("__several"), "conflict-variant").otherwise(F.col("class")))
+    reason = F.when(F.col("class") == "damaged", "sha256 mismatch").when(F.col("class") == "garbage", "not a JSON object").when(F.col("class") == "conflict-variant", "other bytes under this id").when(F.col("class") == "nonconforming", "envelope")
+    return rows.select("file", "line", "text", "class", reason.alias("reason"), "id", "kind", "at", "parents", "critical", "payload", "actor", "body_digest")
 
 
 def eligible(rows: DataFrame) -> DataFrame:
     """One row for each id that a view may show (the first line of it), with suppressed: a critical event names it as parent."""
     w = Window.partitionBy("id").orderBy("file", "line")
     first = rows.where(F.col("class").isin("accepted", "nonconforming") & F.col("id").isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    first = checkpointed(first)
     return first.join(suppressed(first), "id", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 

@@ -6,10 +6,11 @@ annotation, value. selections: id, chosen (array), shown (array).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.closure import climbed, paths
+from skein.operators.ranks import ranked
 
 
 def pinned_mean(values: Column) -> Column:
@@ -24,9 +25,7 @@ def leaderboard(scores: DataFrame, selections: DataFrame) -> DataFrame:
     shown = selections.select(F.explode("shown").alias("target"), "chosen")
     c = shown.groupBy("target").agg(F.count("*").alias("selection_count"), F.sum(F.array_contains("chosen", F.col("target")).cast("long")).alias("selected_count"))
     both = s.join(c, "target", "full_outer").fillna(0, ["score_count", "selection_count", "selected_count"])
-    # a total order needs one sort; rows are one for each scored target
-    w = Window.orderBy(F.desc_nulls_last("mean"), F.desc("selected_count"), "target")
-    return both.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked(both, [F.desc_nulls_last("mean"), F.desc("selected_count"), "target"])
 
 
 def context_faults(events: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
