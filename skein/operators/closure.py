@@ -42,6 +42,24 @@ def roots(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> Data
     raise CycleError("parent links form a cycle")
 
 
+def loops(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
+    """node, first of every node on a cycle of parent links; first is the cycle's least id. Nodes that only hang on a cycle aren't on it.
+
+    Jumps double until none is left, or until they are longer than any chain: then each
+    pointer stands on a cycle, and every node of a cycle is pointed at.
+    """
+    state = checkpointed(present_edges(nodes, parent).select("node", F.col("parent").alias("up"), F.col("node").alias("first")))
+    total = state.count()
+    for i in range(rounds):
+        if 2**i > 2 * total:
+            break
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("first").alias("first2"))
+        state = checkpointed(state.join(far, "up").select("node", F.col("up2").alias("up"), F.least("first", "first2").alias("first")))
+        if state.isEmpty():
+            break
+    return state.join(state.select(F.col("up").alias("node")).distinct(), "node", "left_semi").select("node", "first")
+
+
 def heights(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
     """node, below: how far its deepest descendant lies. A row for each node in every round; rounds grow with the logarithm of the depth."""
     total = nodes.count()

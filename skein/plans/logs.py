@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
-from skein.operators import chains, decisions, events, log, looms, messages, pareto, sessions
+from skein.operators import chains, decisions, events, log, looms, messages, outline, pareto, sessions
 from skein.plans.views import event_rows, items_conv, table
 from skein.sources import archive, exports
 
@@ -202,6 +202,23 @@ def parents_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.parents_first(_tree(spark, sf_dir)[0]).select("id", "depth", "place")
 
 
+@query(f"""WITH {_TREE}, kids AS (SELECT parent, count(*) AS n FROM b WHERE parent IS NOT NULL GROUP BY parent), root AS (SELECT child FROM best WHERE parent IS NULL),
+w AS (SELECT id, id AS head, 'thread' AS role, CAST(0 AS BIGINT) AS place, CASE WHEN id = (SELECT child FROM root) THEN 'main' ELSE 'root' END AS kind,
+    CASE WHEN id = (SELECT child FROM root) THEN 0 ELSE 1 END AS level, CASE WHEN id = (SELECT child FROM root) THEN CAST([] AS BIGINT[][]) ELSE [[CAST(1 AS BIGINT), 0, id]] END AS path FROM b WHERE parent IS NULL
+  UNION ALL SELECT c.id, CASE WHEN t.child IS NOT NULL THEN w.head ELSE c.id END, CASE WHEN t.child IS NOT NULL OR k.n > 0 THEN 'thread' ELSE 'footnote' END, CASE WHEN t.child IS NOT NULL THEN w.place + 1 WHEN k.n > 0 THEN 0 ELSE w.place + 1 END,
+    CASE WHEN t.child IS NOT NULL THEN w.kind ELSE 'branch' END, CASE WHEN t.child IS NOT NULL THEN w.level ELSE w.level + 1 END, CASE WHEN t.child IS NOT NULL THEN w.path ELSE w.path || [[CAST(0 AS BIGINT), w.place + 1, c.id]] END
+  FROM w JOIN b c ON c.parent = w.id LEFT JOIN best t ON t.child = c.id LEFT JOIN kids k ON k.parent = c.id WHERE w.role = 'thread'),
+s AS (SELECT id AS head, kind, row_number() OVER (ORDER BY level, path) - 1 AS section FROM w WHERE role = 'thread' AND place = 0),
+t AS (SELECT w.id, s.section, w.place, s.kind FROM w JOIN s USING (head) WHERE w.role = 'thread'),
+n AS (SELECT w.id, CASE WHEN w.role = 'thread' THEN 'stub' ELSE 'footnote' END AS role, t.section, t.place + 1 AS place, t.kind FROM w JOIN b ON b.id = w.id JOIN t ON t.id = b.parent WHERE w.role = 'footnote' OR (w.place = 0 AND b.parent IS NOT NULL))
+SELECT id, 'thread' AS role, section, place, CAST(-1 AS BIGINT) AS number, kind FROM t UNION ALL SELECT id, role, section, place, row_number() OVER (ORDER BY section, place, id), kind FROM n""")
+def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections, steps, footnotes and stubs in the order of a document."""
+    nodes, board = _tree(spark, sf_dir)
+    nodes = nodes.select("id", "parent_id", F.when(F.col("parent_id").isNull(), "root").alias("top"))
+    return outline.outline(nodes, board).select("id", "role", "section", "place", F.coalesce("number", F.lit(-1)).cast("long").alias("number"), "kind")
+
+
 # ---- items and their events
 
 _ITEMS = """i AS (SELECT event_id AS ord, ts, user_id, event_type, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id AS VARCHAR) END AS id, CASE WHEN event_id % 5 = 0 THEN 'bluesky:fetched' WHEN event_id % 7 = 0 THEN 'events' ELSE 'events:' || event_type END AS source,
