@@ -60,6 +60,64 @@ def loops(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> Data
     return state.join(state.select(F.col("up").alias("node")).distinct(), "node", "left_semi").select("node", "first")
 
 
+def _held_up(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """node of those above which some cycle lies; links (node, parent) of any number of parents.
+
+    A node without links is free, and so is one whose parents all are. Runs of nodes with
+    one parent each are jumped over by doubling, and a node's parents that stand for the
+    same node above become one; so a ladder, where parents lead to the same place again,
+    shrinks as fast as a chain. Rounds end when no link goes any more.
+    """
+    edges = checkpointed(links.select("node", "parent").distinct())
+    before = None
+    while True:
+        edges = checkpointed(edges.join(edges.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent"))
+        n = edges.agg(F.count("*"), F.count(F.when(F.col("node") == F.col("parent"), 1)), F.sum(F.xxhash64("node", "parent").cast("decimal(38,0)"))).first()
+        if not n[0] or n == before:
+            return edges.select("node").distinct()
+        before = n
+        # a node that leads to itself stays as it is
+        single = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("parent").alias("up")).where("n = 1 and up != node").select("node", "up")
+        state = single.join(single.select(F.col("node").alias("up"), F.lit(False).alias("end")), "up", "left").select("node", "up", F.coalesce("end", F.lit(True)).alias("end"))
+        state, total = checkpointed(state), edges.count()
+        for i in range(rounds):
+            if state.where("not end").isEmpty() or 2**i > 2 * total:
+                break
+            far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("end").alias("end2"))
+            # one join of all rows, as a union of what is done and what isn't would double the tasks in each round
+            state = checkpointed(state.join(far, "up", "left").select("node", F.when(F.col("end"), F.col("up")).otherwise(F.col("up2")).alias("up"), (F.col("end") | F.col("end2")).alias("end")))
+        # those that never end are on a cycle of such nodes, or above one
+        stands = state.select(F.col("node").alias("parent"), F.when(F.col("end"), F.col("up")).otherwise(F.col("node")).alias("as"))
+        moved = edges.join(stands, "parent", "left").select("node", F.coalesce("as", "parent").alias("parent"))
+        stuck = state.where("not end").select("node", F.col("node").alias("parent"))
+        edges = moved.join(stuck.select("node"), "node", "left_anti").unionByName(stuck).distinct()
+
+
+def cyclic(links: DataFrame) -> DataFrame:
+    """node, first of every node on a cycle of links (node, parent; any number of parents); first is the least of the nodes that it shares cycles with.
+
+    Nodes without a cycle above or below them go first. Where those left have one parent
+    each they are cycles, and jumps find them; only else the pairs of nodes that reach
+    each other are built, of these few.
+    """
+    links = checkpointed(links.select("node", "parent").where("node is not null and parent is not null").distinct())
+    up = checkpointed(_held_up(links))
+    if up.isEmpty():
+        return up.select("node", F.col("node").alias("first"))
+    some = links.join(up, "node", "left_semi").join(up.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
+    both = checkpointed(_held_up(some.select(F.col("parent").alias("node"), F.col("node").alias("parent"))))
+    core = checkpointed(some.join(both, "node", "left_semi").join(both.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
+    if core.groupBy("node").count().where("count > 1").isEmpty():
+        return loops(core.select(F.col("node").alias("id"), F.col("parent").alias("parent_id")))
+    reach, size = core, -1
+    while size != (now := reach.count()):
+        size = now
+        far = reach.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        reach = checkpointed(reach.unionByName(reach.join(far, "parent").select("node", F.col("above").alias("parent"))).distinct())
+    mutual = reach.join(reach.select(F.col("node").alias("parent"), F.col("parent").alias("node")), ["node", "parent"])
+    return mutual.groupBy("node").agg(F.min("parent").alias("first"))
+
+
 def heights(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
     """node, below: how far its deepest descendant lies. A row for each node in every round; rounds grow with the logarithm of the depth."""
     total = nodes.count()
@@ -87,8 +145,7 @@ def nearest(nodes: DataFrame, kept: Column, parent: str = "parent_id", rounds: i
         if state.where("not done").isEmpty():
             return state.select("node", F.col("at").alias("ancestor"))
         far = state.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("done").alias("done2"))
-        step = state.where("not done").join(far, "at").select("node", F.col("at2").alias("at"), F.col("done2").alias("done"))
-        state = checkpointed(state.where("done").unionByName(step))
+        state = checkpointed(state.join(far, "at", "left").select("node", F.when(F.col("done"), F.col("at")).otherwise(F.col("at2")).alias("at"), (F.col("done") | F.col("done2")).alias("done")))
     raise CycleError("parent links form a cycle")
 
 

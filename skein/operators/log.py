@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import times
+from skein.operators.closure import cyclic
 from skein.operators.tables import checkpointed
 
 ENVELOPE = "struct<v:int,id:string,kind:string,at:string,parents:array<string>,critical:boolean,marked:string>"
@@ -67,6 +68,23 @@ def dangling(events: DataFrame) -> DataFrame:
     return events.select("id", F.explode("parents").alias("missing")).join(events.select(F.col("id").alias("missing")), "missing", "left_anti").select("id", "missing")
 
 
+def cycles(events: DataFrame) -> DataFrame:
+    """id, subject of the events whose ancestry leads back to them; subject is the least id on their cycles."""
+    links = events.select(F.col("id").alias("node"), F.explode(F.array_distinct("parents")).alias("parent"))
+    return cyclic(links.join(events.select(F.col("id").alias("parent")), "parent", "left_semi")).select(F.col("node").alias("id"), F.col("first").alias("subject"))
+
+
+def obstacles(events: DataFrame, conflicted: DataFrame) -> DataFrame:
+    """what, subject, id: what ancestry stumbles over: missing and unavailable (by conflict) parents once each, and cycle with a row for each event on one.
+
+    events: eligible ones; conflicted: id of those whose lines differ.
+    """
+    lost = dangling(events).select(F.col("missing").alias("subject")).distinct()
+    known = conflicted.select(F.col("id").alias("subject"), F.lit(True).alias("__c")).distinct()
+    lost = lost.join(known, "subject", "left").select(F.when(F.col("__c"), "unavailable").otherwise("missing").alias("what"), "subject", F.col("subject").alias("id"))
+    return lost.unionByName(cycles(events).select(F.lit("cycle").alias("what"), "subject", "id"))
+
+
 def tombstones(events: DataFrame) -> DataFrame:
     """target, by: the critical events that name it, in order of their ids."""
     return events.where("critical").select(F.explode("parents").alias("target"), "id").groupBy("target").agg(F.array_sort(F.collect_set("id")).alias("by"))
@@ -100,7 +118,7 @@ def verified(rows: DataFrame) -> DataFrame:
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """what, subject, n: lines of each class, conflicting ids with their variants, parents that are missing or unavailable for a conflict with the references to them, withheld ids. rows: classified lines."""
+    """what, subject, n: lines of each class, conflicting ids with their variants, parents that are missing or unavailable for a conflict with the references to them, cycles (by their least id) with their events, withheld ids. rows: classified lines."""
     events = eligible(rows)
     conflicts = rows.where("class = 'conflict-variant'").groupBy(F.col("id").alias("subject")).agg(F.countDistinct("body_digest").alias("n"))
     references = events.select(F.explode(F.array_distinct("parents")).alias("subject")).groupBy("subject").agg(F.count("*").alias("n"))
@@ -110,6 +128,7 @@ def diagnostics(rows: DataFrame) -> DataFrame:
         "conflict": conflicts,
         "missing": lost.join(conflicts, "subject", "left_anti"),
         "unavailable": lost.join(conflicts, "subject", "left_semi"),
+        "cycle": cycles(events).groupBy("subject").agg(F.count("*").alias("n")),
         "withheld": events.where("suppressed").select(F.col("id").alias("subject"), F.lit(1).cast("long").alias("n")),
     }
     labelled = [df.select(F.lit(what).alias("what"), "subject", "n") for what, df in parts.items()]
