@@ -13,17 +13,20 @@
 4. A first round confirms, of each class, the FIRST candidates whose signatures agree
    best, and merges what is linked. In the second a class takes in each order its best
    candidate in each other component, MOST components on either side.
+5. Where the window doesn't cover a region, its classes get further forests, of TREES
+   fresh orders each, until one finds no link that wasn't known. So the number of orders
+   adapts to the crowd: a group of copies ends after one, a crowd of look-alikes that
+   hides pairs takes as many as still find some.
 
-Both rounds move rows by ranges of the sorted order, so a crowded region is spread over
-tasks, and nothing grows faster than the number of classes: 2 * TREES * MOST candidates
-each at most. Components come from links confirmed on the whole sets only.
+WINDOW, FIRST and MOST bound the work of a round. Regions that the window covers are
+dealt by region, others by ranges of the sorted order, so a crowded one is spread over
+tasks. Components come from links confirmed on the whole sets only.
 
 A linked pair is left unconfirmed if it shares no region (at a similarity of 0.8 three
-times in a million), if its signatures agree in less than 0.8 - SLACK of their values
-(over five standard deviations off), or if it lies in crowded regions, more than WINDOW classes apart
-in every order or behind MOST better components on both sides; then it matters only if
-no chain of other links joins its ends. Where two ranges meet, neighbours in one order
-of TREES are not compared.
+times in a million), if its signatures agree in less than threshold - SLACK of their
+values (over five standard deviations off), or if it lies in crowded regions and every
+forest, the last one too, keeps its ends more than WINDOW classes apart or behind MOST
+better components; then it matters only if no chain of other links joins its ends.
 """
 
 from __future__ import annotations
@@ -127,7 +130,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = ((cell["tree"].to_numpy() + 1)[:, None] * DEPTH + np.arange(DEEPER)) % HASHES
         deep = np.take_along_axis(small, places, 1)
         made = [pa.array([x.tobytes() for x in deep], pa.binary()), pa.array([x.tobytes() for x in small], pa.binary())]
-        yield pa.RecordBatch.from_arrays([cell["region"], cell["node"], cell["n"], *made], names=["region", "node", "n", "deep", "sig"])
+        yield pa.RecordBatch.from_arrays([cell["region"], cell["node"], cell["n"], cell["crowded"], *made], names=["region", "node", "n", "crowded", "deep", "sig"])
 
 
 def _near(least: float, same: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -251,6 +254,19 @@ def _sets(shingle: int):
     return run
 
 
+def _again(round_: int):
+    """(node, n, sig) of sets under the hash functions of a further round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            # other 64-bit hashes of the same shingles make other least values
+            signatures = [signature(_mixed((s + np.uint64(round_)) * _A)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary())], names=["node", "n", "sig"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -280,20 +296,27 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     # written, so that the numbers stay
     classes = tables.write(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    trees = classes.select("node", "sig").mapInArrow(_trees, "region long, node long, tree int")
-    shared = trees.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-    placed = trees.join(shared, "region").join(classes.select("node", "n", "sig"), "node")
-    placed = tables.write(placed.mapInArrow(_placed, "region long, node long, n long, deep binary, sig binary"))
+    def forest(rows: DataFrame) -> DataFrame:
+        """The regions of classes (node, n, sig) that they share with others."""
+        trees = rows.select("node", "sig").mapInArrow(_trees, "region long, node long, tree int")
+        shared = trees.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+        placed = trees.join(shared, "region").join(rows.select("node", "n", "sig"), "node").withColumn("crowded", F.col("size") > WINDOW + 1)
+        return tables.write(placed.mapInArrow(_placed, "region long, node long, n long, crowded boolean, deep binary, sig binary"))
+
+    placed = forest(classes)
 
     def candidates(rows: DataFrame, most: int) -> DataFrame:
         order = ("region", "deep", "node")
-        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        return dealt.select("region", "node", "root", "n", "deep", "sig").mapInArrow(_candidates(threshold, most), "a long, b long, agree long")
+        # a region that the window covers stays whole, a crowded one is spread
+        dealt = [rows.where("not crowded").repartition("region").sortWithinPartitions(*order), rows.where("crowded").repartitionByRange(*order).sortWithinPartitions(*order)]
+        found = [d.select("region", "node", "root", "n", "deep", "sig").mapInArrow(_candidates(threshold, most), "a long, b long, agree long") for d in dealt]
+        return found[0].unionByName(found[1])
 
     found = tables.write(candidates(placed.withColumn("root", F.col("node")), 1).repartition("a").groupBy("a", "b").agg(F.max("agree").alias("agree")))
 
     # the sets of all classes that have a candidate, from the text of one row of each
-    wanted = found.select(F.col("a").alias("node")).distinct().join(classes.select("node", "one.did", "one.th"), "node")
+    crowd = tables.write(placed.where("crowded").select("node").distinct())
+    wanted = found.select(F.col("a").alias("node")).unionByName(crowd).distinct().join(classes.select("node", "one.did", "one.th"), "node")
     there = docs.select(*told[1:]).join(wanted, ["did", "th"]).dropDuplicates(["did", "th", "node"]).select("node", "text")
     sets = tables.write(there.mapInArrow(_sets(shingle), "node long, set binary"))
 
@@ -301,15 +324,36 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     first = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = tables.write(components(_linked(first, sets, threshold), tables))
 
-    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crossing = tables.write(_linked(candidates(rooted, MOST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, threshold))
-    if not crossing.isEmpty():
+    def merged(roots: DataFrame, crossing: DataFrame) -> DataFrame:
+        """roots with what the links between components make one."""
+        if crossing.isEmpty():
+            return roots
         for end in ("a", "b"):
             crossing = crossing.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-        merged = tables.write(components(crossing.select(F.col("ra").alias("a"), F.col("rb").alias("b")), tables))
-        renamed = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        # roots of one class only are in merged, not in roots
-        roots = tables.write(renamed.unionByName(merged.join(roots.select("node"), "node", "left_anti")))
+        more = tables.write(components(crossing.select(F.col("ra").alias("a"), F.col("rb").alias("b")), tables))
+        renamed = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        # roots of one class only are in more, not in roots
+        return tables.write(renamed.unionByName(more.join(roots.select("node"), "node", "left_anti")))
+
+    def crossing(placed: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between components that a forest finds."""
+        rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = candidates(rooted, MOST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return tables.write(_linked(pairs, sets, threshold))
+
+    links = crossing(placed, roots)
+    roots = merged(roots, links)
+    tables.drop(placed)
+    crowded = tables.write(sets.join(crowd, "node").select("node", "set"))
+    round_ = 0
+    while not crowded.isEmpty() and (round_ == 0 or not links.isEmpty()):
+        round_ += 1
+        again = tables.write(crowded.mapInArrow(_again(round_), "node long, n long, sig binary"))
+        placed = forest(again)
+        links = crossing(placed.where("crowded"), roots)
+        roots = merged(roots, links)
+        tables.drop(placed)
+        tables.drop(again)
 
     lowest = roots.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
     lows = classes.select("node", "k1", "k2", "low").join(roots.join(lowest, "root"), "node", "left")
