@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]"
 
 
+#: A few ranges that hold all of SPACE but blank, tab and line feed, and little else: what has none of them takes a faster way.
+RARE = r"[\x0B\f\r\x{00A0}\x{1680}-\x{3000}\x{FEFF}]"
+
+
 def trim(text: Column) -> Column:
     # an end's run of white space is tried once, from its first place
-    return F.regexp_replace(text, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    any_space = F.regexp_replace(text, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    return F.when(text.rlike(RARE), any_space).otherwise(F.btrim(text, F.lit(" \t\n")))
 
 
 def is_retweet(text: Column) -> Column:
@@ -40,8 +45,10 @@ def clean(text: Column, urls: Column | None = None) -> Column:
     text = F.regexp_replace(text, "\r\n?", "\n")
     for gone in (r"https://t\.co/[A-Za-z0-9_]+", r"@[A-Za-z0-9_.-]+", "#[A-Za-z0-9_]+"):
         text = F.regexp_replace(text, gone, "")
-    lines = F.transform(F.split(text, "\n"), lambda x: trim(F.regexp_replace(x, "[ \t]+", " ")))
-    return trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
+    text = F.regexp_replace(text, "[ \t]+", " ")
+    lines = F.array_join(F.transform(F.split(text, "\n"), trim), "\n")
+    text = F.when(text.rlike(RARE), lines).otherwise(F.regexp_replace(text, " ?\n ?", "\n"))
+    return trim(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
 def file_stem(text: Column, most: int = 50) -> Column:
@@ -93,7 +100,13 @@ def audit_value(value: Column, most: int = 200) -> Column:
 
 
 def isolate_links(text: Column) -> Column:
-    """Links to posts stand in paragraphs of their own."""
-    link = r"https?://(?:www\.)?(?:twitter|x)\.com/[A-Za-z0-9_]+/status/[0-9]+\S*"
-    spaced = F.regexp_replace(text, f"[ \t]*({link})[ \t]*", "\n\n$1\n\n")
-    return trim(F.regexp_replace(spaced, "\n{3,}", "\n\n"))
+    """Links to posts stand in paragraphs of their own; other blanks, also those at the ends, stay. A link ends before a bracket or white space; null stays null."""
+    gap = SPACE[:-1] + r"&&[^\n]]"
+    link = r"https?://(?:www\.)?(?:twitter|x)\.com/[A-Za-z0-9_]+/status/[0-9]+(?:\?[^)" + SPACE[1:] + "*+)?"
+    text = F.regexp_replace(text, f"({link})", "\n$1\n")
+    # now a link fills its line, or what follows it begins the next one
+    text = F.regexp_replace(text, f"(?md)^{gap}*+({link}){gap}*+$", "$1")
+    # a line that says something, then a link; a link, then such a line
+    text = F.regexp_replace(text, f"({SPACE.replace('[', '[^', 1)}{gap}*+\n)(?={link}(?:\n|\\z))", "$1\n")
+    text = F.regexp_replace(text, f"(?md)(^{link}\n)(?={gap}*+[^\n{SPACE[1:]})", "$1\n")
+    return F.regexp_replace(text, "\n{3,}", "\n\n")

@@ -295,11 +295,11 @@ def role_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", messages.role_matches("USER").alias("named"), messages.role_matches("ASSIST|bot-1", ("display", "handle", "author"), pattern=True).alias("matched"))
 
 
-@query("SELECT conv_id || ':' || turn AS chain_id, n FROM (SELECT *, bool_and(role = 'assistant') OVER w AS mine, count(*) OVER w AS n FROM conversations WHERE turn % 3 <> 0 WINDOW w AS (PARTITION BY conv_id, turn // 3 ORDER BY turn)) WHERE mine")
+@query("SELECT conv_id || ':' || turn AS chain_id, n FROM (SELECT *, bool_and(role = 'assistant') OVER w AS mine, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id, turn // 3 ORDER BY turn)) WHERE mine")
 def only_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chains that are all of their owner, and nothing else."""
-    # every third turn is missing, so that chains start in between
-    return chains.only_threads(chains.chains(items_conv(spark, sf_dir).where("turn % 3 != 0"))).groupBy("chain_id").agg(F.count("*").alias("n"))
+    """chains that are all of their owner, and nothing else; every third turn answers nothing, so that chains start in between."""
+    items = items_conv(spark, sf_dir).withColumn("parent_id", F.when(F.col("turn") % 3 != 0, F.col("parent_id")))
+    return chains.only_threads(chains.chains(items)).groupBy("chain_id").agg(F.count("*").alias("n"))
 
 
 # ---- times, texts and scores
@@ -323,11 +323,21 @@ def audit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.audit_value(F.col("text")).alias("value"))
 
 
-@query("SELECT event_id, 'see' || chr(10) || chr(10) || 'https://x.com/u' || user_id || '/status/' || event_id || chr(10) || chr(10) || 'there' AS text FROM events")
+_LINK = "'https://x.com/u' || user_id || '/status/' || event_id"
+_NL = "chr(10) || chr(10)"
+
+
+@query(f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'see' || ' ' || {_NL} || {_LINK} || {_NL} || '  there' || chr(10) WHEN 1 THEN chr(10) || {_LINK} || {_NL} || ' first' WHEN 2 THEN ' last ' || {_NL} || {_LINK} || chr(10)
+WHEN 3 THEN chr(10) || {_LINK} || '?s=20' || chr(10) || ' ' || chr(10) || {_LINK} || chr(10) WHEN 4 THEN '(see ' || {_NL} || {_LINK} || '?a=b' || {_NL} || '). more  ' WHEN 5 THEN 'a' || {_NL} || {_LINK} || {_NL} || 'b' ELSE ' no link https://x.com/u' || user_id || '  ' END AS text FROM events""")
 def quoted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a link to a post gets a paragraph of its own."""
+    """a link to a post gets a paragraph of its own: inside a line, at its ends, beside another link, in brackets, on a line already."""
     e = table(spark, sf_dir, "events")
-    said = F.concat(F.lit("see https://x.com/u"), F.col("user_id").cast("string"), F.lit("/status/"), F.col("event_id").cast("string"), F.lit("  there\n"))
+    link = F.concat(F.lit("https://x.com/u"), F.col("user_id").cast("string"), F.lit("/status/"), F.col("event_id").cast("string"))
+    forms = [("see ", "  there\n"), ("", " first"), (" last ", ""), None, ("(see ", "?a=b). more  "), ("a\n\n", "\n\n\n\nb")]
+    said: Column = F.concat(F.lit(" no link https://x.com/u"), F.col("user_id").cast("string"), F.lit("  "))
+    for i, form in enumerate(forms):
+        made = F.concat(link, F.lit("?s=20 "), link) if form is None else F.concat(F.lit(form[0]), link, F.lit(form[1]))
+        said = F.when(F.col("event_id") % 7 == i, made).otherwise(said)
     return e.select("event_id", text.isolate_links(said).alias("text"))
 
 
@@ -456,7 +466,7 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.file_report(sessions.claude_events(_session_lines(spark, sf_dir)))
 
 
-_CALLS = f"""c AS (SELECT event_id, 'f' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_type, event_id % 7 AS call, ts FROM events WHERE event_id % 13 <> 5),
+_CALLS = f"""c AS (SELECT event_id, 'f' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_type, event_id % 7 AS call, ts FROM events),
 x AS (SELECT *, {_HASH("'codex'", "'record'", "file", "line")} AS h FROM c), y AS (SELECT *, {_U("h")} AS id FROM x),
 p AS (SELECT file, line, 0 AS sub, id, event_type, call FROM y UNION ALL SELECT file, line, 1, {_U(_HASH("'codex'", "'lineage'", "file", "line", "'forked_from_id'"))}, 'pointer', -1 FROM y WHERE event_type = 'error'),
 q AS (SELECT *, lag(id) OVER (PARTITION BY file ORDER BY line, sub) AS before, CASE WHEN event_type = 'purchase' THEN last_value(CASE WHEN event_type = 'click' THEN id END IGNORE NULLS) OVER (PARTITION BY file, call ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS called FROM p)"""
@@ -466,7 +476,7 @@ q AS (SELECT *, lag(id) OVER (PARTITION BY file ORDER BY line, sub) AS before, C
   concat_ws(',', before, CASE WHEN called <> before OR before IS NULL THEN called END) AS parents FROM q""")
 def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with lineage and call pairing; those without a payload are their own."""
-    e, kind = table(spark, sf_dir, "events").where("event_id % 13 != 5"), F.col("event_type")
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
     line = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     call = F.concat(F.lit('","call_id":"c'), (F.col("event_id") % 7).cast("string"), F.lit('"'))
     text = F.when(kind == "error", '{"type":"session_meta","payload":{"id":"x","forked_from_id":"y"}}').when(kind == "click", F.concat(F.lit('{"type":"response_item","payload":{"type":"function_call'), call, F.lit("}}"))).when(kind == "purchase", F.concat(F.lit('{"type":"function_call_output'), call, F.lit("}"))).otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('"}')))

@@ -199,3 +199,42 @@ def test_large_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("".join(f"line {i}\r\n\n" for i in range(500)))
     rows = read_large_lines(spark, str(tmp_path)).orderBy("file", "place").collect()
     assert [r.text for r in rows] == [f"line {i}" for i in range(500)]
+
+
+def test_isolated_links_line_by_line(spark):
+    """Against the rule told line by line, over many arrangements."""
+    import random
+    import re
+
+    from skein.functions.text import isolate_links
+
+    found = re.compile(r"(https?://(?:www\.)?(?:twitter|x)\.com/[A-Za-z0-9_]+/status/[0-9]+(?:\?[^)\s]*)?)")
+
+    def plain(text):
+        lines, out = found.sub(r"\n\1\n", text).split("\n"), []
+        for i, line in enumerate(lines):
+            if not found.fullmatch(line.strip()):
+                out.append(line)
+                continue
+            if out and out[-1].strip():
+                out.append("")
+            out.append(line.strip())
+            if i + 1 < len(lines) and lines[i + 1].strip():
+                out.append("")
+        return re.sub("\n{3,}", "\n\n", "\n".join(out))
+
+    dealt = random.Random(3)
+    parts = ["https://x.com/a/status/1", "http://www.twitter.com/b_c/status/22?s=1&t=(x", "\n", "\n\n", " ", "\t", "word", ")", "(", ".", "12", "https://x.com/a", " ", "?q"]
+    texts = ["".join(dealt.choice(parts) for _ in range(dealt.randrange(9))) for _ in range(3000)] + ["(see https://x.com/a/status/1). more"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", isolate_links(F.col("t")).alias("t")).collect()
+    bad = [(texts[r.i], r.t, plain(texts[r.i])) for r in rows if r.t != plain(texts[r.i])]
+    assert not bad, bad[:3]
+
+
+def test_clean_with_rare_white_space(spark):
+    from skein.functions.text import clean, trim
+
+    rows = [" a \t b \n\n\n\n c　", " x  y \n  z ", "é\t\n \n\t\nü", "\x0b a \x0b\n b"]
+    out = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").orderBy("i").select(clean(F.col("t"))).collect()]
+    assert out == ["a b\n\nc", "x  y\nz", "é\n\nü", "a\nb"]
+    assert [r[0] for r in spark.createDataFrame([("\n é \t",), ("﻿ é",)], "t string").select(trim(F.col("t"))).collect()] == ["é", "é"]
