@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import ids, text, times
 from skein.operators import chains, closure, decisions, log, messages, pareto, search, sessions, training
-from skein.operators.tables import checkpointed
+from skein.operators.tables import checkpointed, shared_folder
 from skein.plans import logs, views
 from skein.plans.views import table
+from skein.sinks import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -440,10 +442,20 @@ def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn FROM conversations WHERE contains(text, 'tion the') ORDER BY conv_id, turn LIMIT 200")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X9 over postings."""
+    """X9 over positional postings, which the first search of a session writes and all read by bucket."""
     c = table(spark, sf_dir, "conversations")
-    key = ["conv_id", "turn"]
-    return search.by_postings(c, search.postings(c, key), "tion the", key, key, 200).select(*key)
+    folder = shared_folder(spark)
+    if (folder, sf_dir) not in _POSTINGS:
+        path = f"{folder}/postings-{uuid.uuid4().hex}"
+        index.write_postings(c.select(F.col("conv_id").alias("fid"), F.col("turn").cast("long").alias("n"), "text"), path)
+        _POSTINGS[folder, sf_dir] = path
+    hits = index.phrase_hits(spark.read.schema(index.POSTING).parquet(_POSTINGS[folder, sf_dir]), "tion the")
+    rows = c.join(hits, (c["conv_id"] == hits["fid"]) & (c["turn"] == hits["n"]), "left_semi")
+    return search.literal(rows, "tion the", ["conv_id", "turn"], 200).select("conv_id", "turn")
+
+
+#: Postings that this session has written, by checkpoint folder and tables.
+_POSTINGS: dict[tuple[str, str], str] = {}
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")

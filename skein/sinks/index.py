@@ -137,7 +137,7 @@ class SearchIndex:
             name = fresh.select("file", "fid")
             said = segments(found).join(name, "file").withColumn("n", F.xxhash64("source", "line", "event_id", "segment"))
             said.select(*[f.split()[0] for f in ROW.split(", ")]).write.parquet(f"{stage}/rows")
-            _postings(self.spark.read.parquet(f"{stage}/rows")).write.partitionBy("bucket").parquet(f"{stage}/postings")
+            write_postings(self.spark.read.parquet(f"{stage}/rows"), f"{stage}/postings")
             rows.select("id", "body_digest", "file").join(name, "file").select("id", "body_digest", "fid").distinct().write.parquet(f"{stage}/ids")
             ids = self.spark.read.schema(IDS).parquet(f"{stage}/ids")
             if before and not whole:
@@ -170,16 +170,8 @@ class SearchIndex:
     # -- searching --
 
     def candidates(self, query: str, manifest: dict) -> DataFrame:
-        """fid, n of rows that hold the query: its trigrams stand in them one behind the other. Read are the folders of the trigrams' buckets, and of these the row groups of the trigrams."""
-        grams = [query[i : i + 3] for i in range(len(query) - 2)]
-        wanted = self.spark.createDataFrame([(g, i) for i, g in enumerate(grams)], "trigram string, offset int")
-        buckets = sorted({r[0] for r in wanted.select(_bucket()).collect()})
-        posts = self._pieces(manifest, "postings", POSTING).where(F.col("bucket").isin(buckets) & F.col("trigram").isin(sorted(set(grams))))
-        # as many rows as the query has trigrams
-        starts = posts.join(F.broadcast(wanted), "trigram").select("fid", "n", "offset", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("offset"))
-        live = self._files(manifest).select("fid")
-        hits = starts.groupBy("fid", "n", "start").agg(F.countDistinct("offset").alias("k")).where(F.col("k") == len(grams))
-        return hits.select("fid", "n").distinct().join(live, "fid", "left_semi")
+        """fid, n of rows that hold the query, of files that are still there."""
+        return phrase_hits(self._pieces(manifest, "postings", POSTING), query).join(self._files(manifest).select("fid"), "fid", "left_semi")
 
     def find(self, query: str, limit: int = search.DEFAULT) -> DataFrame:
         """Rows whose text holds the query, case-sensitive, by source, line, event and segment."""
@@ -198,14 +190,27 @@ def _below(folder: str) -> Column:
     return F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), f"^.*?{re.escape(root)}/+", "")
 
 
-def _bucket() -> Column:
+def bucket() -> Column:
     return F.pmod(F.xxhash64("trigram"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """Every trigram of every row with the places where it begins (from 1, in code points), clustered by bucket and trigram; a frequent trigram is spread over tasks by its rows."""
-    n = F.length("text")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.substr("text", i, F.lit(3)).alias("trigram"), i.cast("int").alias("at"))))
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Every trigram of every row (fid, n, text) with the places where it begins (from 1, in code points), in a folder for each bucket, sorted by trigram; a frequent trigram is spread over tasks by its rows."""
+    size = F.length("text")
+    grams = F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.struct(F.substr("text", i, F.lit(3)).alias("trigram"), i.cast("int").alias("at"))))
     each = rows.select("fid", "n", F.inline(grams)).groupBy("fid", "n", "trigram").agg(F.array_sort(F.collect_list("at")).alias("positions"))
     order = ("bucket", "trigram", "fid", "n")
-    return each.withColumn("bucket", _bucket()).repartitionByRange(*order).sortWithinPartitions(*order)
+    each = each.withColumn("bucket", bucket()).repartitionByRange(*order).sortWithinPartitions(*order)
+    each.write.partitionBy("bucket").parquet(path)
+
+
+def phrase_hits(postings: DataFrame, query: str) -> DataFrame:
+    """fid, n of rows that hold the query: its trigrams begin in them one behind the other. Read are the folders of the trigrams' buckets, and of these the row groups of the trigrams."""
+    grams = [query[i : i + 3] for i in range(len(query) - 2)]
+    wanted = postings.sparkSession.createDataFrame([(g, i) for i, g in enumerate(grams)], "trigram string, offset int")
+    buckets = sorted({r[0] for r in wanted.select(bucket()).collect()})
+    posts = postings.where(F.col("bucket").isin(buckets) & F.col("trigram").isin(sorted(set(grams))))
+    # as many rows as the query has trigrams
+    starts = posts.join(F.broadcast(wanted), "trigram").select("fid", "n", "offset", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("offset"))
+    hits = starts.groupBy("fid", "n", "start").agg(F.countDistinct("offset").alias("k")).where(F.col("k") == len(grams))
+    return hits.select("fid", "n").distinct()
