@@ -14,7 +14,8 @@
    best, and merges what is linked. In the second a class takes in each order its best
    candidate in each other component, MOST components on either side.
 5. Where the window doesn't cover a region, its classes get further forests, of TREES
-   fresh orders each, until one finds no link that wasn't known. So the number of orders
+   fresh orders each, with the one best candidate on either side in each order, until
+   one finds no link that wasn't known; no pair is compared twice. So the number of orders
    adapts to the crowd: a group of copies ends after one, a crowd of look-alikes that
    hides pairs takes as many as still find some.
 
@@ -335,13 +336,18 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         # roots of one class only are in more, not in roots
         return tables.write(renamed.unionByName(more.join(roots.select("node"), "node", "left_anti")))
 
-    def crossing(placed: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links between components that a forest finds."""
+    tried: list[DataFrame] = []
+
+    def crossing(placed: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+        """Links between components that a forest finds; pairs that were compared before aren't again."""
         rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = candidates(rooted, MOST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return tables.write(_linked(pairs, sets, threshold))
+        pairs = candidates(rooted, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tried.append(tables.write(pairs))
+        return tables.write(_linked(tried[-1], sets, threshold))
 
-    links = crossing(placed, roots)
+    links = crossing(placed, roots, MOST)
     roots = merged(roots, links)
     tables.drop(placed)
     crowded = tables.write(sets.join(crowd, "node").select("node", "set"))
@@ -350,7 +356,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         round_ += 1
         again = tables.write(crowded.mapInArrow(_again(round_), "node long, n long, sig binary"))
         placed = forest(again)
-        links = crossing(placed.where("crowded"), roots)
+        links = crossing(placed.where("crowded"), roots, 1)
         roots = merged(roots, links)
         tables.drop(placed)
         tables.drop(again)
