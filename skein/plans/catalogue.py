@@ -14,6 +14,7 @@ from skein.operators.tables import checkpointed, shared_folder
 from skein.plans import logs, views
 from skein.plans.views import table
 from skein.sinks import index
+from skein.sinks import training as training_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -377,6 +378,14 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("target", F.round("weight", 6).alias("weight"), F.col("text").alias("completion"), F.size("segments").cast("long").alias("segments"))
 
 
+@query(SQL["sft_rows"])
+def log_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from the lines of a log, through classes, board, gates and contexts."""
+    data = training_files.TrainingData(log.classified(views.training_lines(spark, sf_dir)), "log/annotation")
+    s = data.sft().where("skip is null")
+    return s.select(F.col("target").cast("long").alias("target"), F.round("weight", 6).alias("weight"), F.col("completion.text").alias("completion"), F.size("prompt").cast("long").alias("segments"))
+
+
 @query(f"WITH {_LOG}, s AS (SELECT {_SFT} AS skip FROM board b LEFT JOIN art a ON a.id = b.target LEFT JOIN ctx c ON c.id = b.target WHERE b.score_count > 0 OR b.selected_count > 0) SELECT coalesce(skip, 'row') AS outcome, count(*) AS n FROM s GROUP BY 1")
 def sft_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L6, L10."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sinks.files import event_lines
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,6 +90,23 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("event_id").alias("id"), F.array("target").alias("chosen"), "shown")
 
 
+def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artifacts with their scores, selections, tombstones and no-train marks as lines of a log."""
+    name = lambda c: F.col(c).cast("string")
+    none = F.array().cast("array<string>")
+    a = artifacts(spark, sf_dir)
+    rows = a.select(name("id").alias("id"), F.lit("log/artifact").alias("kind"), "actor", F.when(F.col("parent").isNull(), none).otherwise(F.array(name("parent"))).alias("parents"), F.to_json(F.struct("text")).alias("payload"), F.lit(False).alias("critical"))
+    v = latest_views(spark, sf_dir).where("target is not null")
+    kind = F.col("event_type")
+    label = F.when(kind == "click", "score").when(kind == "purchase", "selection").when((kind == "error") & (F.col("event_id") % 20 == 1), "no-train")
+    ids = F.transform("shown", lambda x: x.cast("string"))
+    said = F.to_json(F.struct(label.alias("label"), F.when(kind == "click", F.col("value")).alias("value"), F.when(kind == "purchase", F.array(name("target"))).alias("chosen"), F.when(kind == "purchase", ids).alias("shown")))
+    gone = (kind == "error") & (F.col("event_id") % 20 == 0)
+    notes = v.where(label.isNotNull() | gone).select(name("event_id").alias("id"), F.when(gone, "log/tombstone").otherwise("log/annotation").alias("kind"), name("user_id").alias("actor"), F.array(name("target")).alias("parents"), F.when(gone, "{}").otherwise(said).alias("payload"), gone.alias("critical"))
+    lines = event_lines(rows.unionByName(notes).withColumn("at", F.lit("2024-01-01T00:00:00Z")))
+    return lines.select(F.lit("log").alias("file"), F.col("id").cast("long").alias("line"), F.col("value").alias("text"))
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_rows(spark, sf_dir)
     return e.select(F.col("user_id").alias("candidate"), F.col("k").alias("key"), F.col("value").alias("score"), (F.col("event_type") != "error").alias("accepted"), F.col("event_id").alias("ord"))
