@@ -78,7 +78,7 @@ def claude_events(lines: DataFrame, fallback: str = "1970-01-01T00:00:00Z") -> D
 
 
 def codex_events(lines: DataFrame, fallback: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """file, line, sub, skip, id, kind, at, parents: an event for each record, and one more for each session that a session's head names.
+    """file, line, sub, skip, id, kind, at, parents, body (JSON; null for the extra ones): an event for each record, and one more for each session that a session's head names.
 
     A record's kind goes by its payload's type; one without a payload is its own. Its
     parents are the event before it in the file, the extra ones among them, and for a
@@ -91,8 +91,8 @@ def codex_events(lines: DataFrame, fallback: str = "1970-01-01T00:00:00Z") -> Da
     at = times.normalised(_got("$.timestamp"), F.lit(fallback))["at"]
     head = F.col("outer") == "session_meta"
     named = F.filter(F.array(*(F.when(head & _got(f"$.{k}", "body").isNotNull(), F.lit(k)) for k in LINEAGE)), lambda k: k.isNotNull())
-    r = r.select("file", "line", "skip", kind.alias("kind"), at.alias("at"), _got("$.call_id", "body").alias("call_id"), F.coalesce(named, F.array().cast("array<string>")).alias("named"))
-    rows = r.where("skip is null").select("file", "line", "kind", "at", "call_id", F.posexplode(F.concat(F.array(F.lit("")), "named")).alias("sub", "key"))
+    r = r.select("file", "line", "skip", kind.alias("kind"), at.alias("at"), _got("$.call_id", "body").alias("call_id"), F.to_json("body").alias("body"), F.coalesce(named, F.array().cast("array<string>")).alias("named"))
+    rows = r.where("skip is null").select("file", "line", "kind", "at", "call_id", "body", F.posexplode(F.concat(F.array(F.lit("")), "named")).alias("sub", "key"))
     record = F.col("key") == ""
     rows = rows.withColumn("id", F.when(record, ids.event_id(F.lit("codex"), F.lit("record"), F.col("file"), F.col("line"))).otherwise(ids.event_id(F.lit("codex"), F.lit("lineage"), F.col("file"), F.col("line"), F.col("key"))))
     before = F.lag("id").over(Window.partitionBy("file").orderBy("line", "sub"))
@@ -100,7 +100,7 @@ def codex_events(lines: DataFrame, fallback: str = "1970-01-01T00:00:00Z") -> Da
     rows = rows.withColumn("previous", F.when(record, before).otherwise(head_id))
     rows = call_parents(rows, F.col("kind") == "codex/function_call", (F.col("kind") == "codex/function_call_output") & F.col("call_id").isNotNull())
     parents = F.array_distinct(F.filter(F.array("previous", "call"), lambda x: x.isNotNull()))
-    out = rows.select("file", "line", "sub", F.lit(None).cast("string").alias("skip"), "id", F.when(record, F.col("kind")).otherwise(POINTER).alias("kind"), "at", parents.alias("parents"))
+    out = rows.select("file", "line", "sub", F.lit(None).cast("string").alias("skip"), "id", F.when(record, F.col("kind")).otherwise(POINTER).alias("kind"), "at", parents.alias("parents"), F.when(record, F.col("body")).alias("body"))
     return out.unionByName(r.where("skip is not null").select("file", "line", F.lit(0).alias("sub"), "skip"), allowMissingColumns=True)
 
 

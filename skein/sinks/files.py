@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +31,12 @@ def write_items(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").json(path)
 
 
-def event_lines(events: DataFrame, digest: bool = False) -> DataFrame:
-    """value: an event's compact line, keys in the canonical order; events: id, kind, at, actor, parents, payload (JSON text), critical."""
+def event_lines(events: DataFrame, digest: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """id, the carried columns and value: an event's compact line, keys in the canonical order; events: id, kind, at, actor, parents, payload (JSON text), critical."""
     quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
     parents = F.concat(F.lit("["), F.array_join(F.transform("parents", lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ","), F.lit("]"))
     line = F.concat(F.lit('{"v":1,"id":'), quoted("id"), F.lit(',"kind":'), quoted("kind"), F.lit(',"at":'), quoted("at"), F.lit(',"author":{"actor":'), quoted("actor"), F.lit('},"parents":'), parents, F.lit(',"payload":'), F.col("payload"), F.when(F.col("critical"), ',"critical":true').otherwise(""), F.lit("}"))
-    return events.select("id", (ids.with_digest(line) if digest else line).alias("value"))
+    return events.select("id", *carried, (ids.with_digest(line) if digest else line).alias("value"))
 
 
 def markdown_posts(chained: DataFrame) -> DataFrame:

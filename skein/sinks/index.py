@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import time
 import uuid
 
@@ -14,7 +13,7 @@ from skein.operators import log, search
 from skein.operators.segments import extracted, segments
 from skein.operators.tables import checkpointed
 from skein.sinks.store import Store, digest
-from skein.sources.exports import file_digests
+from skein.sources.exports import below, file_digests
 from skein.sources.lines import numbered_lines
 
 #: What a manifest has to say, for this code to read its pieces.
@@ -126,7 +125,7 @@ class SearchIndex:
         files = kept
         if added:
             lines = numbered_lines(self.spark, folder, f"*{self.suffix}").where("text != ''")
-            lines = lines.withColumn("path", _below(folder)).join(fresh.select(F.col("file").alias("path"), "fid"), "path").select(F.col("path").alias("file"), "line", "text")
+            lines = lines.withColumn("path", below("file", folder)).join(fresh.select(F.col("file").alias("path"), "fid"), "path").select(F.col("path").alias("file"), "line", "text")
             rows = checkpointed(log.classified(lines))
             self._refuse(rows.where("class not in ('accepted', 'conflict-variant')"), lambda r: f"{r['file']}:{r['line']} is {r['class']}")
             found = checkpointed(extracted(rows.withColumn("class", F.lit("accepted"))))
@@ -184,12 +183,6 @@ class SearchIndex:
         return shown.where(F.contains("text", F.lit(query))).orderBy("source", "line", "event_id", "segment").limit(limit)
 
 
-def _below(folder: str) -> Column:
-    """A file's path without that of the folder; paths of files in rows are written like addresses."""
-    root = re.sub(r"^[a-z0-9]+:/*", "/", folder).rstrip("/")
-    return F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), f"^.*?{re.escape(root)}/+", "")
-
-
 def bucket() -> Column:
     return F.pmod(F.xxhash64("trigram"), F.lit(BUCKETS)).cast("int").alias("bucket")
 

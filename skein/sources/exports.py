@@ -160,6 +160,12 @@ def _below(root: str) -> Column:
     return F.regexp_replace("path", f"^.*?{re.escape(folder)}/+", "")
 
 
+def below(column: str, root: str) -> Column:
+    """A file's path below a folder; paths in rows of text files are written like addresses."""
+    folder = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
+    return F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), f"^.*?{re.escape(folder)}/+", "")
+
+
 def is_thread_url(url: Column, host: str) -> Column:
     """Whether a URL, or a bare path, names a thread, a section or a board of a host."""
     name, route = re.escape(host), "/(posts|board_sections|boards)/"
