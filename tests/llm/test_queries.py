@@ -66,3 +66,13 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert sorted(left, key=repr) == sorted(wanted, key=repr)
     unique = docs.where("doc_id in (1, 6) or text like 'b%'")
     assert sorted(p.near_dedup(spark, unique, SF).collect(), key=repr) == sorted(unique.collect(), key=repr)
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert p.packing(spark, docs, SF).count() == 0
