@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.closure import climbed, heights, nearest, paths, present_edges, roots
+from skein.operators.ranks import ranked
 
 #: Sources whose items may form threads of their owner; the source of items fetched for context.
 OWN, FETCHED = ("twitter:tweet", "bluesky:post"), "bluesky:fetched"
@@ -124,8 +125,9 @@ def only_threads(chained: DataFrame) -> DataFrame:
 def parents_first(nodes: DataFrame, order: str = "ord") -> DataFrame:
     """The nodes with place: parents come before their children, equals in the given order. Places are numbered within a depth."""
     depth = roots(nodes).select(F.col("node").alias("id"), "depth")
-    placed = nodes.join(depth, "id")
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(order, "id")).cast("long"))
+    placed = ranked(nodes.join(depth, "id"), ["depth", order, "id"], "__rank")
+    first = placed.groupBy("depth").agg(F.min("__rank").alias("__first"))
+    return placed.join(first, "depth").withColumn("place", (F.col("__rank") - F.col("__first") + 1).cast("long")).drop("__rank", "__first")
 
 
 def source_order(nodes: DataFrame, order: str = "ord") -> DataFrame:

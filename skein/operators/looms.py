@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.chains import source_order
+from skein.operators.chains import nearest_kept_ancestor, source_order, thread_components
+from skein.operators.closure import roots
+from skein.operators.ranks import ranked
 
 #: The profile of a conversation's snapshot; session events whose kind starts so are its turns.
 PROFILE, TURN_KINDS = "conversation", "claude/"
@@ -42,6 +44,46 @@ def other_kinds(events: DataFrame) -> DataFrame:
     return events.where(~is_turn(F.col("kind"))).groupBy("loom", "kind").agg(F.count("*").alias("n"))
 
 
+def export_turns(messages: DataFrame) -> DataFrame:
+    """turns() of a chat export without placeholders (sources.exports.read_claude_export): loom is the conversation's number and id, so that ids of messages may repeat between conversations; the author is the model, else the role. Rows with skip, and messages whose id is null, are no turns."""
+    good = messages.where("skip is null and id is not null")
+    loom = F.concat_ws(":", F.col("conv_ord").cast("string"), "conv")
+    named = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", loom, c))
+    rows = good.select(loom.alias("loom"), named("id").alias("id"), named("parent_id").alias("parent_id"), F.col("ord").cast("long").alias("ord"), "role", F.coalesce("model", "role", F.lit("unknown")).alias("author"), "text")
+    return turns(rows)
+
+
+def mapping_turns(nodes: DataFrame) -> DataFrame:
+    """turns() of a chat export whose nodes may be placeholders (sources.exports.read_chatgpt_export): a turn's parent is the nearest node above it that holds a message. Nodes stand in the order of the tree, siblings by id."""
+    good = nodes.where("skip is null and id is not null")
+    loom = F.concat_ws(":", F.col("conv_ord").cast("string"), "conv")
+    named = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", loom, c))
+    rows = good.select(loom.alias("loom"), named("id").alias("id"), named("parent_id").alias("parent_id"), "has_message", "role", F.coalesce("model", "role", F.lit("unknown")).alias("author"), "text")
+    above = nearest_kept_ancestor(rows, F.col("has_message")).select(F.col("node").alias("id"), F.col("ancestor").alias("__above"))
+    kept = rows.where("has_message").join(above, "id").withColumn("parent_id", F.col("__above")).drop("__above", "has_message")
+    depth = roots(kept.select("id", "parent_id")).select(F.col("node").alias("id"), F.col("depth").alias("ord"))
+    return turns(kept.join(depth, "id"))
+
+
+def thread_turns(posts: DataFrame, owner: str, author: str | None = None) -> DataFrame:
+    """turns() of posts (id, parent_id, created_at, handle, text): a loom for each thread (chains.thread_components), which is named by its earliest root. The owner's posts are the user's, by author or else the handle; a post without handle is the owner's."""
+    found = thread_components(posts.select("id", "parent_id", "created_at")).select("id", F.col("component").alias("loom"))
+    handle = F.coalesce("handle", F.lit(owner))
+    role = role_of(handle, F.lit(owner))
+    rows = posts.select("id", "parent_id", "created_at", "text", role.alias("role"), F.when(role == "user", F.lit(author or owner)).otherwise(handle).alias("author"))
+    placed = ranked(rows.join(found, "id"), ["created_at", "id"], "ord")
+    return turns(placed.drop("created_at"))
+
+
+def folded(events: DataFrame, loom_kind: str, turn_kind: str) -> DataFrame:
+    """turns() of a log's loom events: id, loom (the loom event above it), parent_id (the first parent that is a turn), text, role, author from the turn's own payload and meta. events: eligible ones, with payload (JSON); other kinds and suppressed turns take no part."""
+    rows = events.where(F.col("kind").isin(loom_kind, turn_kind)).withColumn("p", F.try_parse_json("payload"))
+    rows = rows.select("id", "kind", "suppressed", "file", "line", F.try_element_at("parents", F.lit(1)).alias("parent_id"), *(F.try_variant_get("p", f"$.{at}", "string").alias(n) for n, at in (("text", "payload.text"), ("role", "meta.role"), ("author", "meta.author"))))
+    top = roots(rows.select("id", "parent_id")).select(F.col("node").alias("id"), F.col("root").alias("loom"))
+    placed = rows.where((F.col("kind") == turn_kind) & ~F.col("suppressed")).join(top, "id")
+    return turns(ranked(placed, ["file", "line"], "ord").drop("kind", "suppressed", "file", "line"))
+
+
 def role_of(handle: Column, owner: Column) -> Column:
     """The owner of a thread speaks as the user, everyone else as the assistant."""
     return F.when(F.lower(handle) == F.lower(owner), "user").otherwise("assistant")
@@ -58,8 +100,8 @@ def snapshots(placed: DataFrame, meta: Mapping[str, str]) -> DataFrame:
 
 def file_names(written: DataFrame, kind: str) -> DataFrame:
     """written with name: kind, the loom's number by id and the id."""
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("loom"))
-    return written.withColumn("name", F.format_string(f"{kind}-%04d-%s.json", number, F.regexp_replace(F.col("loom").cast("string"), "[^A-Za-z0-9_-]", "_")))
+    numbered = ranked(written, ["loom"], "__number")
+    return numbered.withColumn("name", F.format_string(f"{kind}-%04d-%s.json", "__number", F.regexp_replace(F.col("loom").cast("string"), "[^A-Za-z0-9_-]", "_"))).drop("__number")
 
 
 def verify(written: DataFrame) -> DataFrame:

@@ -110,3 +110,35 @@ def test_diagnostics_and_attachments(spark):
     shape = "id string, annotation boolean, label string, parents array<string>, critical boolean, suppressed boolean, ignored boolean"
     marks = [("2", True, "note", ["t"], False, False, False), ("1", True, None, ["t", "u"], False, False, False), ("3", True, "score", ["t"], False, False, False), ("4", True, "score", ["t"], False, False, True), ("5", True, "note", ["t"], False, True, False), ("6", False, None, ["t"], True, False, False)]
     assert values(log.attachments(spark.createDataFrame(marks, shape))) == [("t", "generic", ["1", "2"]), ("t", "ignored", ["4"]), ("t", "suppressors", ["6"]), ("u", "generic", ["1"])]
+
+
+def test_chat_exports_become_looms(spark, tmp_path):
+    from skein.sources import exports
+
+    said = lambda i, sender, text, **more: {"uuid": i, "sender": sender, "text": text} | more
+    chats = [{"uuid": "x", "name": "one", "chat_messages": [said("m1", "human", "hi"), said("m2", "assistant", "yes", model="big"), 5]}, {"uuid": "y", "chat_messages": [said("m1", "human", "root"), said("m2", "assistant", "a", parent_message_uuid="m1"), said("m3", "assistant", "b", parent_message_uuid="m1")]}, {"uuid": "z"}]
+    (tmp_path / "claude.json").write_text(json.dumps(chats))
+    placed = looms.export_turns(exports.read_claude_export(spark, str(tmp_path / "claude.json")))
+    assert sorted((r.loom, r.place, r.id, r.parent_id, r.role, r.author, r.text) for r in placed.collect()) == [
+        ("0:x", 0, "0:x/m1", None, "user", "user", "hi"), ("0:x", 1, "0:x/m2", "0:x/m1", "assistant", "big", "yes"),
+        ("1:y", 0, "1:y/m1", None, "user", "user", "root"), ("1:y", 1, "1:y/m2", "1:y/m1", "assistant", "assistant", "a"), ("1:y", 2, "1:y/m3", "1:y/m1", "assistant", "assistant", "b"),
+    ]
+    node = lambda parent, role=None, text=None: {"parent": parent} | ({"message": {"author": {"role": role}, "content": {"content_type": "text", "parts": [text]}}} if role else {})
+    tree = [{"id": "t", "title": "T", "mapping": {"root": node(None), "sys": node("root"), "a": node("sys", "user", "ask"), "gap": node("a"), "b": node("gap", "assistant", "one"), "c": node("a", "assistant", "two"), "d": node("c", "user", "more")}}]
+    (tmp_path / "chatgpt.json").write_text(json.dumps(tree))
+    placed = looms.mapping_turns(exports.read_chatgpt_export(spark, str(tmp_path / "chatgpt.json")))
+    assert [(r.place, r.id, r.parent_id, r.text) for r in placed.orderBy("place").collect()] == [(0, "0:t/a", None, "ask"), (1, "0:t/b", "0:t/a", "one"), (2, "0:t/c", "0:t/a", "two"), (3, "0:t/d", "0:t/c", "more")]
+    written = looms.snapshots(placed, {"source": "chat"})
+    assert values(looms.verified(written), "loom", "turns", "problems") == [("0:t", 4, "")]
+
+
+def test_threads_and_logs_become_looms(spark):
+    posts = spark.createDataFrame([("2", "1", "2026-01-02", "friend", "reply"), ("1", None, "2026-01-01", None, "first"), ("3", "gone", "2026-01-03", "Me", "lost"), ("4", "2", "2026-01-01", "me", "early")], "id string, parent_id string, created_at string, handle string, text string")
+    placed = looms.thread_turns(posts, "me", "My Name")
+    assert sorted((r.loom, r.place, r.id, r.parent_id, r.role, r.author) for r in placed.collect()) == [("1", 0, "1", None, "user", "My Name"), ("1", 1, "2", "1", "assistant", "friend"), ("1", 2, "4", "2", "user", "My Name"), ("3", 0, "3", None, "user", "My Name")]
+    from skein.operators import log
+
+    line = lambda i, kind, parents, payload: json.dumps({"v": 1, "id": i, "kind": f"log/{kind}", "at": "2026-01-01T00:00:00Z", "author": {"actor": "x"}, "parents": parents, "payload": payload})
+    lines = [line("L", "loom", [], {"meta": {"profile": "conversation"}}), line("b", "turn", ["a"], {"payload": {"text": "two"}, "meta": {"role": "assistant", "author": "m"}}), line("a", "turn", ["L"], {"payload": {"text": "one"}, "meta": {"role": "user", "author": "u"}}), line("n", "note", ["a"], {})]
+    events = log.eligible(log.classified(spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file string, line long, text string")))
+    assert sorted((r.loom, r.place, r.id, r.parent_id, r.text, r.author) for r in looms.folded(events, "log/loom", "log/turn").collect()) == [("L", 0, "a", None, "one", "u"), ("L", 1, "b", "a", "two", "m")]
