@@ -238,3 +238,13 @@ def test_clean_with_rare_white_space(spark):
     out = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").orderBy("i").select(clean(F.col("t"))).collect()]
     assert out == ["a b\n\nc", "x  y\nz", "é\n\nü", "a\nb"]
     assert [r[0] for r in spark.createDataFrame([("\n é \t",), ("﻿ é",)], "t string").select(trim(F.col("t"))).collect()] == ["é", "é"]
+
+
+def test_a_line_of_33_megabytes_is_an_event(spark):
+    from skein.operators import log
+
+    whole = lambda end: '{"v":1,"id":"g","kind":"n/x","at":"2026-01-01T00:00:00Z","author":{"actor":"me"},"parents":[],"payload":{"text":"' + "y" * 33_000_000 + end
+    rows = log.classified(spark.createDataFrame([("f", 1, whole('"}}')), ("f", 2, whole('"}')), ("f", 3, whole(""))], "file string, line long, text string"))
+    found = rows.select("line", "class", "id", "actor", F.length("payload").alias("size")).orderBy("line").collect()
+    assert tuple(found[0]) == (1, "accepted", "g", "me", 33_000_011)
+    assert [r["class"] for r in found[1:]] == ["garbage", "garbage"]
