@@ -4,30 +4,24 @@
 2. The forest has TREES orders of the signature. A class stands in each of them; those
    that share the first DEPTH values of an order with another make a region. Most
    classes are alone and go no further.
-3. Regions are sorted by the order's next DEEPER values. A class's candidates are the
-   WINDOW classes on either side of it in each order, which share the longest prefixes
-   with it; how deep that is, from DEPTH to DEPTH + DEEPER values, goes by how full the
-   region is. Regions of up to WINDOW + 1 classes are compared whole. In larger ones
-   each class also meets the centre of its stretch, so that variants of one text, which
-   may be near that text only, find it.
-4. A first round confirms, of each class, the FIRST candidates whose signatures agree
-   best, and merges what is linked. In the second a class takes in each order its best
-   candidate in each other component, MOST components on either side.
-5. Where the window doesn't cover a region, its classes get further forests, of TREES
-   fresh orders each, with the one best candidate on either side in each order, until
-   one finds no link that wasn't known; no pair is compared twice. So the number of orders
-   adapts to the crowd: a group of copies ends after one, a crowd of look-alikes that
-   hides pairs takes as many as still find some.
-
-WINDOW, FIRST and MOST bound the work of a round. Regions that the window covers are
-dealt by region, others by ranges of the sorted order, so a crowded one is spread over
-tasks. Components come from links confirmed on the whole sets only.
-
-A linked pair is left unconfirmed if it shares no region (at a similarity of 0.8 three
-times in a million), if its signatures agree in less than threshold - SLACK of their
-values (over five standard deviations off), or if it lies in crowded regions and every
-forest, the last one too, keeps its ends more than WINDOW classes apart or behind MOST
-better components; then it matters only if no chain of other links joins its ends.
+3. Regions are sorted by the order's next DEEPER values. A first round takes of each class
+   its best candidate on either side among the WINDOW classes around it in each order and,
+   in regions beyond that, the centre of its stretch, so that variants of one text, which
+   may be near that text only, find it. It confirms the FIRST whose signatures agree best,
+   and merges what is linked. It only makes what follows smaller.
+4. Then every pair of a shared region that isn't in one component yet is compared. In
+   regions of up to WINDOW + 1 classes all pairs whose signatures agree are confirmed. What
+   larger regions join, over all orders, is a crowd: its classes are dealt to blocks of
+   bounded size, and blocks are compared whole, set against set, without signatures. Blocks
+   meet only where sizes allow a link and where more than one component is in them, so a
+   crowd of copies costs a row for each class; look-alikes that are linked with nothing
+   cost a comparison for each pair, BLOCK rows at a time, but no row.
+
+Components come from links confirmed on the whole sets only. A linked pair is left
+unconfirmed if it shares no region (at a similarity of 0.8 three times in a million) or
+if all regions that it shares are small and its signatures agree in less than threshold -
+SLACK of their values (over five standard deviations off); then it matters only if no
+chain of other links joins its ends.
 """
 
 from __future__ import annotations
@@ -48,8 +42,10 @@ TREES, DEPTH, DEEPER, WINDOW = 32, 5, 24, 64
 HASHES = TREES * DEPTH
 #: How far below the threshold signatures may agree before a pair is left out (over five standard deviations).
 SLACK = 0.18
-#: Candidates of each class that are confirmed before all others; components that a class of an order is compared with after that.
-FIRST, MOST = 3, 4
+#: Candidates of each class that are confirmed before all others.
+FIRST = 3
+#: Classes and shingles of a block, about; cells that a task counts at once.
+BLOCK, BLOCK_SHINGLES, CELLS = 1024, 1 << 20, 1 << 22
 _RANDOM = np.random.default_rng(77)
 _XOR = _RANDOM.integers(0, 1 << 32, (HASHES, 1), np.uint32, endpoint=False)
 _TIMES = _RANDOM.integers(0, 1 << 32, (HASHES, 1), np.uint32, endpoint=False) | np.uint32(1)
@@ -139,31 +135,27 @@ def _near(least: float, same: np.ndarray, na: np.ndarray, nb: np.ndarray, thresh
     return (same >= least * HASHES) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
-def _best(x: np.ndarray, y: np.ndarray, root: np.ndarray, agree: np.ndarray, most: int) -> np.ndarray:
-    """Of candidates y of x, which to take: for each x on either side of it the best of each component, and of these the most best ones."""
-    side, other = y > x, root[y]
-    order = np.lexsort((-agree, other, side, x))
+def _best(x: np.ndarray, y: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Of candidates y of x, which to take first: for each x the best on either side of it."""
+    side = y > x
+    order = np.lexsort((-agree, side, x))
     again = np.zeros(len(x), bool)
-    again[1:] = (np.diff(x[order]) == 0) & (np.diff(side[order].astype(int)) == 0) & (np.diff(other[order]) == 0)
-    order = order[~again]
-    order = order[np.lexsort((-agree[order], side[order], x[order]))]
-    group = np.concatenate([[0], np.cumsum((np.diff(x[order]) != 0) | (np.diff(side[order].astype(int)) != 0))])
-    place = np.arange(len(order)) - np.searchsorted(group, group)
-    return order[place < most]
+    again[1:] = (np.diff(x[order]) == 0) & (np.diff(side[order].astype(int)) == 0)
+    return order[~again]
 
 
-def _candidates(threshold: float, most: int):
-    """Sorted rows (region, node, root, n, deep, sig): a, b, agree of near rows of one region and different roots.
+def _candidates(threshold: float, whole: bool):
+    """Sorted rows (region, node, root, crowd, n, deep, sig): a, b, agree of near rows of one region, of different roots and not of one crowd.
 
     Compared are rows at most WINDOW apart, and in regions beyond that each row with the
     centre of its stretch, the row that agrees best with the most frequent values, and
     with the centre of the stretch before. agree is the number of agreeing values, then
-    the length of the common prefix. Of a row's candidates on either side (a is the row)
-    the best of each component stays, most components at the most.
+    the length of the common prefix. whole: all pairs, else of a row's candidates on
+    either side (a is the row) the best.
     """
     least = threshold - SLACK
 
-    def pairs(region, node, root, n, deep, sig, start: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(region, node, root, crowd, n, deep, sig, start: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the earlier and the later row, and agree. The order begins at start, after the centre carried over; pairs before new are known."""
         rows = len(region)
         prefix = np.zeros(rows, np.int64)  # with the row before
@@ -172,7 +164,7 @@ def _candidates(threshold: float, most: int):
         shared, out = np.full(rows, DEEPER + 1), []
 
         def add(earlier: np.ndarray, later: np.ndarray, common: np.ndarray) -> None:
-            use = root[earlier] != root[later]
+            use = (root[earlier] != root[later]) & ((crowd[earlier] != crowd[later]) | (crowd[earlier] < 0))
             earlier, later, common = earlier[use], later[use], common[use]
             same = (sig[earlier] == sig[later]).sum(-1)
             near = _near(least, same, n[earlier], n[later], threshold)
@@ -208,15 +200,17 @@ def _candidates(threshold: float, most: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                cells = [part.column(i).to_numpy() for i in range(4)]
-                cells += [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (4, 5)]
+                cells = [part.column(i).to_numpy() for i in range(5)]
+                cells += [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (5, 6)]
                 before = [x for x in (centre, tail) if x is not None]
                 start, new = (0 if centre is None else 1), sum(len(x[0]) for x in before)
                 cells = [np.concatenate(x) for x in zip(*before, cells, strict=True)]
                 i, j, agree, held = pairs(*cells, start, new)
                 if len(i):
-                    x, y, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(agree, 2)
-                    took = _best(x, y, cells[2], agree, most)
+                    x, y = i, j
+                    if not whole:
+                        x, y, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(agree, 2)
+                    took = slice(None) if whole else _best(x, y, agree)
                     yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (cells[1][x[took]], cells[1][y[took]], agree[took])], names=["a", "b", "agree"])
                 centre = None if held is None else [x[held : held + 1] for x in cells]
                 tail = [x[start:][-WINDOW:] for x in cells]
@@ -255,19 +249,98 @@ def _sets(shingle: int):
     return run
 
 
-def _again(round_: int):
-    """(node, n, sig) of sets under the hash functions of a further round."""
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a shares with each of b."""
+    rows, columns = len(a), len(b)
+    at = np.repeat(np.arange(rows + columns), [len(x) for x in (*a, *b)])
+    values, shingle = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    at, shingle = at[order], shingle[order]
+    (xa, xs), (ya, ys) = ((at[use], shingle[use]) for use in (at < rows, at >= rows))
+    ya = ya - rows
+    in_a, in_b = (np.bincount(s, minlength=len(values)) for s in (xs, ys))
+    out = np.zeros((rows, columns), np.int64)
+    # what many have by products of matrices
+    frequent = in_a * in_b * 64 > rows * columns
+    listed = np.flatnonzero(frequent)
+    place, width = np.cumsum(frequent) - 1, max(1, CELLS // (rows + columns))
+    for lo in range(0, len(listed), width):
+        hi, sides = min(lo + width, len(listed)), []
+        for s, r, n in ((xs, xa, rows), (ys, ya, columns)):
+            use = frequent[s] & (place[s] >= lo) & (place[s] < hi)
+            m = np.zeros((n, hi - lo), np.float32)
+            m[r[use], place[s[use]] - lo] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    # the rest pair by pair
+    rare = ~frequent[xs] & (in_b[xs] > 0)
+    xa, xs = xa[rare], xs[rare]
+    times, first = in_b[xs], np.cumsum(in_b) - in_b
+    done = np.concatenate([[0], np.cumsum(times)])
+    lo = 0
+    while lo < len(xs):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + CELLS, "right")) - 1)
+        k = np.repeat(np.arange(lo, hi), times[lo:hi])
+        y = ya[first[xs[k]] + np.arange(len(k)) - (done[k] - done[lo])]
+        out += np.bincount(xa[k] * columns + y, minlength=rows * columns).reshape(rows, columns)
+        lo = hi
+    return out
+
+
+def _compared(threshold: float):
+    """Two blocks (late: the second one; one with itself if none is), rows root and set: a, b, roots that links between the blocks join, as few as join them."""
+    percent = round(threshold * 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            # other 64-bit hashes of the same shingles make other least values
-            signatures = [signature(_mixed((s + np.uint64(round_)) * _A)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary())], names=["node", "n", "sig"])
+    def run(table: pa.Table) -> pa.Table:
+        late, root = table["late"].to_numpy(zero_copy_only=False), table["root"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        i = np.flatnonzero(~late)
+        j = np.flatnonzero(late) if late.any() else i
+        both = _shared([sets[k] for k in i], [sets[k] for k in j])
+        size = np.array([len(s) for s in sets])
+        linked = (100 * both >= percent * (size[i][:, None] + size[j] - both)) & (root[i][:, None] != root[j])
+        x, y = np.nonzero(linked)
+        names, ends = np.unique(np.concatenate([root[i[x]], root[j[y]]]), return_inverse=True)
+        x, y = ends[: len(x)], ends[len(x) :]
+        low, before = np.arange(len(names)), None
+        while before is None or (low != before).any():
+            before, least = low.copy(), np.minimum(low[x], low[y])
+            np.minimum.at(low, x, least)
+            np.minimum.at(low, y, least)
+            low = low[low]
+        more = low != np.arange(len(names))
+        return pa.table({"a": pa.array(names[more], pa.int64()), "b": pa.array(names[low[more]], pa.int64())})
 
     return run
 
 
+def _crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """a, b: links between roots of one crowd. crowds: node, root, crowd, n.
+
+    A component of a block's size or more has blocks of its own, so that those aren't
+    compared with each other; the others share their crowd's. Blocks go by size, and
+    only those of one level or of neighbouring ones can hold linked sets.
+    """
+    level = F.floor(F.log("n") / float(np.log(1.001 / threshold)))
+    full = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES))
+    roots = crowds.groupBy("root").agg(full(F.count("*"), F.sum("n")).alias("__of")).where("__of > 1").select("root", F.col("root").alias("owner"))
+    rows = crowds.join(roots, "root", "left").withColumn("owner", F.coalesce("owner", F.lit(-1))).withColumn("level", level)
+    key = ("crowd", "owner", "level")
+    parts = rows.groupBy(*key).agg(full(F.count("*"), F.sum("n")).alias("parts"))
+    rows = tables.write(rows.join(parts, [*key]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    blocks = tables.write(rows.select(*key, "part").distinct().withColumn("block", F.monotonically_increasing_id()))
+    # blocks of one component, alone in a level or not, have nothing to find among themselves
+    alone = rows.groupBy(*key, "part").agg(F.min("root").alias("a"), F.max("root").alias("z"))
+    blocks = tables.write(blocks.join(alone, [*key, "part"]).withColumn("only", F.when(F.col("a") == F.col("z"), F.col("a"))))
+    other = blocks.select("crowd", F.col("level").alias("level2"), F.col("block").alias("second"), F.col("only").alias("only2"))
+    met = blocks.join(other, "crowd").where("block <= second and abs(level - level2) <= 1 and not coalesce(only = only2, false)")
+    met = tables.write(met.select(F.col("block").alias("first"), "second").withColumn("pair", F.monotonically_increasing_id()))
+    sides = met.select("pair", F.col("first").alias("block"), F.lit(False).alias("late")).unionByName(met.where("first != second").select("pair", F.col("second").alias("block"), F.lit(True).alias("late")))
+    dealt = rows.join(blocks.select(*key, "part", "block"), [*key, "part"]).join(sides, "block").select("pair", "late", "node", "root")
+    dealt = dealt.join(sets, "node").select("pair", "late", "root", "set")
+    return tables.write(dealt.groupBy("pair").applyInArrow(_compared(threshold), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -306,14 +379,16 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 
     placed = forest(classes)
 
-    def candidates(rows: DataFrame, most: int) -> DataFrame:
-        order = ("region", "deep", "node")
-        # a region that the window covers stays whole, a crowded one is spread
-        dealt = [rows.where("not crowded").repartition("region").sortWithinPartitions(*order), rows.where("crowded").repartitionByRange(*order).sortWithinPartitions(*order)]
-        found = [d.select("region", "node", "root", "n", "deep", "sig").mapInArrow(_candidates(threshold, most), "a long, b long, agree long") for d in dealt]
-        return found[0].unionByName(found[1])
+    order = ("region", "deep", "node")
+
+    def candidates(dealt: DataFrame, whole: bool = False) -> DataFrame:
+        rows = dealt.sortWithinPartitions(*order).select("region", "node", "root", "crowd", "n", "deep", "sig")
+        return rows.mapInArrow(_candidates(threshold, whole), "a long, b long, agree long")
 
-    found = tables.write(candidates(placed.withColumn("root", F.col("node")), 1).repartition("a").groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    # a region that the window covers stays whole, a crowded one is spread
+    own = placed.withColumn("root", F.col("node")).withColumn("crowd", F.lit(-1).cast("long"))
+    near = candidates(own.where("not crowded").repartition("region")).unionByName(candidates(own.where("crowded").repartitionByRange(*order)))
+    found = tables.write(near.repartition("a").groupBy("a", "b").agg(F.max("agree").alias("agree")))
 
     # the sets of all classes that have a candidate, from the text of one row of each
     crowd = tables.write(placed.where("crowded").select("node").distinct())
@@ -321,8 +396,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     there = docs.select(*told[1:]).join(wanted, ["did", "th"]).dropDuplicates(["did", "th", "node"]).select("node", "text")
     sets = tables.write(there.mapInArrow(_sets(shingle), "node long, set binary"))
 
-    order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
-    first = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
+    first = found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = tables.write(components(_linked(first, sets, threshold), tables))
 
     def merged(roots: DataFrame, crossing: DataFrame) -> DataFrame:
@@ -336,30 +411,21 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         # roots of one class only are in more, not in roots
         return tables.write(renamed.unionByName(more.join(roots.select("node"), "node", "left_anti")))
 
-    tried: list[DataFrame] = []
-
-    def crossing(placed: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-        """Links between components that a forest finds; pairs that were compared before aren't again."""
-        rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = candidates(rooted, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        tried.append(tables.write(pairs))
-        return tables.write(_linked(tried[-1], sets, threshold))
-
-    links = crossing(placed, roots, MOST)
-    roots = merged(roots, links)
+    # what regions over the window join
+    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    full = tables.write(rooted.where("crowded").select("region", "node", "n", "root"))
+    mixed = full.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("region", "low")
+    joined = full.select("region", "root").distinct().join(mixed, "region").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()
+    crowds = components(joined, tables).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
+    crowds = tables.write(full.select("node", "n", "root").distinct().join(crowds, "root"))
+    links = None if crowds.isEmpty() else _crowd_links(crowds, sets, threshold, tables)
+
+    # what the window covers, but for pairs of one crowd, which are compared
+    small = rooted.where("not crowded").join(crowds.select("node", "crowd"), "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(-1)))
+    pairs = candidates(small.repartition("region"), whole=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = _linked(pairs, sets, threshold)
+    roots = merged(roots, tables.write(rest if links is None else rest.unionByName(links)))
     tables.drop(placed)
-    crowded = tables.write(sets.join(crowd, "node").select("node", "set"))
-    round_ = 0
-    while not crowded.isEmpty() and (round_ == 0 or not links.isEmpty()):
-        round_ += 1
-        again = tables.write(crowded.mapInArrow(_again(round_), "node long, n long, sig binary"))
-        placed = forest(again)
-        links = crossing(placed.where("crowded"), roots, 1)
-        roots = merged(roots, links)
-        tables.drop(placed)
-        tables.drop(again)
 
     lowest = roots.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
     lows = classes.select("node", "k1", "k2", "low").join(roots.join(lowest, "root"), "node", "left")
