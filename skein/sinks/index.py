@@ -19,6 +19,8 @@ from skein.sources.lines import numbered_lines
 #: What a manifest has to say, for this code to read its pieces.
 SCHEMA, TOKENIZER = "skein-search-1", "trigram case_sensitive positions"
 BUCKETS = 64
+#: Tasks that share a bucket's rows.
+SLICES = 16
 ROW = "fid long, n long, file string, source string, line long, event_id string, segment int, platform string, session string, role string, kind string, at string, text string"
 POSTING = "bucket int, trigram string, fid long, n long, positions array<int>"
 FILES = "file string, sha256 string, bytes long, fid long, seen long, searchable long, other long, errors long, piece string"
@@ -188,12 +190,14 @@ def bucket() -> Column:
 
 
 def write_postings(rows: DataFrame, path: str) -> None:
-    """Every trigram of every row (fid, n, text) with the places where it begins (from 1, in code points), in a folder for each bucket, sorted by trigram; a frequent trigram is spread over tasks by its rows."""
+    """Every trigram of every row (fid, n, text) with the places where it begins (from 1, in code points), in a folder for each bucket, sorted by trigram; a frequent trigram is spread over tasks by its rows. Texts move before they are taken apart, postings once after."""
     size = F.length("text")
     grams = F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.struct(F.substr("text", i, F.lit(3)).alias("trigram"), i.cast("int").alias("at"))))
-    each = rows.select("fid", "n", F.inline(grams)).groupBy("fid", "n", "trigram").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    order = ("bucket", "trigram", "fid", "n")
-    each = each.withColumn("bucket", bucket()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # a row's trigrams meet where the row is
+    each = rows.repartition("fid", "n").select("fid", "n", F.inline(grams)).groupBy("fid", "n", "trigram").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    # dealt by hashes: ranges would gather all positions twice, the first time for their bounds
+    each = each.withColumn("bucket", bucket()).repartition("bucket", F.pmod(F.xxhash64("fid", "n"), F.lit(SLICES)))
+    each = each.sortWithinPartitions("bucket", "trigram", "fid", "n")
     each.write.partitionBy("bucket").parquet(path)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from skein.operators import log
 from skein.operators.segments import extracted, segments
+from skein.sinks import index
 from skein.sinks.index import Busy, SearchIndex
 
 UUID = "0197e6a0-4a13-7000-8000-0000000000ac"
@@ -156,3 +157,14 @@ def test_concurrent_builds(spark, tmp_path):
     with ThreadPoolExecutor(3) as pool:
         names = list(pool.map(build, range(3)))
     assert any(names) and found(SearchIndex(spark, str(tmp_path / "index")).find("ome"))[0][2] == "some text"
+
+
+def test_postings_take_each_text_apart_once(spark, tmp_path, monkeypatch):
+    """No order's bounds are sought, which would gather all positions beforehand; rows of one key, short and null texts stay right."""
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda *a: pytest.fail("sampled for ranges"))
+    rows = [(1, 0, "abcabc"), (1, 1, "ab"), (2, 0, None), (2, 1, "xxabcab"), (3, 0, "éabc😀abc"), (3, 0, "bcabca"), (4, 0, "ab cabc")]
+    index.write_postings(spark.createDataFrame(rows, "fid long, n long, text string"), f"{tmp_path}/p")
+    posts = spark.read.schema(index.POSTING).parquet(f"{tmp_path}/p")
+    held = {(r.fid, r.n): sorted(r.positions) for r in posts.where("trigram = 'abc'").collect()}
+    assert held == {(1, 0): [1, 4], (2, 1): [3], (3, 0): [2, 3, 6], (4, 0): [5]}
+    assert sorted(map(tuple, index.phrase_hits(posts, "abcab").collect())) == [(1, 0), (2, 1)]
