@@ -29,8 +29,8 @@ from skein.llm.common import checkpointed
 
 #: Tokens in a sequence; the id that ends a document; pieces of one length that are ranked together.
 LENGTH, END, GROUP = 4096, 2, 500
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and places (a power of two) that tell whether a word was met before.
+REMEMBERED, MET = 200_000, 1 << 20
 
 
 _LETTERS = "".join(chr(c) for c in range(0x300) if chr(c).isalpha())
@@ -57,14 +57,16 @@ class WordEncoder:
         for name, i in self.tokenizer.get_vocab().items():
             self.ends[i] = name.endswith("</w>")
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
-        parts = {w: [w] if w.isalpha() else _WORD.findall(w) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in known})
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        self.met = bytearray(MET)  # by a word's hash; words of equal hash share a place
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Makes these new words known; returns those not met before."""
+        known, met, mask = self.known, self.met, len(self.met) - 1
+        parts = {w: _WORD.findall(w) for w in words if not w.isalpha()}
+        alone = words.difference(parts)
+        new = list(alone.union(*parts.values()).difference(known))
+        # without offsets, which nothing reads
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         assert len(stops) == len(new)
         data, at = ids.tobytes(), 0
@@ -73,6 +75,12 @@ class WordEncoder:
         for w, ps in parts.items():
             if len(ps) != 1:
                 known[w] = b"".join([known[p] for p in ps])
+        once = []
+        for w in words.union(new):
+            if not met[at := hash(w) & mask]:
+                met[at] = 1
+                once.append(w)
+        return once
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = []
@@ -80,16 +88,16 @@ class WordEncoder:
             low = text.lower()
             whole = "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not low.isascii() and _OTHER.search(low)
             split.append(None if whole else low.split())
-        for attempt in (1, 2):
-            found = [None if w is None else list(map(self.known.get, w)) for w in split]
-            new = {x for w, f in zip(split, found, strict=True) if f and None in f for x, y in zip(w, f, strict=True) if y is None}
-            if not new:
-                break
-            # what is remembered may have been dropped for the new words, so all are looked up again
-            self._learn(new if attempt == 1 and len(self.known) + len(new) <= REMEMBERED else {x for w in split if w for x in w})
-        else:
-            found = [None if w is None else list(map(self.known.get, w)) for w in split]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if f is None else np.frombuffer(b"".join(f), np.uint32) for t, f in zip(texts, found, strict=True)]
+        known = self.known
+        new = set().union(*(w for w in split if w)).difference(known)
+        once = self._learn(new) if new else []
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else np.frombuffer(b"".join(map(known.__getitem__, w)), np.uint32) for t, w in zip(texts, split, strict=True)]
+        # most words of a large corpus come once: a word is remembered when it is met again
+        for w in once:
+            del known[w]
+        if len(known) > REMEMBERED:
+            self.known, self.met = {}, bytearray(len(self.met))
+        return out
 
 
 @lru_cache(1)
