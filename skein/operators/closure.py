@@ -21,24 +21,24 @@ def present_edges(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
 
 
 def roots(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
-    """node, root, depth for every node: one row each, log2(depth) rounds of jumps.
+    """node, root, depth for every node: one row each, log2(depth) rounds of jumps of those with a parent.
 
     A cycle, or a chain longer than 2 ** rounds, raises CycleError.
     """
+    # only nodes with a parent jump; end: up has none, so it is the root
     linked = present_edges(nodes, parent)
-    jump = nodes.select(F.col("id").alias("node")).join(linked, "node", "left")
-    jump = checkpointed(jump.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    further = linked.select(F.col("node").alias("parent"), F.lit(False).alias("__end"))
+    state = checkpointed(linked.join(further, "parent", "left").select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("__end", F.lit(True)).alias("end")))
     for _ in range(rounds):
-        far = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        step = jump.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        step = checkpointed(step)
-        # done when every pointer is at a node of depth 0
-        open_ = step.join(step.where("depth = 0").select(F.col("node").alias("up")), "up", "left_anti")
-        jump = step
-        if open_.isEmpty():
-            return jump.select("node", F.col("up").alias("root"), "depth")
-        if step.agg(F.max("depth")).first()[0] > 2 * step.count():
+        if state.where("not end").isEmpty():
+            out = nodes.select(F.col("id").alias("node")).join(state, "node", "left")
+            return out.select("node", F.coalesce("up", "node").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+        if state.agg(F.max("depth")).first()[0] > 2 * state.count():
             raise CycleError("parent links form a cycle")
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__more"), F.col("end").alias("__end"))
+        step = state.join(far, "up", "left")
+        moved = (F.when(F.col("end"), F.col(c)).otherwise(x).alias(c) for c, x in (("up", F.col("__up")), ("depth", F.col("depth") + F.col("__more"))))
+        state = checkpointed(step.select("node", *moved, (F.col("end") | F.col("__end")).alias("end")))
     raise CycleError("parent links form a cycle")
 
 
@@ -119,13 +119,16 @@ def cyclic(links: DataFrame) -> DataFrame:
 
 
 def heights(nodes: DataFrame, parent: str = "parent_id", rounds: int = 40) -> DataFrame:
-    """node, below: how far its deepest descendant lies. A row for each node in every round; rounds grow with the logarithm of the depth."""
-    total = nodes.count()
-    state = nodes.select(F.col("id").alias("node")).join(present_edges(nodes, parent), "node", "left")
-    state = checkpointed(state.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("below")))
+    """node, below: how far its deepest descendant lies. A row for each node with a child in every round; rounds grow with the logarithm of the depth."""
+    # nodes without a child are 0; only the others are carried from round to round, from 1
+    links = present_edges(nodes, parent)
+    state = links.select(F.col("parent").alias("node")).distinct().join(links, "node", "left")
+    state = checkpointed(state.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("below")))
+    total = state.count()
     for i in range(rounds):
         if state.where("up is not null").isEmpty():
-            return state.select("node", "below")
+            out = nodes.select(F.col("id").alias("node")).join(state.select("node", "below"), "node", "left")
+            return out.select("node", F.coalesce("below", F.lit(0).cast("long")).alias("below"))
         if 2**i > 2 * total:
             break
         # up lies 2 ** i above; below is right for descendants nearer than that
