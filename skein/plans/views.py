@@ -61,27 +61,29 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = views.select("event_id", "user_id", "parent", F.when(F.col("k") >= 5, F.concat(F.lit("view "), F.col("event_id").cast("string"))).alias("text"))
     # a user's first view names one that isn't there in one of ten users
     views = views.withColumn("parent", F.when(F.col("parent").isNull() & (F.col("user_id") % 10 == 0), -F.col("event_id") - 1).otherwise(F.col("parent")))
-    marks = latest_views(spark, sf_dir).where("event_type = 'error' and target is not null").groupBy("target").agg(F.bool_or(F.col("event_id") % 20 == 0).alias("suppressed"), F.bool_or(F.col("event_id") % 20 == 1).alias("marked"))
+    marks = latest_views(spark, sf_dir, shown=False).where("event_type = 'error' and target is not null").groupBy("target").agg(F.bool_or(F.col("event_id") % 20 == 0).alias("suppressed"), F.bool_or(F.col("event_id") % 20 == 1).alias("marked"))
     out = views.join(marks.withColumnRenamed("target", "event_id"), "event_id", "left")
     no = F.lit(False)
     return out.select(F.col("event_id").alias("id"), "parent", "text", F.coalesce("suppressed", no).alias("suppressed"), F.coalesce("marked", no).alias("marked"), F.col("user_id").cast("string").alias("actor"))
 
 
-def latest_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event with target, its user's latest earlier view, and shown, the last three."""
+def latest_views(spark: SparkSession, sf_dir: str, shown: bool = True) -> DataFrame:
+    """Every event with target, its user's latest earlier view, and shown, the last three, if asked for."""
     e = event_rows(spark, sf_dir)
     before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     view = F.when(F.col("event_type") == "view", F.col("event_id"))
     number = F.count(view).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("target", F.last(view, ignorenulls=True).over(before)).withColumn("views", number)
+    if not shown:
+        return e
     recent = e.where("event_type = 'view'").select("user_id", F.col("views").alias("at"), F.col("event_id").alias("view"))
     asked = e.where("event_type = 'purchase'").select("event_id", "user_id", F.explode(F.expr("sequence(greatest(views - 3, 0), views)")).alias("at"), "views").where("at < views")
-    shown = asked.join(recent, ["user_id", "at"]).groupBy("event_id").agg(F.array_sort(F.collect_list("view")).alias("shown"))
-    return e.join(shown, "event_id", "left")
+    last = asked.join(recent, ["user_id", "at"]).groupBy("event_id").agg(F.array_sort(F.collect_list("view")).alias("shown"))
+    return e.join(last, "event_id", "left")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = latest_views(spark, sf_dir).where("event_type = 'click' and target is not null")
+    c = latest_views(spark, sf_dir, shown=False).where("event_type = 'click' and target is not null")
     return c.select("target", F.col("event_id").alias("annotation"), "value")
 
 

@@ -37,11 +37,12 @@ class TrainingData:
 
     rows: classified lines (operators.log); annotation: the kind of its annotations. The
     board, the gates and the contexts are those of operators.training; a way from a
-    candidate to its root is built only where the candidate passes.
+    candidate to its root is built only where the candidate passes. paired: whether pairs
+    are asked for, too; without it their contexts aren't built.
     """
 
-    def __init__(self, rows: DataFrame, annotation: str):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, annotation: str, paired: bool = True):
+        self.rows, self.with_pairs = rows, paired
         eligible = log.eligible(rows)
         self.notes = checkpointed(boards.annotations(eligible, annotation))
         marked = log.no_train(self.notes.select("id", "label", "parents", F.lit(False).alias("suppressed")))
@@ -51,15 +52,21 @@ class TrainingData:
         self.events = checkpointed(events.select("id", F.get("parents", F.lit(0)).alias("parent"), "parents", via.alias("via"), "actor", "at", "kind", F.coalesce("marked", F.lit(False)).alias("marked"), "suppressed", text.alias("text")))
         self.scores, self.selections = boards.scores(self.notes), boards.selections(self.notes)
         self.board = checkpointed(training.leaderboard(self.scores, self.selections))
-        faults, jumps = training.context_faults(self.events)
+        # what no event continues and no annotation judges, as most annotations, lies on nobody's way
+        judged = self.board.select(F.col("target").alias("id")).unionByName(self.selections.select(F.explode("chosen").alias("id")))
+        on = self.events.where("parent is not null").select(F.col("parent").alias("id")).unionByName(judged).distinct()
+        faults, jumps = training.context_faults(self.events.select("id", "parent", "suppressed", "marked").join(on, "id", "left_semi"))
         self.faults = checkpointed(faults)
         self._contexts(jumps)
 
     def _contexts(self, jumps: list[DataFrame]) -> None:
         """id, prompt, context_events of the candidates that pass every gate."""
         self.gated = checkpointed(training.sft(self.events, self.board, self.faults).select("target", "weight", "skip"))
-        self.paired = checkpointed(training.preferences(self.events, self.selections, self.faults).select("selection", "chosen", "rejected", "skip"))
-        wanted = self.gated.where("skip is null").select(F.col("target").alias("id")).unionByName(self.paired.where("skip is null").select(F.col("chosen").alias("id"))).distinct()
+        wanted = self.gated.where("skip is null").select(F.col("target").alias("id"))
+        if self.with_pairs:
+            self.paired = checkpointed(training.preferences(self.events, self.selections, self.faults).select("selection", "chosen", "rejected", "skip"))
+            wanted = wanted.unionByName(self.paired.where("skip is null").select(F.col("chosen").alias("id")))
+        wanted = wanted.distinct()
         way = paths(wanted.select(F.col("id").alias("node")), jumps).where("distance > 0")
         said = self.events.where("text is not null and not suppressed").withColumnRenamed("id", "at_id")
         steps = way.select("node", "distance", F.col("at").alias("at_id")).join(said, "at_id").withColumn("id", F.col("at_id"))
@@ -90,6 +97,8 @@ class TrainingData:
 
     def pairs(self) -> DataFrame:
         """selection_event, chosen_event, rejected_event, skip, category; prompt, chosen, rejected, meta of training pairs."""
+        if not self.with_pairs:
+            raise ValueError("pairs weren't asked for")
         out = self.paired.withColumnsRenamed({"selection": "selection_event", "chosen": "chosen_event", "rejected": "rejected_event"})
         judged = self.notes.select(F.col("id").alias("selection_event"), F.parse_json(F.get_json_object("text", "$.author")).alias("judge"), F.try_parse_json(F.to_json(F.try_variant_get(F.parse_json("text"), "$.payload.basis", "variant"))).alias("basis"))
         out = out.join(judged, "selection_event").join(self.prompts, F.col("chosen_event") == F.col("context"), "left")
