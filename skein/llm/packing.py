@@ -6,8 +6,8 @@ placed longest first, each into the open patterns with the most room (the shorte
 packs), whole counts of sequences at a time. The pattern counts are then joined back to
 the pieces by their rank among those of equal length.
 
-Tokens are found word by word: the tokenizer's splits are independent, so a word's ids
-are looked up, and only new words are encoded.
+Tokens are found piece by piece: the tokenizer's splits are independent, so the ids of
+the distinct pieces of some texts are looked up, and only new pieces are encoded.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,52 @@ from skein.llm.common import checkpointed
 
 #: Tokens in a sequence; the id that ends a document; pieces of one length that are ranked together.
 LENGTH, END, GROUP = 4096, 2, 500
-#: Words whose ids a worker remembers, and places (a power of two) that tell whether a word was met before.
+#: Pieces of words whose ids a worker remembers, and places (a power of two) that tell whether one was met before.
 REMEMBERED, MET = 200_000, 1 << 20
+#: Characters whose pieces a worker looks up at once.
+PORTION = 1 << 19
 
-
-_LETTERS = "".join(chr(c) for c in range(0x300) if chr(c).isalpha())
-_NUMBERS = "".join(chr(c) for c in range(0x300) if chr(c).isnumeric())
-_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+_SPACE, _LETTER, _NUMBER, _SIGN = range(4)
+_CLASS = np.array([_SPACE if chr(c).isspace() else _LETTER if chr(c).isalpha() else _NUMBER if chr(c).isnumeric() else _SIGN for c in range(0x300)], np.uint8)
 _OTHER = re.compile("[^\x00-˿]")
+#: The character that the tokenizer's model has for each byte: its own, or one from U+0100 on for those that do not print.
+_OWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = [chr(b if b in _OWN else 0x100 + sum(c not in _OWN for c in range(b))) for b in range(256)]
+
+
+def spaced(text: str) -> str:
+    """A lower-case text below U+0300 with a space at each place where the tokenizer splits inside a word (between white space).
+
+    Its pieces are runs of letters, single numbers, runs of signs, and a quote with s, t,
+    m, d, re, ve or ll behind it, where the quote starts a piece.
+    """
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    kind = _CLASS[units]
+    cut = np.zeros(len(units) + 3, bool)  # whether a piece starts at a unit that no space precedes
+    left, right = kind[:-1], kind[1:]
+    cut[1 : len(units)] = ((left != right) | (right == _NUMBER)) & (left != _SPACE) & (right != _SPACE)
+    quotes = np.flatnonzero(units == ord("'"))
+    if len(quotes):
+        quotes = quotes[(quotes == 0) | (kind[quotes - 1] != _SIGN)]
+        after = np.pad(units, (0, 3))
+        a, b = after[quotes + 1], after[quotes + 2]
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = (np.isin(a, [ord(c) for c in "rv"]) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        space = np.pad(kind == _SPACE, (0, 3), constant_values=True)
+        for at, n in ((quotes[one], 1), (quotes[two], 2)):
+            cut[at + 1] = False
+            cut[at + n + 1] = ~space[at + n + 1]
+    return np.insert(units, np.flatnonzero(cut), ord(" ")).tobytes().decode("utf-16-le")
 
 
 class WordEncoder:
-    """The ids of the lower-casing word tokenizer, by remembered words: a word (between white space) to its ids' bytes.
+    """The ids of the lower-casing word tokenizer, by remembered pieces: a piece to its ids' bytes.
 
-    Below U+0300 that tokenizer's normalisation is lower-casing, its splits are those
-    of _WORD and never cross white space, and each split ends in an id whose entry ends
-    a word. A text with any other character, with a control character that only some
-    call white space, or with a special token's opening is encoded as a whole.
+    Below U+0300 that tokenizer's normalisation is lower-casing, and its splits are those
+    of spaced and white space. So Arrow splits texts and finds their distinct pieces, and
+    the tokenizer's model encodes those that are new. A text with any other character,
+    with a control character that only some call white space, or with a special token's
+    opening is encoded as a whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -53,51 +84,63 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for name, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = name.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.met = bytearray(MET)  # by a word's hash; words of equal hash share a place
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Makes these new words known; returns those not met before."""
-        known, met, mask = self.known, self.met, len(self.met) - 1
-        parts = {w: _WORD.findall(w) for w in words if not w.isalpha()}
-        alone = words.difference(parts)
-        new = list(alone.union(*parts.values()).difference(known))
-        # without offsets, which nothing reads
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        assert len(stops) == len(new)
-        data, at = ids.tobytes(), 0
-        for p, stop in zip(new, (stops * 4).tolist(), strict=True):
-            known[p], at = data[at:stop], stop
-        for w, ps in parts.items():
-            if len(ps) != 1:
-                known[w] = b"".join([known[p] for p in ps])
-        once = []
-        for w in words.union(new):
-            if not met[at := hash(w) & mask]:
-                met[at] = 1
-                once.append(w)
-        return once
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # known when the memory was half full
+        self.met = bytearray(MET)  # by a piece's hash; pieces of equal hash share a place
+
+    def _ids(self, names: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        known, before, met, mask = self.known, self.before, self.met, len(self.met) - 1
+        tokenize = self.model.tokenize
+        found = list(map(known.get, names))
+        for i, data in enumerate(found):
+            if data is None:
+                name = names[i]
+                found[i] = data = before.get(name)
+                if data is None:
+                    shown = name if name.isascii() and name.isprintable() else "".join([_SHOWN[b] for b in name.encode()])
+                    found[i] = data = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                    # most pieces of a large corpus come once: one is remembered when it is met again
+                    place = hash(name) & mask
+                    if not met[place]:
+                        met[place] = 1
+                        continue
+                known[name] = data
+        if len(known) > REMEMBERED // 2:
+            self.known, self.before, self.met = {"": b""}, known, bytearray(len(met))
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
-        for text in texts:
+        if not texts:
+            return []
+        lows, wholes = [], {}
+        for i, text in enumerate(texts):
             low = text.lower()
-            whole = "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not low.isascii() and _OTHER.search(low)
-            split.append(None if whole else low.split())
-        known = self.known
-        new = set().union(*(w for w in split if w)).difference(known)
-        once = self._learn(new) if new else []
-        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else np.frombuffer(b"".join(map(known.__getitem__, w)), np.uint32) for t, w in zip(texts, split, strict=True)]
-        # most words of a large corpus come once: a word is remembered when it is met again
-        for w in once:
-            del known[w]
-        if len(known) > REMEMBERED:
-            self.known, self.met = {}, bytearray(len(self.met))
-        return out
+            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not low.isascii() and _OTHER.search(low):
+                wholes[i], low = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32), ""
+            lows.append(low)
+        # no text that is left has the separator
+        words = pc.utf8_split_whitespace(pa.array(spaced("\x1c".join(lows)).split("\x1c"), pa.large_string()))
+        pieces = words.flatten().dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        _, stops, data = pa.array(self._ids(names), pa.large_binary()).take(pieces.indices).buffers()
+        stops = np.frombuffer(stops, np.int64)[words.offsets.to_numpy()] // 4
+        ids = np.frombuffer(data, np.uint32, stops[-1]) if stops[-1] else np.empty(0, np.uint32)
+        return [wholes.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True))]
+
+
+def portions(texts: list[str], chars: int = PORTION) -> Iterator[list[str]]:
+    """The texts in order, some at a time: up to chars characters, or one text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > chars:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 @lru_cache(1)
@@ -172,7 +215,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, text_col: str = "text", leng
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             row, cells = [], ([], [], [], [])
-            for i, ids in enumerate(x for at in range(0, len(texts), 64) for x in encoder.encode(texts[at : at + 64])):
+            for i, ids in enumerate(x for some in portions(texts) for x in encoder.encode(some)):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for at in range(0, len(ids), length):
                     piece = ids[at : at + length]
